@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from almanack.functions.numbers import to_number
 
@@ -23,8 +24,14 @@ def columns_from(df: DataFrame, prefix: str) -> list[str]:
 
 
 def numbers_in(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Cast text columns to numbers; suppressed cells become NULL."""
-    return df.withColumns({c: to_number(F.col(f"`{c}`")) for c in columns})
+    """Columns as doubles; suppressed text cells become NULL."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    cast = {}
+    for c in columns:
+        column = F.col(f"`{c}`")
+        is_text = isinstance(types[c], T.StringType)
+        cast[c] = to_number(column) if is_text else column.cast("double")
+    return df.withColumns(cast)
 
 
 def lengthen(

@@ -18,7 +18,7 @@ def stack(frames: Iterable[DataFrame | None]) -> DataFrame:
 
 def empty_like(df: DataFrame) -> DataFrame:
     """A frame with the same columns and no rows, the start of an accumulation."""
-    return df.sparkSession.createDataFrame([], df.schema)
+    return df.limit(0)
 
 
 def append_series(df: DataFrame, other: DataFrame, renames: Mapping[str, str]) -> DataFrame:

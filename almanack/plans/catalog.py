@@ -418,10 +418,8 @@ def select_prefix_unpivot(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "N", F.col("l_tax")).alias("Percentage Met.18"),
         F.col("l_quantity").alias("Count"),
     )
-    met = columns_from(scores, "percentage met")
-    long = lengthen(scores, met, ["l_orderkey", "l_linenumber"])
-    suffix = F.regexp_replace("name", r"^.*\.", "")
-    return long.withColumn("year", recode(suffix, I.WIDE_TEST_YEARS)).drop("name")
+    scores, years = I.years_from_suffix(scores, columns_from(scores, "percentage met"))
+    return lengthen(scores, years, ["l_orderkey", "l_linenumber"], name="year")
 
 
 @query("gather_except")

@@ -26,7 +26,6 @@ from almanack.functions import (
     per_thousand,
     percent_label,
     place_name,
-    recode,
     round_half_away,
     strip_separators,
     to_number,
@@ -149,9 +148,9 @@ def _rate_trend(
     accuracy: float,
     limits: tuple[float, float] | None,
 ) -> DataFrame:
-    rate = to_number(measure) / 100
+    rate = F.col(measure) / 100
     return chart(
-        df,
+        numbers_in(df, [measure]),
         figure,
         "academic_year",
         rate,
@@ -202,8 +201,8 @@ def _cohort_by_group(
         whole,
         F.col("regular_hs_diploma_graduates_rate").isNotNull(),
     )
-    df = codebook_definitions(df, codebook, "SUSP", "reporting_category")
-    rate = to_number(measure) / 100
+    df = codebook_definitions(numbers_in(df, [measure]), codebook, "SUSP", "reporting_category")
+    rate = F.col(measure) / 100
     return _rate_by_group(df, figure, rate, percent_label(rate, 0.1))
 
 
@@ -283,12 +282,12 @@ def special_education(pages: DataFrame, geo: Geography, **cell: int | str | None
 
 
 def _enrollment(cenrollment: DataFrame, geo: Geography) -> DataFrame:
-    df = snake(cenrollment, CODES)
+    df = numbers_in(snake(cenrollment, CODES), ["cumulative_enrollment"])
     return df.where(
         (F.col("county_code") == geo.county_code)
         & (F.col("aggregate_level") == "C")
         & (F.col("charter") == "All")
-    ).withColumn("cumulative_enrollment", to_number("cumulative_enrollment"))
+    )
 
 
 def cumulative_enrollment(
@@ -337,15 +336,16 @@ def enrollment_share(
 # --- Suspension and expulsion -----------------------------------------------------------
 
 
-def _discipline(table: DataFrame) -> DataFrame:
-    df = snake(table, CODES)
+def _discipline(table: DataFrame, *measures: str) -> DataFrame:
+    df = numbers_in(snake(table, CODES), measures)
     return df.where(F.col("district_code").isNull() & is_total_or_blank("charter_yn"))
 
 
 def suspension_trend(susp: DataFrame, geo: Geography) -> DataFrame:
     """Plotted in percent points, labelled as a percentage."""
-    df = _discipline(susp).where(in_geography(geo) & (F.col("reporting_category") == "TA"))
-    rate = to_number("suspension_rate_total")
+    df = _discipline(susp, "suspension_rate_total")
+    df = df.where(in_geography(geo) & (F.col("reporting_category") == "TA"))
+    rate = F.col("suspension_rate_total")
     return chart(
         df,
         "suspension_trend",
@@ -357,20 +357,23 @@ def suspension_trend(susp: DataFrame, geo: Geography) -> DataFrame:
 
 
 def suspension_by_group(susp: DataFrame, geo: Geography) -> DataFrame:
-    df = at_latest(_discipline(susp), "academic_year", F.col("county_code") == geo.county_code)
-    rate = to_number("suspension_rate_total") / 100
+    df = _discipline(susp, "suspension_rate_total")
+    df = at_latest(df, "academic_year", F.col("county_code") == geo.county_code)
+    rate = F.col("suspension_rate_total") / 100
     return _rate_by_group(
         group_names(df), "suspension_by_group", rate, percent_label(rate, 0.1)
     )
 
 
-def _expelled_rate() -> Column:
-    return per_thousand("unduplicated_count_of_students_expelled_total", "cumulative_enrollment")
+def _expelled(exp: DataFrame) -> DataFrame:
+    """Expulsion rows with their rate per 1,000."""
+    part, whole = "unduplicated_count_of_students_expelled_total", "cumulative_enrollment"
+    return _discipline(exp, part, whole).withColumn("rate", per_thousand(part, whole))
 
 
 def expulsion_trend(exp: DataFrame, geo: Geography) -> DataFrame:
-    df = _discipline(exp).where(in_geography(geo) & (F.col("reporting_category") == "TA"))
-    rate = _expelled_rate()
+    df = _expelled(exp).where(in_geography(geo) & (F.col("reporting_category") == "TA"))
+    rate = F.col("rate")
     return chart(
         df,
         "expulsion_trend",
@@ -382,8 +385,8 @@ def expulsion_trend(exp: DataFrame, geo: Geography) -> DataFrame:
 
 
 def expulsion_by_group(exp: DataFrame, geo: Geography) -> DataFrame:
-    df = at_latest(_discipline(exp), "academic_year", F.col("county_code") == geo.county_code)
-    rate = _expelled_rate()
+    df = at_latest(_expelled(exp), "academic_year", F.col("county_code") == geo.county_code)
+    rate = F.col("rate")
     return _rate_by_group(
         group_names(df), "expulsion_by_group", rate, _number_text(round_half_away(rate, 2))
     )
@@ -403,6 +406,7 @@ def suspension_burden(
     spread over several range partitions.
     """
     df = snake(files, CODES)
+    people = to_number("cumulative_enrollment")
     keep = (F.col("reporting_category") == category) & F.trim("charter_yn").isin("N", "No")
     if school_totals:
         keep = keep & ((F.col("school_code") == "0") | F.col("school_code").isNull())
@@ -411,9 +415,9 @@ def suspension_burden(
     if year is not None:
         keep = keep & (F.col("academic_year") == year)
     if floor is not None:
-        keep = keep & (to_number("cumulative_enrollment") >= floor)
+        keep = keep & (people >= floor)
     keys = ["academic_year", "district_code", "district_name", "school_code"]
-    burden = per_hundred("total_suspensions", "cumulative_enrollment").alias("burden")
+    burden = per_hundred(to_number("total_suspensions"), people).alias("burden")
     return (
         df.where(keep)
         .select(*keys, "total_suspensions", "cumulative_enrollment", burden)
@@ -454,10 +458,10 @@ def discipline_frame(
         & F.col("district_code").isNull()
         & (F.col("reporting_category") == "TA")
     )
-    df = numbers_in(df.withColumn("geo", geo_column(geo)), measures)
+    df = numbers_in(df.withColumn("geo", geo_column(geo)), [*measures, *(either or ())])
     if either is not None:
         old, new = either
-        df = df.withColumn(f"{new}2", F.coalesce(to_number(new), to_number(old)))
+        df = df.withColumn(f"{new}2", F.coalesce(new, old))
     return df
 
 
@@ -506,19 +510,15 @@ def fitness_by_grade(pft: DataFrame, geo: Geography) -> DataFrame:
 
 
 def _assessed(caaspp: DataFrame, geo: Geography, codebook: DataFrame | None) -> DataFrame:
-    df = snake(caaspp, CODES)
-    df = df.where(
+    df = snake(caaspp, CODES).withColumnRenamed("percentage_standard_met_and_above", "met")
+    df = numbers_in(df, ["met"]).where(
         F.col("county_code").isin(geo.state_code, geo.county_code)
         & (F.col("district_code") == "00000")
         & (F.col("grade") == "13")
     )
-    df = df.withColumns(
-        {
-            "geo": if_else(
-                F.col("county_code") == geo.state_code, geo.state_name, geo.county_name
-            ),
-            "met": to_number("percentage_standard_met_and_above"),
-        }
+    df = df.withColumn(
+        "geo",
+        if_else(F.col("county_code") == geo.state_code, geo.state_name, geo.county_name),
     )
     if codebook is None:
         return df
@@ -574,6 +574,16 @@ def assessment_by_group(
     )
 
 
+def years_from_suffix(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Rename measure.19 and the like to the academic year; other suffixes stay as they are.
+
+    The names are known when the plan is made, so no text is worked on per row.
+    """
+    years = {c: c.rsplit(".", 1)[-1] for c in columns}
+    years = {c: WIDE_TEST_YEARS.get(y, y) for c, y in years.items()}
+    return df.withColumnsRenamed(years), list(years.values())
+
+
 def assessment_long(wide: DataFrame, geo: Geography) -> DataFrame:
     """Long form of the older wide file, one column per year with a two-digit suffix."""
     met = columns_from(wide, "Percentage Standard Met and")
@@ -592,15 +602,10 @@ def assessment_long(wide: DataFrame, geo: Geography) -> DataFrame:
         ).select(*[F.col(f"`{c}`") for c in [*ids, *met]]),
         met,
     )
-    df = lengthen(df, met).withColumnsRenamed(ids)
-    suffix = F.regexp_replace("name", r"^.*\.", "")
-    return df.withColumns(
-        {
-            "geo": if_else(
-                F.col("county_code") == geo.state_code, geo.state_name, geo.county_name
-            ),
-            "year": recode(suffix, WIDE_TEST_YEARS),
-        }
+    df, years = years_from_suffix(df.withColumnsRenamed(ids), met)
+    return lengthen(df, years, name="year").withColumn(
+        "geo",
+        if_else(F.col("county_code") == geo.state_code, geo.state_name, geo.county_name),
     )
 
 
@@ -667,12 +672,8 @@ def reclassification(reclass: DataFrame, geo: Geography, source: str = "table")
         df = df.where(F.col("county") == geo.county_name.removesuffix(" County"))
     else:
         df = df.where(F.col("cds").startswith(geo.county_code))
-    df = df.withColumn("year", academic_year_label("year"))
-    sums = sums_by_name(
-        df,
-        "year",
-        {"Reclassified Students": to_number("reclass"), "EL Enrollment": to_number("el")},
-    )
+    df = numbers_in(df.withColumn("year", academic_year_label("year")), ["reclass", "el"])
+    sums = sums_by_name(df, "year", {"Reclassified Students": "reclass", "EL Enrollment": "el"})
     return _learner_chart(sums, "reclassification", "year")
 
 
@@ -683,9 +684,9 @@ def language_status(elas: DataFrame, geo: Geography) -> DataFrame:
         & (F.col("gender") == "ALL")
     )
     sums = sums_by_name(
-        df,
+        numbers_in(df, ["rfep", "el"]),
         "academic_year",
-        {"Reclassified Students": to_number("rfep"), "EL Enrollment": to_number("el")},
+        {"Reclassified Students": "rfep", "EL Enrollment": "el"},
     )
     return _learner_chart(sums, "language_status", "academic_year")
 

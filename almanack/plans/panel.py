@@ -65,12 +65,26 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_PANELS: dict[tuple[str, str], DataFrame] = {}
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Yearly rows at state, county and district level, for each category and charter flag.
+    """The panel of a data folder, one frame per application.
 
-    Its size depends on the dimensions alone, so the one frame all figures share is kept
-    for reuse; lost blocks are recomputed from the tables.
+    Its size depends on the dimensions alone, so the frame all figures share is kept in
+    executor storage after its first use; lost blocks are recomputed from the tables.
     """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PANELS:
+        _PANELS[key] = derive(spark, sf_dir)
+    frame = _PANELS[key]
+    if frame.storageLevel == StorageLevel.NONE:
+        frame.persist(StorageLevel.MEMORY_AND_DISK)
+    return frame
+
+
+def derive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly rows at state, county and district level, for each category and charter flag."""
     county, district = ["r_regionkey", "r_name"], ["n_nationkey", "n_name"]
     places = [[], county, county + district]
     sets = [
@@ -114,4 +128,4 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("enrolled").alias("cumulative_enrollment"),
         F.col("finished").alias("affected"),
         F.col("pending"),
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    )

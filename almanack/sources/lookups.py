@@ -5,7 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 # Reporting category codes and the student groups they stand for.
 STUDENT_GROUPS = [
@@ -36,8 +40,18 @@ _LATER_CODES = {"GX", "GZ"}
 
 
 def literal_table(spark: SparkSession, rows: Sequence[tuple[Any, ...]], schema: str) -> DataFrame:
-    """A table written out in the program."""
-    return spark.createDataFrame(list(rows), schema)
+    """A table written out in the program.
+
+    Handed over as an Arrow table it becomes a local relation, whose size the optimizer
+    knows exactly; a list of tuples would be a scan of unknown size.
+    """
+    fields = StructType.fromDDL(schema)
+    columns = list(zip(*rows, strict=True))
+    table = pa.table(
+        [pa.array(c, type=to_arrow_type(f.dataType)) for c, f in zip(columns, fields, strict=True)],
+        names=fields.names,
+    )
+    return spark.createDataFrame(table, schema=fields)
 
 
 def student_groups(spark: SparkSession, first_edition: bool = False) -> DataFrame:
