@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanack.functions.logic import _col, if_else
+from almanack.functions.numbers import strict_max
 
 
 @dataclass(frozen=True)
@@ -38,25 +39,31 @@ def geo_column(
     return if_else(F.col(level) == geo.state_level, geo.state_name, F.col(county_name))
 
 
-def _latest(df: DataFrame, column: str) -> Column:
-    return F.col(column) == df.select(F.max(column)).scalar()
+def _latest(df: DataFrame, column: str, strict: bool) -> Column:
+    newest = strict_max(column) if strict else F.max(column)
+    return F.col(column) == df.select(newest).scalar()
 
 
-def at_latest(df: DataFrame, column: str, *conditions: Column) -> DataFrame:
+def at_latest(
+    df: DataFrame, column: str, *conditions: Column, strict: bool = False
+) -> DataFrame:
     """Rows meeting all conditions in the newest year **of the whole frame**.
 
     The year is taken before the sibling conditions apply, so a county without data for
     that year yields nothing. The maximum is a scalar subquery: one column of the frame,
     reduced to a single value, with no shuffle of the rows. On a table partitioned by the
-    column it prunes partitions.
+    column it prunes partitions. A missing year is ignored as a database does; ``strict``
+    makes the newest year unknown if any year is missing, and then no row is kept.
     """
-    return df.where(reduce(and_, conditions, _latest(df, column)))
+    return df.where(reduce(and_, conditions, _latest(df, column, strict)))
 
 
-def chain_latest(df: DataFrame, column: str, *conditions: Column) -> DataFrame:
+def chain_latest(
+    df: DataFrame, column: str, *conditions: Column, strict: bool = False
+) -> DataFrame:
     """Rows meeting all conditions in the newest year **among those rows**."""
     kept = df.where(reduce(and_, conditions)) if conditions else df
-    return kept.where(_latest(kept, column))
+    return kept.where(_latest(kept, column, strict))
 
 
 def matches_any(c: Column | str, parts: Iterable[str]) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,10 @@ from almanack.functions.numbers import strict_sum
 from almanack.operators.reshape import lengthen
 
 
+def _total(strict: bool) -> Callable[[Column | str], Column]:
+    return strict_sum if strict else lambda c: F.sum(_col(c))
+
+
 def group_sums(
     df: DataFrame, keys: Sequence[str], measures: Mapping[str, Column | str], strict: bool = True
 ) -> DataFrame:
@@ -20,23 +24,37 @@ def group_sums(
     By default a NULL input makes its sum NULL, as an incomplete total is not a total;
     ``strict=False`` ignores NULLs.
     """
-    total = strict_sum if strict else (lambda c: F.sum(_col(c)))
+    total = _total(strict)
     return df.groupBy(*keys).agg(*[total(c).alias(n) for n, c in measures.items()])
 
 
 def with_group_sums(
-    df: DataFrame, keys: Sequence[str], measures: Mapping[str, Column | str], strict: bool = True
+    df: DataFrame,
+    keys: Sequence[str],
+    measures: Mapping[str, Column | str],
+    strict: bool = True,
+    hot_rows: int = 1_000_000,
 ) -> DataFrame:
-    """Every row with its group's sums.
+    """Every row with its group's sums. NULL keys form a group of their own.
 
-    A window over the keys would bring each group into one task. Here the sums are made
-    first, with map-side combining, and joined back: one row per key, so a hot key is either
-    broadcast or split by the adaptive skew join. NULL keys match each other.
+    A window over the keys, or a join shuffled on them, would bring a hot group into one
+    task. The sums are made first, with map-side combining, together with the group sizes.
+    Groups above ``hot_rows`` rows are at most one per ``hot_rows`` input rows, so their sums
+    are broadcast to rows that stay where they are; only rows of smaller groups are shuffled.
     """
-    sums = group_sums(df, keys, measures, strict)
-    sums = sums.withColumnsRenamed({k: f"_{k}" for k in keys})
-    match = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return df.join(sums, match, "left").drop(*[f"_{k}" for k in keys])
+    kept = {k: f"_{k}" for k in keys}
+    match = [F.col(k).eqNullSafe(F.col(o)) for k, o in kept.items()]
+    total = _total(strict)
+    sums = (
+        df.groupBy(*keys)
+        .agg(*[total(c).alias(n) for n, c in measures.items()], F.count(F.lit(1)).alias("_rows"))
+        .withColumnsRenamed(kept)
+    )
+    hot = sums.where(F.col("_rows") > hot_rows).drop("_rows")
+    cold = sums.where(F.col("_rows") <= hot_rows).drop("_rows")
+    stay = df.join(F.broadcast(hot), match)
+    move = df.join(F.broadcast(hot.select(*kept.values())), match, "left_anti").join(cold, match)
+    return stay.unionByName(move).drop(*kept.values())
 
 
 def sums_by_name(

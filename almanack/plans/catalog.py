@@ -317,12 +317,27 @@ def normalise_group_name(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "part").select("p_partkey", group_name(text).alias("group_name"))
 
 
+def _pages_with_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page followed by a table that gives its length with separators."""
+    table = F.concat(
+        F.lit("<center><table border='1'>\n<tr><th>Page</th><th>Length</th></tr>\n<tr><td>"),
+        F.col("page_id").cast("string"),
+        F.lit("</td><td align='right'><b>"),
+        F.format_number(F.length("html"), 0),
+        F.lit("</b>&nbsp;</td></tr></table></center>"),
+    )
+    return read(spark, sf, "pages").select("page_id", F.concat("html", table).alias("html"))
+
+
 @query("html_nth_cell")
 def html_nth_cell(spark: SparkSession, sf: str) -> DataFrame:
-    """Third item of the first list of every page, as text and as number."""
-    cell = html_cell("html", row=1, cell=3, block=1, block_tag="ul", row_tag=None, cell_tag="li")
-    df = read(spark, sf, "pages").select("page_id", cell.alias("cell"))
-    return df.withColumn("number", strip_separators("cell"))
+    """Third item of the first list of every page, and a number from its table."""
+    item = html_cell("html", row=1, cell=3, block_tag="ul", row_tag=None, cell_tag="li")
+    return _pages_with_table(spark, sf).select(
+        "page_id",
+        item.alias("item"),
+        strip_separators(html_cell("html", row=2, cell=2)).alias("number"),
+    )
 
 
 # --- Sums -------------------------------------------------------------------------------
@@ -604,10 +619,9 @@ def pupil_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("special_education_cells")
 def special_education_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """One cell per page; the page number stands for the year."""
-    pages = read(spark, sf, "pages").select(F.col("page_id").alias("year"), "html")
-    cell = {"row": 1, "cell": 2, "block_tag": "ul", "row_tag": None, "cell_tag": "li"}
-    return I.special_education(pages, FOCUS, **cell)
+    """One table cell per page; the page number stands for the year."""
+    pages = _pages_with_table(spark, sf).withColumnRenamed("page_id", "year")
+    return I.special_education(pages, FOCUS, row=2, cell=2)
 
 
 @query("suspension_trend")

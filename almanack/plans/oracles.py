@@ -266,8 +266,7 @@ def _list_cell(n: int) -> str:
 
 
 ORACLES["html_nth_cell"] = f"""
-SELECT page_id, cell, {_number("replace(cell, ',', '')")} AS number
-FROM (SELECT page_id, {_list_cell(3)} AS cell FROM pages)"""
+SELECT page_id, {_list_cell(3)} AS item, CAST(length(html) AS DOUBLE) AS number FROM pages"""
 
 # --- Sums -------------------------------------------------------------------------------
 
@@ -490,7 +489,7 @@ ORACLES["pupil_counts"] = _with(
 )
 
 ORACLES["special_education_cells"] = _with(
-    f"cells AS (SELECT page_id, {_number(f'''replace({_list_cell(2)}, ',', '')''')} AS v FROM pages)"
+    "cells AS (SELECT page_id, length(html) AS v FROM pages)"
 ) + _chart("special_education", "page_id", "v", "cells", series=_NAME, label=_comma("v"), limits=(5000, 10000))
 
 

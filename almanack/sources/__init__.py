@@ -2,6 +2,7 @@ from almanack.sources.delimited import (
     list_files,
     read_glob,
     read_typed,
+    read_typed_years,
     read_with_origin,
     read_years,
 )
@@ -24,6 +25,7 @@ __all__ = [
     "load_table",
     "read_glob",
     "read_typed",
+    "read_typed_years",
     "read_with_origin",
     "read_years",
     "snake",

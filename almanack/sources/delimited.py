@@ -9,7 +9,7 @@ number of distinct headers, not with the number of files.
 from __future__ import annotations
 
 import csv
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
@@ -131,4 +131,21 @@ def read_typed(spark: SparkSession, path: str, types: str, sep: str = ",") -> Da
     if header is None or len(header) != len(types):
         raise ValueError(f"{path} does not have {len(types)} columns")
     df = _scan(spark, [path], header, sep)
-    return df.select(*[_parsed(F.col(f"`{n}`"), t).alias(n) for n, t in zip(header, types, strict=True)])
+    return df.select(
+        *[_parsed(F.col(f"`{n}`"), t).alias(n) for n, t in zip(header, types, strict=True)]
+    )
+
+
+def read_typed_years(
+    spark: SparkSession, paths: Mapping[str, str], types: str, sep: str = ","
+) -> tuple[DataFrame | None, list[str]]:
+    """Typed yearly files tagged with their ``year``; also the years without a file."""
+    frames, skipped = [], []
+    for year, path in paths.items():
+        try:
+            frames.append(read_typed(spark, path, types, sep).withColumn("year", F.lit(year)))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            skipped.append(year)
+    return (stack(frames) if frames else None), skipped
