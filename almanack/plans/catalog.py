@@ -172,7 +172,7 @@ def not_in_null_safe(spark: SparkSession, sf: str) -> DataFrame:
 def regex_alternation_filter(spark: SparkSession, sf: str) -> DataFrame:
     return (
         read(spark, sf, "part")
-        .where(matches_any("p_name", ["red", "blue"]) & F.col("p_brand").rlike("^Brand#1"))
+        .where(matches_any("p_name", ["red", "blue"]) & F.col("p_brand").startswith("Brand#1"))
         .select("p_partkey", "p_name", "p_brand")
     )
 
