@@ -41,20 +41,24 @@ def with_group_sums(
     task. The sums are made first, with map-side combining, together with the group sizes.
     Groups above ``hot_rows`` rows are at most one per ``hot_rows`` input rows, so their sums
     are broadcast to rows that stay where they are; only rows of smaller groups are shuffled.
+    Sums and size travel as one struct: both parts then need the same aggregate, and Spark
+    runs it once.
     """
+    total = _total(strict)
     kept = {k: f"_{k}" for k in keys}
     match = [F.col(k).eqNullSafe(F.col(o)) for k, o in kept.items()]
-    total = _total(strict)
     sums = (
         df.groupBy(*keys)
         .agg(*[total(c).alias(n) for n, c in measures.items()], F.count(F.lit(1)).alias("_rows"))
-        .withColumnsRenamed(kept)
+        .select(*[F.col(k).alias(o) for k, o in kept.items()], F.struct(*measures, "_rows").alias("_sums"))
     )
-    hot = sums.where(F.col("_rows") > hot_rows).drop("_rows")
-    cold = sums.where(F.col("_rows") <= hot_rows).drop("_rows")
-    stay = df.join(F.broadcast(hot), match)
-    move = df.join(F.broadcast(hot.select(*kept.values())), match, "left_anti").join(cold, match)
-    return stay.unionByName(move).drop(*kept.values())
+    hot = sums.where(F.col("_sums._rows") > hot_rows)
+    cold = sums.where(F.col("_sums._rows") <= hot_rows)
+    marked = df.join(F.broadcast(hot), match, "left")
+    stay = marked.where(F.col("_sums").isNotNull())
+    move = marked.where(F.col("_sums").isNull()).select(*[df[c] for c in df.columns]).join(cold, match)
+    added = [F.col(f"_sums.{n}").alias(n) for n in measures]
+    return stay.select(*df.columns, *added).unionByName(move.select(*df.columns, *added))
 
 
 def sums_by_name(

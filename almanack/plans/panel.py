@@ -29,12 +29,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+MEASURES = ("enrolled", "finished", "pending")
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts per year, district, category and charter flag.
 
     Orders are counted per customer before the join, so a customer with a large part of all
-    orders reaches the join as a few rows. The remaining joins add small attributes; Spark
-    broadcasts them when they are measured to be small.
+    orders reaches it as a few rows, and counted per district code before names are added,
+    so only a handful of rows is joined to the places.
     """
     status = F.col("o_orderstatus")
     per_customer = (
@@ -52,17 +55,15 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count_if(status == "P").alias("pending"),
         )
     )
+    per_district = (
+        per_customer.join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy("year", "c_nationkey", "c_mktsegment", "charter")
+        .agg(*[F.sum(m).alias(m) for m in MEASURES])
+    )
     places = read(spark, sf_dir, "nation").join(
         read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
-    return (
-        per_customer.join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(places, F.col("c_nationkey") == F.col("n_nationkey"))
-        .groupBy(
-            "year", "r_regionkey", "r_name", "n_nationkey", "n_name", "c_mktsegment", "charter"
-        )
-        .agg(*[F.sum(m).alias(m) for m in ("enrolled", "finished", "pending")])
-    )
+    return per_district.join(places, F.col("c_nationkey") == F.col("n_nationkey"))
 
 
 _PANELS: dict[tuple[str, str], DataFrame] = {}
@@ -96,7 +97,7 @@ def derive(spark: SparkSession, sf_dir: str) -> DataFrame:
     rolled = facts(spark, sf_dir).groupingSets(
         sets, "year", *county, *district, "c_mktsegment", "charter"
     ).agg(
-        *[F.sum(m).alias(m) for m in ("enrolled", "finished", "pending")],
+        *[F.sum(m).alias(m) for m in MEASURES],
         F.grouping("r_regionkey").alias("all_counties"),
         F.grouping("n_nationkey").alias("all_districts"),
         F.grouping("c_mktsegment").alias("all_categories"),
