@@ -177,43 +177,64 @@ def _rate_by_group(df: DataFrame, figure: str, value: Column, label: Column) ->
     )
 
 
-def graduation_trend(grad: DataFrame, geo: Geography) -> DataFrame:
+def graduation_trend(
+    grad: DataFrame,
+    geo: Geography,
+    accuracy: float = 1,
+    limits: tuple[float, float] = (0.75, 0.9),
+) -> DataFrame:
+    """Accuracy and limits are those of the latest edition; earlier ones differ."""
     df, whole = _cohort(grad)
     df = df.where(in_geography(geo) & whole & (F.col("reporting_category") == "TA"))
     measure = "regular_hs_diploma_graduates_rate"
-    return _rate_trend(df, geo, "graduation_trend", measure, 1, (0.75, 0.9))
+    return _rate_trend(df, geo, "graduation_trend", measure, accuracy, limits)
 
 
-def dropout_trend(grad: DataFrame, geo: Geography) -> DataFrame:
+def dropout_trend(grad: DataFrame, geo: Geography, accuracy: float = 0.1) -> DataFrame:
     df, whole = _cohort(grad)
     df = df.where(in_geography(geo) & whole & (F.col("reporting_category") == "TA"))
-    return _rate_trend(df, geo, "dropout_trend", "dropout_rate", 0.1, (0, 0.15))
+    return _rate_trend(df, geo, "dropout_trend", "dropout_rate", accuracy, (0, 0.15))
 
 
 def _cohort_by_group(
-    grad: DataFrame, geo: Geography, codebook: DataFrame, figure: str, measure: str
+    grad: DataFrame,
+    geo: Geography,
+    codebook: DataFrame | None,
+    figure: str,
+    measure: str,
+    rated_only: bool,
 ) -> DataFrame:
     df, whole = _cohort(grad)
+    graduated = "regular_hs_diploma_graduates_rate"
+    df = numbers_in(df, list(dict.fromkeys([measure, graduated])))
+    rated = F.col(graduated).isNotNull() if rated_only else F.lit(True)
     df = at_latest(
-        df,
-        "academic_year",
-        F.col("county_code") == geo.county_code,
-        whole,
-        F.col("regular_hs_diploma_graduates_rate").isNotNull(),
+        df, "academic_year", F.col("county_code") == geo.county_code, whole, rated
     )
-    df = codebook_definitions(numbers_in(df, [measure]), codebook, "SUSP", "reporting_category")
+    if codebook is None:
+        df = group_names(df)
+    else:
+        df = codebook_definitions(df, codebook, "SUSP", "reporting_category")
     rate = F.col(measure) / 100
     return _rate_by_group(df, figure, rate, percent_label(rate, 0.1))
 
 
-def graduation_by_group(grad: DataFrame, geo: Geography, codebook: DataFrame) -> DataFrame:
+def graduation_by_group(
+    grad: DataFrame, geo: Geography, codebook: DataFrame | None = None, rated_only: bool = True
+) -> DataFrame:
+    """Names come from the codebook, or as in earlier editions from the literal code list.
+
+    The first edition also kept groups without a rate (``rated_only=False``).
+    """
     measure = "regular_hs_diploma_graduates_rate"
-    return _cohort_by_group(grad, geo, codebook, "graduation_by_group", measure)
+    return _cohort_by_group(grad, geo, codebook, "graduation_by_group", measure, rated_only)
 
 
-def dropout_by_group(grad: DataFrame, geo: Geography, codebook: DataFrame) -> DataFrame:
+def dropout_by_group(
+    grad: DataFrame, geo: Geography, codebook: DataFrame | None = None, rated_only: bool = True
+) -> DataFrame:
     """Same rows as the graduation chart: a group needs a graduation rate to be shown."""
-    return _cohort_by_group(grad, geo, codebook, "dropout_by_group", "dropout_rate")
+    return _cohort_by_group(grad, geo, codebook, "dropout_by_group", "dropout_rate", rated_only)
 
 
 def college_going_trend(cgr: DataFrame, geo: Geography) -> DataFrame:
@@ -341,7 +362,7 @@ def _discipline(table: DataFrame, *measures: str) -> DataFrame:
     return df.where(F.col("district_code").isNull() & is_total_or_blank("charter_yn"))
 
 
-def suspension_trend(susp: DataFrame, geo: Geography) -> DataFrame:
+def suspension_trend(susp: DataFrame, geo: Geography, accuracy: float = 0.1) -> DataFrame:
     """Plotted in percent points, labelled as a percentage."""
     df = _discipline(susp, "suspension_rate_total")
     df = df.where(in_geography(geo) & (F.col("reporting_category") == "TA"))
@@ -352,7 +373,7 @@ def suspension_trend(susp: DataFrame, geo: Geography) -> DataFrame:
         "academic_year",
         rate,
         series=geo_column(geo),
-        label=percent_label(rate / 100, 0.1),
+        label=percent_label(rate / 100, accuracy),
     )
 
 
@@ -371,16 +392,18 @@ def _expelled(exp: DataFrame) -> DataFrame:
     return _discipline(exp, part, whole).withColumn("rate", per_thousand(part, whole))
 
 
-def expulsion_trend(exp: DataFrame, geo: Geography) -> DataFrame:
+def expulsion_trend(exp: DataFrame, geo: Geography, percent: bool = False) -> DataFrame:
+    """The first edition labels the rate as if it were a percentage."""
     df = _expelled(exp).where(in_geography(geo) & (F.col("reporting_category") == "TA"))
     rate = F.col("rate")
+    rounded = round_half_away(rate, 2)
     return chart(
         df,
         "expulsion_trend",
         "academic_year",
         rate,
         series=geo_column(geo),
-        label=_number_text(round_half_away(rate, 2)),
+        label=percent_label(rounded / 100, 0.01) if percent else _number_text(rounded),
     )
 
 
@@ -531,7 +554,9 @@ def _test_name(test_id: int) -> str:
     return "ela" if test_id == 1 else "math"
 
 
-def assessment_trend(caaspp: DataFrame, geo: Geography, test_id: int) -> DataFrame:
+def assessment_trend(
+    caaspp: DataFrame, geo: Geography, test_id: int, accuracy: float = 0.1
+) -> DataFrame:
     df = _assessed(caaspp, geo, None).where(
         (F.col("test_id") == str(test_id)) & (F.col("subgroup_id") == "1")
     )
@@ -542,7 +567,7 @@ def assessment_trend(caaspp: DataFrame, geo: Geography, test_id: int) -> DataFra
         "test_year",
         share,
         series=F.col("geo"),
-        label=percent_label(share, 0.1),
+        label=percent_label(share, accuracy),
         limits=(0, 0.6),
     )
 

@@ -88,6 +88,17 @@ def test_graduation_by_group(grad, book):
     ]
 
 
+def test_earlier_editions(grad, discipline):
+    trend = I.graduation_trend(grad, GEO, accuracy=0.1, limits=(0.7, 0.9))
+    assert ("California", "82.5%") in points(trend, "series", "label")
+    groups = I.graduation_by_group(grad, GEO, rated_only=False)
+    assert points(groups, "x", "y", "level") == [
+        ("African American", 0.7, 1), ("Female", None, 3), ("Male", 0.8, 2), (None, 0.6, 4),
+    ]
+    expelled = I.expulsion_trend(discipline, GEO, percent=True)
+    assert ("Springfield", "0.28%") in points(expelled, "series", "label")
+
+
 def test_dropout(grad, book):
     trend = points(I.dropout_trend(grad, GEO), "series", "x", "y_visible", "label")
     assert ("Springfield", "2016-17", None, "16.0%") in trend
