@@ -10,7 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_WORD = re.compile(r"[A-Z]+(?![a-z])[0-9]*|[A-Z]?[a-z][a-z0-9]*|[A-Z][0-9]*|[0-9]+[a-z]*")
+# Digits stay with the word before them (NoStud5, Perc5b) unless a new word follows
+# (Total12Months), so UpperCamel names convert to the same snake_case as the originals.
+_WORD = re.compile(
+    r"[A-Z]+(?![a-z])[0-9]*"
+    r"|[A-Z]?[a-z]+(?:[0-9]+(?![0-9A-Z])[a-z0-9]*)?"
+    r"|[A-Z][0-9]*"
+    r"|[0-9]+[a-z]*"
+)
 # Signs that are spelled out instead of being dropped.
 _SIGNS = {"%": " percent ", "#": " number "}
 

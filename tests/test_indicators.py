@@ -122,7 +122,7 @@ def test_text_files_give_the_same_trend(spark, tmp_path):
         "Academic Year\tDASS\tAggregateLevel\tCountyCode\tCountyName\tDistrictCode\t"
         "ReportingCategory\tCharterSchool\tDropout (Rate)\tRegular HS Diploma Graduates (Rate)\n"
         "2017-18\tAll\tC\t27\tSpringfield\tNA\tTA\tAll\t10\t84\n"
-        "2017-18\tAll\tC\t27\tSpringfield\t66068\tTA\tAll\t99\t99\n"
+        "2017-18\tAll\tC\t27\tSpringfield\t41001\tTA\tAll\t99\t99\n"
     )
     files = read_glob(spark, str(tmp_path), "cohort*txt")
     assert points(I.graduation_trend(files, GEO)) == [
@@ -203,7 +203,7 @@ def discipline(spark):
             ("2016-17", "C", "27", "Springfield", None, "", "TA", 4.4, 0.0, 0.0),
             ("2017-18", "C", "27", "Springfield", None, "All", "TA", 4.2, 285.0, 1_000_000.0),
             ("2017-18", "C", "27", "Springfield", None, "N", "TA", 9.9, 9.0, 10.0),
-            ("2017-18", "C", "27", "Springfield", "66068", "All", "TA", 9.9, 9.0, 10.0),
+            ("2017-18", "C", "27", "Springfield", "41001", "All", "TA", 9.9, 9.0, 10.0),
             ("2017-18", "C", "27", "Springfield", None, "All", "RB", 8.0, 3.0, 1000.0),
             ("2017-18", "C", "27", "Springfield", None, "All", "GX", 2.0, None, 1000.0),
             ("2017-18", "C", "27", "Springfield", None, "All", "QQ", 1.0, 1.0, 1000.0),
@@ -238,18 +238,18 @@ SUSP_1 = (
     "Academic Year\tAggregate Level\tCounty Code\tCounty Name\tDistrict Code\tDistrict Name\tSchool Code\t"
     "CharterYN\tReporting Category\tCumulative Enrollment\tTotal Suspensions\t"
     "Unduplicated Count of Students Suspended (Total)\tSuspension Count Defiance Only\n"
-    "2016-17\tD1\t27\tSpringfield\t66068\tAlisal Union\t0\tN\tTA\t1000\t100\t50\t5\n"
-    "2016-17\tD2\t27\tSpringfield\t66069\tKing City\tNA\tN\tTA\t1000\t10\t30\t6\n"
+    "2016-17\tD1\t27\tSpringfield\t41001\tNorthfield Union\t0\tN\tTA\t1000\t100\t50\t5\n"
+    "2016-17\tD2\t27\tSpringfield\t41002\tRiverton\tNA\tN\tTA\t1000\t10\t30\t6\n"
     "2016-17\tT\t00\tState\t\t\t\tAll\tTA\t9000\t90\t80\t7\n"
 )
 SUSP_2 = (
     "AcademicYear\tCharterYn\tAggregateLevel\tCountyCode\tCountyName\tDistrictCode\tDistrictName\tSchoolCode\t"
     "ReportingCategory\tCumulativeEnrollment\tTotalSuspensions\tUnduplicatedCountOfStudentsSuspendedTotal\t"
     "SuspensionCountOfStudentsSuspendedDefianceOnly\n"
-    "2017-18\tNo \tD1\t27\tSpringfield\t66068\tAlisal Union\t0\tTA\t500\t*\t20\t1\n"
-    "2017-18\tNo \tD1\t27\tSpringfield\t66070\tElsewhere\t0\tTA\t499\t499\t1\t1\n"
-    "2017-18\tNo \tD1\t27\tSpringfield\t66068\tAlisal Union\t777\tTA\t500\t5\t500\t1\n"
-    "2017-18\tNo \tD2\t27\tSpringfield\t66069\tKing City\t\tTA\t0\t3\t*\t1\n"
+    "2017-18\tNo \tD1\t27\tSpringfield\t41001\tNorthfield Union\t0\tTA\t500\t*\t20\t1\n"
+    "2017-18\tNo \tD1\t27\tSpringfield\t41003\tElsewhere\t0\tTA\t499\t499\t1\t1\n"
+    "2017-18\tNo \tD1\t27\tSpringfield\t41001\tNorthfield Union\t777\tTA\t500\t5\t500\t1\n"
+    "2017-18\tNo \tD2\t27\tSpringfield\t41002\tRiverton\t\tTA\t0\t3\t*\t1\n"
     "2017-18\tAll\tC\t27\tSpringfield\t\t\t\tTA\t5000\t50\t40\t9\n"
 )
 
@@ -263,14 +263,14 @@ def susp_files(spark, tmp_path):
 
 def test_suspension_burden(susp_files):
     burden = lambda **k: [(r.district_code, r.burden) for r in I.suspension_burden(susp_files, "TA", **k).collect()]
-    assert burden(year="2017-18") == [("66070", 100.0), ("66068", None), ("66069", None)]
-    assert burden(year="2017-18", floor=500) == [("66068", None)]
-    assert burden(district="66068") == [("66068", 10.0), ("66068", None)]
-    assert burden(district="66068", school_totals=False) == [("66068", 10.0), ("66068", 1.0), ("66068", None)]
+    assert burden(year="2017-18") == [("41003", 100.0), ("41001", None), ("41002", None)]
+    assert burden(year="2017-18", floor=500) == [("41001", None)]
+    assert burden(district="41001") == [("41001", 10.0), ("41001", None)]
+    assert burden(district="41001", school_totals=False) == [("41001", 10.0), ("41001", 1.0), ("41001", None)]
 
 
 def test_pooled_districts(spark, susp_files):
-    pool = I.district_pool(susp_files, GEO, ["Alisal", "King"], "Five districts")
+    pool = I.district_pool(susp_files, GEO, ["Northfield", "River"], "Five districts")
     assert points(pool, "academic_year", "rate", "geo") == [
         ("2016-17", 0.04, "Five districts"), ("2017-18", None, "Five districts"),
     ]
@@ -320,7 +320,7 @@ def caaspp(spark):
             row("27", 1, "33.0", year=2021),
             row("27", 1, "20.0", test=2),
             row("27", 1, "1", grade=11),
-            row("27", 1, "1", district="66068"),
+            row("27", 1, "1", district="41001"),
             row("01", 1, "1"),
             row("27", 3, "40.0"),
             row("27", 74, "*"),
@@ -391,8 +391,8 @@ def test_reclassification_table_and_files(spark, tmp_path):
         ("Reclassified Students", "2018-2019", 11.0, "11"),
     ]
     assert points(I.reclassification(table, GEO)) == wanted
-    (tmp_path / "reclass19.txt").write_text("CDS\tReclass\tEL\n2766068\t5\t50\n2766069\t6\t60\n0127000\t9\t9\n")
-    (tmp_path / "reclass10.txt").write_text("CDS\tReclass\tEL\n2766068\t1\tNA\n")
+    (tmp_path / "reclass19.txt").write_text("CDS\tReclass\tEL\n2741001\t5\t50\n2741002\t6\t60\n0127000\t9\t9\n")
+    (tmp_path / "reclass10.txt").write_text("CDS\tReclass\tEL\n2741001\t1\tNA\n")
     paths = [f"{tmp_path}/reclass{y}.txt" for y in (19, 10)]
     files = read_with_origin(spark, paths)
     assert points(I.reclassification(files, GEO, source="files")) == wanted

@@ -54,6 +54,19 @@ def test_clean_names():
     assert len({n.lower() for n in clean_names(names)}) == len(names)
 
 
+def test_snake_names_do_not_depend_on_the_way_there():
+    raw = [
+        "College Going Rate - Total (12 Months)", "NoStud5", "Perc5b", "County Code", "CDS",
+        "Unduplicated Count of Students Suspended (Total)", "Test_Id", "CharterYN",
+    ]
+    direct = clean_names(raw, "snake")
+    assert direct == [
+        "college_going_rate_total_12_months", "no_stud5", "perc5b", "county_code", "cds",
+        "unduplicated_count_of_students_suspended_total", "test_id", "charter_yn",
+    ]
+    assert clean_names(clean_names(raw), "snake") == direct
+
+
 def test_files_with_drifting_headers_are_united_by_name(spark, drifting):
     df = read_glob(spark, str(drifting), "susp*txt")
     assert sorted(c.lower() for c in df.columns) == [
