@@ -7,7 +7,9 @@ districts.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,21 +69,38 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PANELS: dict[tuple[str, str], DataFrame] = {}
+_OWN_FOLDERS: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for intermediate tables; a scratch folder of our own
+    only where none is named, as in a local test."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = named or spark.conf.get("spark.checkpoint.dir", "")
+    if named:
+        return named
+    app = spark.sparkContext.applicationId
+    return _OWN_FOLDERS.setdefault(app, tempfile.mkdtemp(prefix="almanack-"))
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel of a data folder, one frame per application.
+    """The panel of a data folder, derived once per application and written as a table.
 
-    Its size depends on the dimensions alone, so the frame all figures share is kept in
-    executor storage after its first use; lost blocks are recomputed from the tables.
+    All figures share it. Its size depends on the dimensions alone, and a written table keeps
+    their plans short and survives the loss of executors.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _PANELS:
-        _PANELS[key] = derive(spark, sf_dir)
-    frame = _PANELS[key]
-    if frame.storageLevel == StorageLevel.NONE:
-        frame.persist(StorageLevel.MEMORY_AND_DISK)
-    return frame
+    app = spark.sparkContext.applicationId
+    if (app, sf_dir) not in _PANELS:
+        frame = derive(spark, sf_dir)
+        path = f"{shared_folder(spark)}/almanack_panel_{app}_{uuid.uuid4().hex}"
+        frame.write.parquet(path)
+        _PANELS[app, sf_dir] = spark.read.schema(frame.schema).parquet(path)
+    return _PANELS[app, sf_dir]
+
+
+def forget_panels() -> None:
+    """Derive panels anew at their next use, after their source tables have changed."""
+    _PANELS.clear()
 
 
 def derive(spark: SparkSession, sf_dir: str) -> DataFrame:
