@@ -270,6 +270,14 @@ SELECT page_id, {_list_cell(3)} AS item, CAST(length(html) AS DOUBLE) AS number
 
 # --- Sums -------------------------------------------------------------------------------
 
+
+def _dsum(column: str, where: str = "true") -> str:
+    """A sum that is NULL if one of its inputs is."""
+    total = f"CAST(sum(CAST({column} AS DECIMAL(18,4))) FILTER ({where}) AS DOUBLE)"
+    complete = f"count({column}) FILTER ({where}) = count(*) FILTER ({where})"
+    return f"(CASE WHEN {complete} THEN {total} END)"
+
+
 _ANY_DISTRICT = f"regexp_matches(district_name, '{'|'.join(DISTRICTS)}')"
 _POOL = f"""
 pool AS (
@@ -286,20 +294,22 @@ SELECT academic_year, county_code, people AS cumulative_enrollment,
 
 ORACLES["measure_by_year"] = """
 SELECT CAST(year(o_orderdate) AS INTEGER) AS year,
-       CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) AS value
+       CASE WHEN count(o_totalprice) = count(*)
+            THEN CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) END AS value
 FROM orders GROUP BY 1"""
 
-ORACLES["window_sum_distinct"] = """
+ORACLES["window_sum_distinct"] = f"""
 WITH sums AS (
-  SELECT l_returnflag, CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) AS "Quantity",
-         CASE WHEN l_returnflag <> 'N'
-              THEN CAST(sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS DOUBLE) END AS "Price"
+  SELECT l_returnflag, {_dsum('l_quantity')} AS "Quantity",
+         CASE WHEN l_returnflag <> 'N' THEN {_dsum('l_extendedprice')} END AS "Price"
   FROM lineitem GROUP BY l_returnflag)
 SELECT * FROM sums UNPIVOT INCLUDE NULLS (value FOR name IN ("Quantity", "Price"))"""
 
 ORACLES["group_total_on_rows"] = """
 SELECT o_orderkey, o_custkey, o_totalprice,
-       CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) OVER (PARTITION BY o_custkey) AS DOUBLE) AS customer_total
+       CASE WHEN count(o_totalprice) OVER (PARTITION BY o_custkey) = count(*) OVER (PARTITION BY o_custkey)
+            THEN CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) OVER (PARTITION BY o_custkey) AS DOUBLE)
+       END AS customer_total
 FROM orders"""
 
 ORACLES["distinct_values"] = """
@@ -313,10 +323,6 @@ FROM orders GROUP BY o_custkey"""
 # --- Reshapes ---------------------------------------------------------------------------
 
 
-def _dsum(column: str, where: str = "true") -> str:
-    return f"CAST(sum(CAST({column} AS DECIMAL(18,4))) FILTER ({where}) AS DOUBLE)"
-
-
 ORACLES["pivot_multi_value"] = f"""
 SELECT l_returnflag, {_dsum('l_quantity', "l_linestatus = 'F'")} AS "l_quantity_F",
        {_dsum('l_quantity', "l_linestatus = 'O'")} AS "l_quantity_O",
@@ -337,12 +343,14 @@ SELECT * FROM sums UNPIVOT INCLUDE NULLS (value FOR name IN ({', '.join(_MEASURE
 # --- Orders -----------------------------------------------------------------------------
 
 ORACLES["order_by_median"] = """
-SELECT p_brand, median, CAST(row_number() OVER (ORDER BY median, p_brand) AS INTEGER) AS level
+SELECT p_brand, median, CAST(row_number() OVER (
+         ORDER BY (p_brand IS NULL), median NULLS LAST, p_brand) AS INTEGER) AS level
 FROM (SELECT p_brand, median(p_retailprice) AS median FROM part GROUP BY p_brand)"""
 
 ORACLES["order_by_mean"] = """
-SELECT p_brand, mean, CAST(row_number() OVER (ORDER BY mean, p_brand) AS INTEGER) AS level
-FROM (SELECT p_brand, CAST(sum(CAST(p_retailprice AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS mean
+SELECT p_brand, mean, CAST(row_number() OVER (
+         ORDER BY (p_brand IS NULL), mean NULLS LAST, p_brand) AS INTEGER) AS level
+FROM (SELECT p_brand, CAST(sum(CAST(p_retailprice AS DECIMAL(18,4))) AS DOUBLE) / count(p_retailprice) AS mean
       FROM part GROUP BY p_brand)"""
 
 ORACLES["fixed_order"] = """
