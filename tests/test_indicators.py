@@ -148,6 +148,19 @@ def test_college_going(spark):
     ]
 
 
+def test_college_going_from_text_files(spark, tmp_path):
+    header = (
+        "AcademicYear\tAggregateLevel\tCountyCode\tCountyName\tReportingCategory\tCharterSchool\t"
+        "AlternativeSchoolAccountabilityStatus\tCompleterType\tCollege Going Rate - Total (12 Months)\n"
+    )
+    (tmp_path / "cgr17.txt").write_text(header + "2016-17\tT\t00\tState\tTA\tAll\tAll\tTA\t64.5\n")
+    (tmp_path / "cgr18.txt").write_text(header + "2017-18\tC\t27\tSpringfield\tTA\tAll\tAll\tTA\t*\n")
+    files = read_glob(spark, str(tmp_path), "cgr*txt")
+    assert points(I.college_going_trend(files, GEO)) == [
+        ("California", "2016-17", 0.645, "64.5%"), ("Springfield", "2017-18", None, None),
+    ]
+
+
 def test_readiness_and_ages(spark):
     assert points(I.kindergarten_readiness(spark, GEO)) == [
         ("Springfield County", "2012", 23.0, "23%"), ("Springfield County", "2015", 25.0, "25%"),

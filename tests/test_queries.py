@@ -5,6 +5,7 @@ import pytest
 import oracle_check
 from __spark_entry__ import entry, oracle_sql, queries
 from almanack.plans.indicators import CHART_COLUMNS
+from almanack.plans.panel import forget_panels, panel, shared_folder
 
 QUERIES, SQL = queries(), oracle_sql()
 
@@ -29,6 +30,32 @@ def test_query_matches_sql(spark, duck, sf_dir, name):
     assert oracle_check.check(spark, duck, sf_dir, name, QUERIES[name], SQL[name]) is None
 
 
+SQL_TYPES = {
+    "string": "VARCHAR",
+    "double": "DOUBLE",
+    "int": "INTEGER",
+    "bigint": "BIGINT",
+    "boolean": "BOOLEAN",
+    "date": "DATE",
+}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_column_types_match_sql(spark, duck, sf_dir, name):
+    found = {c: SQL_TYPES[t] for c, t in QUERIES[name](spark, sf_dir).dtypes}
+    assert found == {r[0]: r[1] for r in duck.execute("DESCRIBE " + SQL[name]).fetchall()}
+
+
+def test_panel_is_derived_once(spark, sf_dir):
+    first = panel(spark, sf_dir)
+    assert panel(spark, sf_dir) is first
+    forget_panels()
+    again = panel(spark, sf_dir)
+    assert again is not first
+    assert again.exceptAll(first).count() == 0 and again.count() == first.count()
+    assert shared_folder(spark) == shared_folder(spark)
+
+
 def test_entry(spark):
     df = entry(spark)
     assert df.columns == CHART_COLUMNS
