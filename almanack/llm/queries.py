@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 
 from almanack.llm.common import shared_folder, table
 from almanack.llm.line_dedup import dedup_lines
+from almanack.llm.packing import PIECE, pack
 from almanack.llm.token_files import read_documents, with_checksums, write_token_files
+from almanack.llm.warc import archived
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer=TOKENIZER).select(PIECE)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
@@ -41,6 +47,24 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = archived(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = """
+WITH digests AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), keepers AS (
+  SELECT payload_digest, max(page_id) AS keeper FROM digests WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT d.page_id, d.payload_bytes, d.payload_digest,
+       CASE WHEN d.page_id < k.keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN d.page_id < k.keeper THEN k.keeper END AS refers_to
+FROM digests d LEFT JOIN keepers k ON d.payload_digest = k.payload_digest
+"""
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), path, tokenizer=TOKENIZER)
@@ -48,8 +72,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
     "op6_line_dedup": op6_line_dedup,
+    "op8_warc": op8_warc,
     "op9_token_files": op9_token_files,
 }
 
-LLM_ORACLES: dict[str, str] = {"op6_line_dedup": OP6_SQL}
+LLM_ORACLES: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op8_warc": OP8_SQL}

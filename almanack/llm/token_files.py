@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from almanack.llm.common import batches_of_text
-from almanack.llm.tokens import WordCachedTokenizer
+from almanack.llm.tokens import ENCODE_BYTES, WordCachedTokenizer
 
 SCHEMA = "part int, doc_id long, start_in_part long, n_tokens long, ids array<int>"
 ENCODINGS = {
@@ -55,7 +55,7 @@ def write_token_files(
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, total = WordCachedTokenizer(tokenizer), TaskContext.get().partitionId(), 0
-        for batch, texts in batches_of_text(batches):
+        for batch, texts in batches_of_text(batches, limit=ENCODE_BYTES):
             flat, ends = coder.encode(texts)
             flat = np.insert(flat, ends[1:], end_id)
             ends = ends + np.arange(len(ends))

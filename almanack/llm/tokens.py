@@ -3,13 +3,30 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Bytes of text that are encoded at a time.
+ENCODE_BYTES = 8 << 20
+
 PROBE = "One two\nthree  four\tfive, 6 sixes' 7"
+PLAIN_PROBE = ["Word", "naïve,", "STRASSE.", "Ærø...", "größer", "x"]
+
+#: Letters below U+0250, which no Unicode version or normal form changes, and closing punctuation.
+#: The dotted capital I is left out, as its lower case is two characters.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable stand-ins of byte-level vocabularies: a byte's own letter, or the next from U+0100."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = (b for b in range(256) if b not in own)
+    return {b: chr(b) for b in own} | {b: chr(0x100 + n) for n, b in enumerate(rest)}
 
 
 class WordCachedTokenizer:
@@ -18,8 +35,9 @@ class WordCachedTokenizer:
     A tokenizer that drops white space before it looks at words gives a text the ids of its
     words in a row, so each distinct word of a slice is encoded once. Whether the given file is
     such a tokenizer is probed first; any other encodes whole texts. Only ASCII white space
-    splits, so every other character is left to the tokenizer. The limit bounds memory: a full
-    cache is emptied and filled again.
+    splits, so every other character is left to the tokenizer. Words of plain letters go straight
+    to the tokenizer's merging model, if a probe shows the same ids. The limit bounds memory: a
+    full cache is emptied and filled again.
     """
 
     def __init__(self, path: str, limit: int = 400_000):
@@ -28,9 +46,35 @@ class WordCachedTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
-        self.known: dict[str, list[int]] = {"": []}
+        self.known: dict[str, bytes] = {"": b""}  # unsigned 32-bit ids
         whole = self._plain([PROBE, f" {PROBE}\n"])
         self.by_word = whole[0] == whole[1] == list(chain.from_iterable(self._plain(PROBE.split())))
+        self.letters = byte_letters()
+        self.model = self.tokenizer.model
+        try:
+            self.straight = [self._letters(w) for w in PLAIN_PROBE] == self._packed(PLAIN_PROBE)
+        except Exception:  # a model without such tokens
+            self.straight = False
+        self.known = {"": b""}
+
+    def _packed(self, texts: list[str]) -> list[bytes]:
+        return [array("I", ids).tobytes() for ids in self._plain(texts)]
+
+    def _letters(self, word: str) -> bytes | None:
+        """Ids of a word of plain letters and closing punctuation; None for any other word."""
+        match = PLAIN.fullmatch(word)
+        if match is None:
+            return None
+        letters, marks = match[1].lower(), match[2]
+        ids = self.known.get(letters)
+        if ids is None:
+            spelt = letters if letters.isascii() else "".join(map(self.letters.__getitem__, letters.encode()))
+            ids = self.known[letters] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        if not marks:
+            return ids
+        if marks not in self.known:
+            self.known[marks] = self._packed([marks])[0]
+        return ids + self.known[marks]
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -45,8 +89,8 @@ class WordCachedTokenizer:
         coded = words.flatten().dictionary_encode()
         distinct, codes = coded.dictionary.to_pylist(), np.asarray(coded.indices)
         ids = self._of(distinct)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        pool = np.fromiter(chain.from_iterable(ids), np.uint32, sizes.sum())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool = np.frombuffer(b"".join(ids), np.uint32)
         begins = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
         lengths = sizes[codes]
         ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
@@ -54,10 +98,16 @@ class WordCachedTokenizer:
         bounds = np.asarray(words.offsets, dtype=np.int64)
         return flat, ends[bounds - bounds[0]]
 
-    def _of(self, words: list[str]) -> list[list[int]]:
+    def _of(self, words: list[str]) -> list[bytes]:
         if len(self.known) > self.limit:
-            self.known = {"": []}
-        known = self.known
-        new = [w for w in words if w not in known]
-        known.update(zip(new, self._plain(new), strict=True))
+            self.known = {"": b""}
+        known, other = self.known, []
+        for word in words:
+            if word not in known:
+                ids = self._letters(word) if self.straight else None
+                if ids is None:
+                    other.append(word)
+                else:
+                    known[word] = ids
+        known.update(zip(other, self._packed(other), strict=True))
         return [known[w] for w in words]
