@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from almanack.llm.common import shared_folder, table
 from almanack.llm.line_dedup import dedup_lines
 from almanack.llm.packing import PIECE, pack
+from almanack.llm import toxicity
 from almanack.llm.token_files import read_documents, with_checksums, write_token_files
 from almanack.llm.warc import archived
 
@@ -47,6 +48,17 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, "score").select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = archived(table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -74,6 +86,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op6_line_dedup": op6_line_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
     "op9_token_files": op9_token_files,
 }

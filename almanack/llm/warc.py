@@ -129,7 +129,10 @@ def read_archives(
     ranges = files.where("bytes > 0").select(
         "file", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(split_bytes))).alias("start")
     )
-    ranges = ranges.repartition("file", "start")
+    # Range rows are tiny, so their number of tasks is set here and not by their size.
+    tasks = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    most = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges.repartition(min(int(tasks), most), "file", "start")
 
     def read(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
