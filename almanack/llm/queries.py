@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from almanack.llm.common import shared_folder, table
 from almanack.llm.line_dedup import dedup_lines
+from almanack.llm.decontaminate import contaminated
 from almanack.llm.near_dedup import near_duplicates
 from almanack.llm.packing import PIECE, pack
 from almanack.llm import toxicity
@@ -27,6 +28,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, num=85, den=100)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
@@ -91,6 +96,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_near_dedup": op4_near_dedup,
+    "op5_decontamination": op5_decontamination,
     "op6_line_dedup": op6_line_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
