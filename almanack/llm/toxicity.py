@@ -86,23 +86,30 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
-def choose_voters(rows: list[tuple[set[str], int]], *, most: int, support: int, precision: float) -> list[str]:
+def choose_voters(rows: list[tuple[str, int]], *, most: int, support: int, precision: float) -> list[str]:
     """Marks found in at least ``support`` different toxic rows, almost only there; the strongest ``most``.
 
     Copies of a text would lend support to all of its words. So rows are told apart by a min-hash of
     their marks, under four hash functions, and a mark counts by the function that tells fewest apart.
+    Rows are their distinct words in one string; marks are made row by row, to keep memory small.
     """
-    different: dict[str, list[set[int]]] = {}
-    clean: Counter[str] = Counter()
-    for marks, label in rows:
+    toxic: Counter[str] = Counter()
+    for words, label in rows:
         if label:
-            hashes = np.array([zlib.crc32(m.encode()) for m in marks] or [0], np.uint64)
-            least = [int((hashes * np.uint64(k) % np.uint64(4294967291)).min()) for k in MULTIPLIERS]
-            for mark in marks:
-                for seen, x in zip(different.setdefault(mark, [set(), set(), set(), set()]), least, strict=True):
-                    seen.add(x)
-        else:
-            clean.update(marks)
+            toxic.update(marks_of(words.split()))
+    candidates = {mark for mark, hits in toxic.items() if hits >= support}
+    clean: Counter[str] = Counter()
+    different: dict[str, list[set[int]]] = {mark: [set() for _ in MULTIPLIERS] for mark in candidates}
+    for words, label in rows:
+        marks = marks_of(words.split())
+        if not label:
+            clean.update(marks & candidates)
+            continue
+        hashes = np.array([zlib.crc32(m.encode()) for m in marks] or [0], np.uint64)
+        least = [int((hashes * np.uint64(k) % np.uint64(4294967291)).min()) for k in MULTIPLIERS]
+        for mark in marks & candidates:
+            for seen, x in zip(different[mark], least, strict=True):
+                seen.add(x)
     n_toxic = max(1, sum(label for _, label in rows))
     n_clean = max(1, len(rows) - n_toxic)
     ranked = []
@@ -185,18 +192,17 @@ def train(
 
     sample = rows.mapInArrow(distinct, "label int, at long, words string").collect()
     sample = sorted((r["at"], r["words"], r["label"]) for r in sample)
-    marked = [(marks_of(words.split()), label) for _, words, label in sample]
-    return fit(marked, max_voters, support, precision)
+    return fit([(words, label) for _, words, label in sample], max_voters, support, precision)
 
 
-def fit(rows: list[tuple[set[str], int]], max_voters: int = 400, support: int = 5, precision: float = 0.98) -> ToxicityModel:
+def fit(rows: list[tuple[str, int]], max_voters: int = 400, support: int = 5, precision: float = 0.98) -> ToxicityModel:
     voters = choose_voters(rows, most=max_voters, support=support, precision=precision)
     if not voters:
         return ToxicityModel([], np.zeros(2), 0.0)
     place = {v: i for i, v in enumerate(voters)}
     votes = np.zeros((len(rows), len(voters) + 1))
-    for i, (marks, _) in enumerate(rows):
-        votes[i, [place[m] for m in marks if m in place]] = 1
+    for i, (words, _) in enumerate(rows):
+        votes[i, [place[m] for m in marks_of(words.split()) if m in place]] = 1
     votes[:, -1] = votes[:, :-1].sum(axis=1) == 0
     posterior, _, _ = label_model(votes, float(np.clip(np.mean([label for _, label in rows]), 1e-3, 0.5)))
     counts = np.log1p(votes[:, :-1].sum(axis=1, keepdims=True))
