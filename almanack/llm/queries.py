@@ -14,12 +14,18 @@ from almanack.llm.decontaminate import contaminated
 from almanack.llm.near_dedup import near_duplicates
 from almanack.llm.packing import PIECE, pack
 from almanack.llm import toxicity
+from almanack.llm.suffix_dedup import remove_repeats
 from almanack.llm.token_files import read_documents, with_checksums, write_token_files
 from almanack.llm.warc import archived
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = remove_repeats(table(spark, sf_dir, "documents"))
+    return rest.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer=TOKENIZER).select(PIECE)
 
@@ -94,6 +100,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
     "op4_near_dedup": op4_near_dedup,
     "op5_decontamination": op5_decontamination,

@@ -166,7 +166,7 @@ def train(
     docs: DataFrame,
     labels: DataFrame,
     *,
-    max_rows: int = 6_000,
+    max_rows: int = 4_000,
     max_voters: int = 400,
     support: int = 5,
     precision: float = 0.98,
