@@ -13,7 +13,7 @@ from almanack.llm.line_dedup import dedup_lines
 from almanack.llm.decontaminate import contaminated
 from almanack.llm.near_dedup import near_duplicates
 from almanack.llm.packing import PIECE, pack
-from almanack.llm import toxicity
+from almanack.llm import neighbours, toxicity
 from almanack.llm.suffix_dedup import remove_repeats
 from almanack.llm.token_files import read_documents, with_checksums, write_token_files
 from almanack.llm.warc import archived
@@ -30,6 +30,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer=TOKENIZER).select(PIECE)
 
 
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(neighbours.build(vectors), vectors.where("vec_id % 100 = 0"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, num=85, den=100)
 
@@ -102,6 +107,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
+    "op3_nn_descent": op3_nn_descent,
     "op4_near_dedup": op4_near_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_line_dedup": op6_line_dedup,
