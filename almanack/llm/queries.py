@@ -13,7 +13,7 @@ from almanack.llm.line_dedup import dedup_lines
 from almanack.llm.decontaminate import contaminated
 from almanack.llm.near_dedup import near_duplicates
 from almanack.llm.packing import PIECE, pack
-from almanack.llm import neighbours, toxicity
+from almanack.llm import html_text, neighbours, toxicity
 from almanack.llm.suffix_dedup import remove_repeats
 from almanack.llm.token_files import read_documents, with_checksums, write_token_files
 from almanack.llm.warc import archived
@@ -104,6 +104,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_checksums(read_documents(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.main_text(pages, html_text.train(pages))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
@@ -114,6 +119,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
     "op9_token_files": op9_token_files,
+    "op10_html_text": op10_html_text,
 }
 
 LLM_ORACLES: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op8_warc": OP8_SQL}
