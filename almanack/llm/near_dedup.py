@@ -36,7 +36,7 @@ from almanack.llm.shingles import shingle_hashes, signatures
 #: Min-hashes of a band, of a batch in verification, and in all for verification beyond the bands.
 ROWS, BATCH, EXTRA = 4, 32, 64
 #: Rows of either side of a block.
-BLOCK = 400
+BLOCK = 800
 
 
 def bands_for(threshold: float, miss: float) -> int:
@@ -64,7 +64,7 @@ def least_matches(threshold: float, miss: float, size: int) -> list[int]:
 
 
 def signed(docs: DataFrame, words: int, bands: int) -> DataFrame:
-    """doc_id, n, s1, s2 (hash of the set), bands (bucket keys), sig."""
+    """doc_id, n, s1, s2 (hash of the set), bands (bucket keys), sig (the other min-hashes)."""
     size = bands * ROWS + EXTRA
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +85,7 @@ def signed(docs: DataFrame, words: int, bands: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1.view(np.int64)),
-                    pa.array(s2.view(np.int64)), lists, pa.array([row.tobytes() for row in sig], pa.binary()),
+                    pa.array(s2.view(np.int64)), lists, pa.array([row[bands * ROWS :].tobytes() for row in sig], pa.binary()),
                 ],
                 ["doc_id", "n", "s1", "s2", "bands", "sig"],
             )
@@ -109,20 +109,19 @@ def with_sets(texts: DataFrame, words: int) -> DataFrame:
 # ---------------------------------------------------------------- verification in blocks
 
 
-def links_of_block(frame: pd.DataFrame, num: int, den: int, bands: int, least: list[int]) -> pd.DataFrame:
+def links_of_block(frame: pd.DataFrame, num: int, den: int, least: list[int]) -> pd.DataFrame:
     """Links between the rows of side 0 and those of side 1, at most one per row and component."""
     left, right = frame[frame.side == 0], frame[frame.side == 1]
     links: list[tuple[int, int]] = []
     if len(left) and len(right):
-        sigs = [np.frombuffer(b"".join(f.sig), np.uint32).reshape(len(f), -1) for f in (left, right)]
+        fresh = [np.frombuffer(b"".join(f.sig), np.uint32).reshape(len(f), -1) for f in (left, right)]
         ids, comps = (left.id.to_numpy(), right.id.to_numpy()), (left.comp.to_numpy(), right.comp.to_numpy())
         sets = [[np.frombuffer(s, np.uint64) for s in f.shingles] for f in (left, right)]
         shared = np.zeros((len(left), len(right)), bool)
-        keys = [s[:, : bands * ROWS].reshape(len(s), bands, ROWS) for s in sigs]
-        for band in range(bands):
-            shared |= (keys[0][:, None, band] == keys[1][None, :, band]).all(axis=2)
+        keys = [np.stack(f.bands.to_numpy()) for f in (left, right)]
+        for one, other in zip(keys[0].T, keys[1].T, strict=True):
+            shared |= one[:, None] == other[None, :]
         shared &= (ids[0][:, None] != ids[1][None, :]) & (comps[0][:, None] != comps[1][None, :])
-        fresh = [s[:, bands * ROWS :] for s in sigs]
         for row in np.flatnonzero(shared.any(axis=1)):
             open_ = np.flatnonzero(shared[row])
             matches = np.zeros(len(open_), np.int64)
@@ -143,12 +142,12 @@ def links_of_block(frame: pd.DataFrame, num: int, den: int, bands: int, least: l
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, num: int, den: int, bands: int, least: list[int]) -> DataFrame:
+def verified(pairs: DataFrame, rows: DataFrame, num: int, den: int, least: list[int]) -> DataFrame:
     """Links from ``pairs`` (g1, g2, g3: a block; side, id, comp) with the signatures and sets of ``rows``."""
-    full = pairs.join(rows, "id").select("g1", "g2", "g3", "side", "id", "comp", "sig", "shingles")
+    full = pairs.join(rows, "id").select("g1", "g2", "g3", "side", "id", "comp", "bands", "sig", "shingles")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return links_of_block(frame, num, den, bands, least)
+        return links_of_block(frame, num, den, least)
 
     return full.groupBy("g1", "g2", "g3").applyInPandas(run, "a long, b long")
 
@@ -203,7 +202,7 @@ def near_duplicates(
     clusters = staged(components(edges.select(F.col("id").alias("a"), F.col("centre").alias("b"))), "clusters")
     members = clusters.select(F.col("node").alias("id"))
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(members, "id")
-    members = classes.select("id", "sig").join(with_sets(texts, words).dropDuplicates(["id", "shingles"]), "id")
+    members = classes.select("id", "bands", "sig").join(with_sets(texts, words).dropDuplicates(["id", "shingles"]), "id")
     members = staged(members, "members")
 
     # Members against the centres of their buckets.
@@ -212,7 +211,7 @@ def near_duplicates(
     stars = stars.select(F.col("centre").alias("g1"), part, F.lit(0).cast("long").alias("g3"), "id")
     far = stars.select("*", F.lit(1).alias("side"), F.col("id").alias("comp"))
     near = stars.select("g1", "g2", "g3", F.col("g1").alias("id"), F.lit(0).alias("side"), F.col("g1").alias("comp")).distinct()
-    links = staged(verified(near.unionByName(far), members, num, den, bands, least), "links")
+    links = staged(verified(near.unionByName(far), members, num, den, least), "links")
 
     # Members outside the largest component of their cluster against all of it.
     found = components(links)
@@ -229,7 +228,7 @@ def near_duplicates(
     outside = state.where("comp <> main").withColumns({"g2": F.pmod("at", xs), "g3": F.explode(F.sequence(F.lit(0).cast("long"), ys - 1))})
     inside = state.withColumns({"g3": F.pmod("at", ys), "g2": F.explode(F.sequence(F.lit(0).cast("long"), xs - 1))})
     blocks = outside.select(*names, F.lit(0).alias("side")).unionByName(inside.select(*names, F.lit(1).alias("side")))
-    more = verified(blocks, members, num, den, bands, least)
+    more = verified(blocks, members, num, den, least)
 
     final = components(links.unionByName(more))
     named = classes.join(final, classes["id"] == final["node"], "left")
