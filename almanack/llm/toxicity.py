@@ -1,15 +1,15 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a label model, a linear classifier.
 
-Training looks at a bounded sample of labelled rows. Words and word beginnings that mark toxic
-texts become voters; a word voter fires on the word, a pattern voter on any word that begins so.
-Voters that hit nothing toxic elsewhere would be noise, so a voter needs support and precision;
-voters for clean texts fire where no voter of a kind does. A generative model of their votes with a
-hidden label is fitted by expectation maximisation: it estimates how often each voter fires on
-either label and, from the votes that the label leaves unexplained, how voters depend on each
-other; the votes of dependent voters count for less. A logistic regression on the voters' votes is
+Training looks at a bounded sample of labelled rows. Marks of toxic texts become voters: a lexicon
+voter fires on a word, a pattern voter on any longer word with a certain beginning, or on two such
+words. A mark needs support by different rows and precision. A clean voter fires where no other
+does, and the given label is one more voter, an annotator who may err. A generative model of their
+votes with a hidden label is fitted by expectation maximisation: it estimates how often each voter
+fires on either label and, from the votes that the label leaves unexplained, how voters depend on each
+other; the votes of dependent voters count for less. A logistic regression on the text's voters is
 then fitted to the posterior labels and scores every text.
 
-A NULL or empty text fires only clean voters and gets a low score. Labels of NULL are left out.
+A NULL or empty text fires only the clean voter and gets a low score. Labels of NULL are left out.
 Repeated rows are scored alike. With no toxic training row, every score is 0. An empty table gives
 no rows. Only the text is an input of a score.
 """
@@ -31,7 +31,7 @@ from almanack.llm.common import batches_of_text
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters of a word's beginning that pattern voters look at.
-PREFIXES = (4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Multipliers of the four min-hashes that tell training rows apart.
 MULTIPLIERS = (2654435761, 2246822519, 3266489917, 668265263)
 
@@ -46,11 +46,9 @@ def words_of(text: str) -> set[str]:
 
 
 def marks_of(words: Iterable[str]) -> set[str]:
-    """Words as they are, and beginnings with a star."""
-    marks = set(words)
-    for word in list(marks):
-        marks.update(f"{word[:n]}*" for n in PREFIXES if len(word) >= n)
-    return marks
+    """Words as they are; beginnings of longer words with a plus, with two if two words have them."""
+    longer = Counter(word[:n] for word in words for n in PREFIXES if len(word) > n)
+    return {*words, *(f"{p}+" for p in longer), *(f"{p}++" for p, k in longer.items() if k > 1)}
 
 
 @dataclass
@@ -58,34 +56,46 @@ class ToxicityModel:
     """Voters and their weights; small, whatever it was trained on."""
 
     voters: list[str]
-    weights: np.ndarray  # of the voters, of the number of voters that fired, of none firing
+    weights: np.ndarray  # of the voters, then of the numbers of ``totals``
     bias: float
 
     def __post_init__(self) -> None:
         self.place = {v: i for i, v in enumerate(self.voters)}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.begins = {v.rstrip("+") for v in self.voters if v.endswith("+")}
+        self.cache: dict[str, tuple[str, ...]] = {}
 
-    def fired(self, text: str) -> set[int]:
-        found: set[int] = set()
-        for word in words_of(text):
+    def fired(self, words: set[str]) -> set[int]:
+        found = {self.place[w] for w in words if w in self.place}
+        longer: Counter[str] = Counter()
+        for word in words:
             hits = self.cache.get(word)
             if hits is None:
                 if len(self.cache) > 500_000:
                     self.cache.clear()
-                hits = tuple(self.place[m] for m in marks_of([word]) if m in self.place)
+                hits = tuple(word[:n] for n in PREFIXES if len(word) > n and word[:n] in self.begins)
                 self.cache[word] = hits
-            found.update(hits)
+            if hits:
+                longer.update(hits)
+        for beginning, times in longer.items():
+            for mark in (f"{beginning}+", f"{beginning}++")[: 1 + (times > 1)]:
+                if mark in self.place:
+                    found.add(self.place[mark])
         return found
 
     def score(self, text: str) -> float:
         if not self.voters:
             return 0.0
-        fired = self.fired(text)
-        total = self.bias + sum(self.weights[i] for i in fired)
-        total += self.weights[-2] * np.log1p(len(fired)) + self.weights[-1] * (not fired)
+        words = words_of(text)
+        fired = self.fired(words)
+        total = self.bias + sum(self.weights[i] for i in fired) + self.weights[len(self.voters) :] @ totals(len(fired), len(words))
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
+def totals(fired: int, words: int) -> np.ndarray:
+    """What the classifier knows besides the voters: how many fired, whether none did, the text's size."""
+    return np.array([np.log1p(fired), float(fired == 0), np.log1p(words) / 5])
+
+
 def choose_voters(rows: list[tuple[str, int]], *, most: int, support: int, precision: float) -> list[str]:
     """Marks found in at least ``support`` different toxic rows, almost only there; the strongest ``most``.
 
@@ -123,31 +133,32 @@ def choose_voters(rows: list[tuple[str, int]], *, most: int, support: int, preci
 def label_model(votes: np.ndarray, prior: float, turns: int = 30, dependent: float = 0.3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of the hidden label, firing rates per label and voter, and dependence weights.
 
-    ``votes`` holds 0 or 1 per row and voter; the last column is the clean voter. Each round gives
+    ``votes`` holds 0 or 1 per row and voter; the last columns are the clean voter and the annotator,
+    whose labels are the first guess. Each round gives
     posteriors from rates and weights, then rates from posteriors. After a few rounds the
     correlation of what the label leaves unexplained is measured; the weight of a voter is one over
     its total correlation with voters it depends on, itself included. The clean voter is the
-    others' silence, so it is left out of that.
+    others' silence and the annotator stands alone, so both are left out of that.
     """
     n, m = votes.shape
-    posterior = np.where(votes[:, -1] == 0, 0.9, 0.1 * prior)
+    posterior = np.where(votes[:, -1] == 1, 0.98, 0.02 * prior)
     weight, rates = np.ones(m), np.zeros((2, m))
     for turn in range(turns):
         for label, share in ((0, 1 - posterior), (1, posterior)):
             rates[label] = (share @ votes + 0.1) / (share.sum() + 1.0)
         if turn == 3:
             left = votes - np.outer(posterior, rates[1]) - np.outer(1 - posterior, rates[0])
-            left = left[:, :-1] * np.sqrt(posterior)[:, None]  # toxic voters hardly fire on clean rows
+            left = left[:, :-2] * np.sqrt(posterior)[:, None]  # toxic voters hardly fire on clean rows
             scale = np.sqrt((left**2).sum(axis=0)) + 1e-9
             correlation = np.abs(left.T @ left) / np.outer(scale, scale)
-            weight[:-1] = 1 / np.maximum(1.0, np.where(correlation > dependent, correlation, 0).sum(axis=1))
+            weight[:-2] = 1 / np.maximum(1.0, np.where(correlation > dependent, correlation, 0).sum(axis=1))
         on, off = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
         odds = np.log(prior / (1 - prior)) + votes @ (weight * on) + (1 - votes) @ (weight * off)
         posterior = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return posterior, rates, weight
 
 
-def fit_linear(features: np.ndarray, target: np.ndarray, ridge: float = 1e-4, turns: int = 25) -> tuple[np.ndarray, float]:
+def fit_linear(features: np.ndarray, target: np.ndarray, ridge: float = 1e-3, turns: int = 25) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by damped Newton steps."""
     x = np.hstack([features, np.ones((len(features), 1))])
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
@@ -167,9 +178,9 @@ def train(
     labels: DataFrame,
     *,
     max_rows: int = 4_000,
-    max_voters: int = 400,
-    support: int = 5,
-    precision: float = 0.98,
+    max_voters: int = 600,
+    support: int = 4,
+    precision: float = 0.75,
 ) -> ToxicityModel:
     """Fit on at most ``max_rows`` labelled rows outside the held-out fifth.
 
@@ -195,18 +206,19 @@ def train(
     return fit([(words, label) for _, words, label in sample], max_voters, support, precision)
 
 
-def fit(rows: list[tuple[str, int]], max_voters: int = 400, support: int = 5, precision: float = 0.98) -> ToxicityModel:
+def fit(rows: list[tuple[str, int]], max_voters: int = 600, support: int = 4, precision: float = 0.75) -> ToxicityModel:
     voters = choose_voters(rows, most=max_voters, support=support, precision=precision)
     if not voters:
-        return ToxicityModel([], np.zeros(2), 0.0)
+        return ToxicityModel([], np.zeros(3), 0.0)
     place = {v: i for i, v in enumerate(voters)}
-    votes = np.zeros((len(rows), len(voters) + 1))
-    for i, (words, _) in enumerate(rows):
-        votes[i, [place[m] for m in marks_of(words.split()) if m in place]] = 1
-    votes[:, -1] = votes[:, :-1].sum(axis=1) == 0
-    posterior, _, _ = label_model(votes, float(np.clip(np.mean([label for _, label in rows]), 1e-3, 0.5)))
-    counts = np.log1p(votes[:, :-1].sum(axis=1, keepdims=True))
-    weights, bias = fit_linear(np.hstack([votes[:, :-1], counts, votes[:, -1:]]), posterior)
+    votes, sizes = np.zeros((len(rows), len(voters) + 2)), []
+    for i, (words, label) in enumerate(rows):
+        fired = [place[m] for m in marks_of(words.split()) if m in place]
+        votes[i, fired] = 1
+        votes[i, -2:] = (not fired, label)
+        sizes.append(totals(len(fired), len(words.split())))
+    posterior, _, _ = label_model(votes, float(np.clip(votes[:, -1].mean(), 1e-3, 0.5)))
+    weights, bias = fit_linear(np.hstack([votes[:, :-2], np.stack(sizes)]), posterior)
     return ToxicityModel(voters, weights, bias)
 
 
