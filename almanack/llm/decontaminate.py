@@ -13,7 +13,8 @@ copies map each value to itself, re-parameterised ones to new values.
 A first pass over all documents replaces slots within the texts, which is quick, and finds those that
 share any window with the benchmark; tokens, alignments and slots are worked out for these alone.
 
-Items of fewer tokens than a window use one window of all their tokens. The windows of the benchmark
+Texts of fewer tokens than a window have one window of all their tokens, so such an item is only found
+as a whole document. The windows of the benchmark
 are broadcast in blocks of about ``block`` rows, whatever the size of the benchmark; a document
 is read once per block. NULL or empty texts and items have no tokens and match nothing; rows
 without an id are left out of the result. Repeated rows give one result row. An empty table gives
@@ -79,12 +80,20 @@ def quick_forms(rows: DataFrame, key: str) -> DataFrame:
 
 
 def windows_of(rows: DataFrame, key: str, window: int) -> DataFrame:
-    """key, at (position), h (hash of the window's forms), for every window of every row."""
-    size = F.size("forms")
-    last = F.greatest(size - window, F.lit(0))
-    rows = rows.where(size > 0).withColumn("codes", F.transform("forms", lambda f: F.xxhash64(f)))
-    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice("codes", i + 1, F.lit(window))))
-    return rows.select(key, F.posexplode(hashes).alias("at", "h"))
+    """key, at (position), h (hash of the window's forms), for every window of every row.
+
+    Hashes of two neighbours give those of two, four, ... forms, a column each, so a window costs
+    a few hashes of two numbers whatever its length. A row of fewer forms has one window.
+    """
+    rows = rows.where(F.size("forms") > 0).select(key, F.size("forms").alias("n"), F.transform("forms", lambda f: F.xxhash64(f)).alias("h"))
+    have = 1
+    while have < window:
+        step = min(have, window - have)
+        beyond = F.slice("h", step + 1, 1 << 30)
+        rows = rows.withColumn("h", F.zip_with("h", beyond, lambda x, y: F.xxhash64(x, y)))
+        have += step
+    whole = F.slice("h", F.lit(1), F.greatest(F.col("n") - window + 1, F.lit(1)))
+    return rows.select(key, F.posexplode(whole).alias("at", "h"))
 
 
 def contaminated(
@@ -120,28 +129,14 @@ def contaminated(
 def sharing(docs: DataFrame, benchmark: DataFrame, window: int, block: int) -> DataFrame:
     """doc_id of the documents that share a window with any item.
 
-    A document with a window of the benchmark has the window's longest form, too. Documents without
-    any such form are passed over before windows are hashed.
+    The windows asked for are broadcast in blocks of about ``block`` rows.
     """
-    forms = quick_forms(benchmark, "item_id").where(F.size("forms") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.size("forms") - window + 1, F.lit(1)))
-    pieces = forms.select(F.explode(F.transform(starts, lambda i: F.slice("forms", i, F.lit(window)))).alias("piece"))
-    longest = F.array_max(F.transform("piece", lambda f: F.struct(F.length(f).alias("n"), f.alias("form"))))["form"]
-    words = staged(pieces.select(longest.alias("form")).distinct(), "item-forms")
-    asked = staged(windows_of(forms, "item_id", window).select("h").distinct(), "item-windows")
-
-    found = quick_forms(docs, "doc_id").select("doc_id", F.explode("forms").alias("form"))
-    ids = among(found, words, "form", block)
-    docs = staged(docs.join(ids, "doc_id"), "with-forms")
-    return among(windows_of(quick_forms(docs, "doc_id"), "doc_id", window).select("doc_id", "h"), asked, "h", block)
-
-
-def among(found: DataFrame, asked: DataFrame, key: str, block: int) -> DataFrame:
-    """doc_id of rows whose key is asked for; the keys are broadcast in blocks of about ``block`` rows."""
+    asked = staged(windows_of(quick_forms(benchmark, "item_id"), "item_id", window).select("h").distinct(), "item-windows")
     blocks = max(1, -(-asked.count() // block))
-    number = F.pmod(F.xxhash64(key), F.lit(blocks))
-    parts = [found.join(F.broadcast(asked.where(number == n)), key, "left_semi") for n in range(blocks)]
-    return staged(reduce(DataFrame.unionByName, parts).select("doc_id").distinct(), "found-ids")
+    found = windows_of(quick_forms(docs, "doc_id"), "doc_id", window).select("doc_id", "h")
+    number = F.pmod(F.xxhash64("h"), F.lit(blocks))
+    parts = [found.join(F.broadcast(asked.where(number == n)), "h", "left_semi") for n in range(blocks)]
+    return staged(reduce(DataFrame.unionByName, parts).select("doc_id").distinct(), "suspect-ids")
 
 
 def consistent(docs: DataFrame, items: DataFrame, runs: DataFrame, contradictions: float) -> DataFrame:
