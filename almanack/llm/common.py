@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at a time, whatever the size of the Arrow batch.
 SLICE_BYTES = 4 << 20
@@ -52,6 +53,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def smallest(df: DataFrame, by: str, most: int) -> DataFrame:
+    """The rows with the ``most`` smallest values of ``by`` (more only where values are equal).
+
+    Only that column is ranked, so no task sends whole rows to the driver.
+    """
+    last = df.select(by).orderBy(by).limit(most).agg(F.max(by)).first()[0]
+    return df.where(F.lit(False)) if last is None else df.where(F.col(by) <= last)
+
+
 def slices(sizes: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes; a longer row is a range of its own."""
     start, total = 0, 0

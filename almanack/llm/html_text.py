@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from almanack.llm.common import smallest
+
 # Element kinds of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "select", "head"}
@@ -346,7 +348,8 @@ def train(pages: DataFrame | None, *, max_pages: int = 300, templates: int = 500
         ys.append(inside[1:])
     if pages is not None:
         some = pages.where("html IS NOT NULL").select(F.substring("html", 1, 50_000).alias("html"), F.xxhash64("html").alias("at"))
-        for row in sorted(some.orderBy("at").limit(max_pages).collect(), key=lambda r: (r["at"], r["html"])):
+        some = smallest(some, "at", max_pages).dropDuplicates(["at"])
+        for row in sorted(some.collect(), key=lambda r: (r["at"], r["html"])):
             page = parse(row["html"])
             inside = truth(page)
             if inside is not None and len(inside) > 1:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from almanack.llm.common import staged
+from almanack.llm.common import smallest, staged
 
 #: Rows of a cell that are compared with each other.
 CELL = 300
@@ -69,7 +69,7 @@ def nearest(rows: DataFrame, by: str, other: str, most: int) -> DataFrame:
 
 def celled(nodes: DataFrame, count: int, tables: int, seed: int) -> DataFrame:
     """node, vec, tab, cell: signs against hyperplanes through the middle of a bounded sample."""
-    sample = nodes.orderBy(F.xxhash64("node")).limit(1_000).select("vec").toPandas()["vec"]
+    sample = smallest(nodes.withColumn("at", F.xxhash64("node")), "at", 1_000).select("vec").toPandas()["vec"]
     if not len(sample):
         return nodes.select("node", "vec", F.lit(0).alias("tab"), F.lit(0).cast("long").alias("cell"))
     sample = np.stack([np.asarray(v, np.float64) for v in sample])
@@ -215,7 +215,7 @@ def search(graph: Graph, queries: DataFrame, *, k: int = 10, beam: int = 48, sta
     nodes = graph.nodes
     adjacent = graph.edges.select("u", "v").union(graph.edges.select("v", "u")).toDF("node", "next").distinct()
     adjacent = staged(adjacent, "adjacent")
-    entry = entries(asked, nodes.orderBy(F.xxhash64("node"), "node").limit(LANDMARKS).collect(), starts)
+    entry = entries(asked, smallest(nodes.withColumn("at", F.xxhash64("node")), "at", LANDMARKS).collect(), starts)
     own = graph.members.select(F.col("vec_id").alias("q"), "node").join(asked, "q").join(nodes, "node")
     own = measured(own.select("q", "qvec", "node", "vec")).select("q", "node", "d")
     found = entry.select("q", "node", "d").union(own).distinct().withColumn("done", F.lit(0))
