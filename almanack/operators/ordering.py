@@ -16,12 +16,13 @@ _SHIFT = 800
 
 def _bin(v: Column) -> Column:
     """A whole number that never falls as the value rises; needs no look at other rows."""
-    place = F.floor((F.log(F.abs(v)) + _SHIFT) * _FINENESS)
+    endless = F.abs(v) == float("inf")
+    place = F.when(endless, F.lit(1 << 40)).otherwise(F.floor((F.log(F.abs(v)) + _SHIFT) * _FINENESS))
     return F.when(v == 0, F.lit(0)).when(v > 0, place).when(v < 0, -place).cast("bigint")
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """keys, median: the exact median of the non-NULL finite values per key.
+    """keys, median: the exact median per key; NULL and NaN count as missing, infinities as values.
 
     ``F.median`` holds all distinct values of a group in one task. Here equal values are
     counted first, so a hot group spreads over (key, value); the counts are added up per
@@ -33,10 +34,10 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """
     keys = list(keys)
     v, n = F.col("_v"), F.col("_n")
-    finite = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+    known = F.when(~F.isnan(v), v)
     counts = (
         df.select(*keys, F.col(value).cast("double").alias("_v"))
-        .withColumn("_v", finite)
+        .withColumn("_v", known)
         .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_bin", _bin(v))
@@ -77,11 +78,11 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def group_mean(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """keys, mean: added up as decimals, so the result does not depend on row order."""
-    exact = F.col(value).cast("decimal(18,4)")
-    return df.groupBy(*keys).agg(
-        F.try_divide(F.sum(exact).cast("double"), F.count(exact).cast("double")).alias("mean")
-    )
+    """keys, mean: the mean of the non-NULL values as doubles, whatever their size.
+
+    Sums of doubles depend on the order of rows in their last digits; round where that matters.
+    """
+    return df.groupBy(*keys).agg(F.avg(F.col(value).cast("double")).alias("mean"))
 
 
 def _numbered(stats: DataFrame, *order: Column) -> DataFrame:

@@ -71,21 +71,26 @@ def widen(
     """Rows to columns named measure_name, for numeric measures.
 
     The names are given, so no extra job discovers them, and every cell is a conditional
-    aggregate that Spark combines map-side in a single shuffle on the ids.
+    aggregate that Spark combines map-side in a single shuffle on the ids. A row with a name that
+    is not among them fails the job, so that none is lost unseen; filter such rows first.
     """
+    unlisted = F.count_if(~F.coalesce(F.col(names_from).isin(list(names)), F.lit(False)))
     cells = [
-        _only(F.col(v), F.col(names_from) == F.lit(n)).alias(f"{v}_{n}")
+        F.when(unlisted == 0, _only(F.col(v), F.col(names_from) == F.lit(n)))
+        .otherwise(F.raise_error(F.lit("a name that is not listed")))
+        .alias(f"{v}_{n}")
         for v in values_from
         for n in names
     ]
-    return df.where(F.col(names_from).isin(list(names))).groupBy(*ids).agg(*cells)
+    return df.groupBy(*ids).agg(*cells)
 
 
 def share_of_total(
     df: DataFrame, ids: Sequence[str], names_from: str, part: str, total: str, value: str
 ) -> DataFrame:
     """ids, part and total side by side, and their ratio as ``share``."""
-    wide = widen(df, ids, names_from, [part, total], [value])
+    both = df.where(F.col(names_from).isin(part, total))
+    wide = widen(both, ids, names_from, [part, total], [value])
     return wide.select(
         *ids,
         F.col(f"{value}_{part}").alias("part"),

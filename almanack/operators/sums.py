@@ -33,32 +33,30 @@ def with_group_sums(
     keys: Sequence[str],
     measures: Mapping[str, Column | str],
     strict: bool = True,
-    hot_rows: int = 1_000_000,
+    salts: int = 16,
 ) -> DataFrame:
     """Every row with its group's sums. NULL keys form a group of their own.
 
-    A window over the keys, or a join shuffled on them, would bring a hot group into one
-    task. The sums are made first, with map-side combining, together with the group sizes.
-    Groups above ``hot_rows`` rows are at most one per ``hot_rows`` input rows, so their sums
-    are broadcast to rows that stay where they are; only rows of smaller groups are shuffled.
-    Sums and size travel as one struct: both parts then need the same aggregate, and Spark
-    runs it once.
+    A window over the keys, or a join shuffled on them, would bring a hot group into one task. The
+    sums are made first, with map-side combining, and repeated once per salt; each row meets the
+    copy of its salt, a hash of all its columns. So a group of any size is spread over ``salts``
+    tasks by one plan; only rows that are equal in every column stay together.
     """
     total = _total(strict)
     kept = {k: f"_{k}" for k in keys}
     match = [F.col(k).eqNullSafe(F.col(o)) for k, o in kept.items()]
     sums = (
         df.groupBy(*keys)
-        .agg(*[total(c).alias(n) for n, c in measures.items()], F.count(F.lit(1)).alias("_rows"))
-        .select(*[F.col(k).alias(o) for k, o in kept.items()], F.struct(*measures, "_rows").alias("_sums"))
+        .agg(*[total(c).alias(n) for n, c in measures.items()])
+        .select(
+            *[F.col(k).alias(o) for k, o in kept.items()],
+            F.struct(*measures).alias("_sums"),
+            F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_copy"),
+        )
     )
-    hot = sums.where(F.col("_sums._rows") > hot_rows)
-    cold = sums.where(F.col("_sums._rows") <= hot_rows)
-    marked = df.join(F.broadcast(hot), match, "left")
-    stay = marked.where(F.col("_sums").isNotNull())
-    move = marked.where(F.col("_sums").isNull()).select(*[df[c] for c in df.columns]).join(cold, match)
-    added = [F.col(f"_sums.{n}").alias(n) for n in measures]
-    return stay.select(*df.columns, *added).unionByName(move.select(*df.columns, *added))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)).cast("int")
+    rows = df.withColumn("_salt", salt).join(sums, [*match, F.col("_salt") == F.col("_copy")])
+    return rows.select(*df.columns, *[F.col(f"_sums.{n}").alias(n) for n in measures])
 
 
 def sums_by_name(

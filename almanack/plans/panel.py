@@ -7,9 +7,6 @@ districts.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,39 +65,13 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_district.join(places, F.col("c_nationkey") == F.col("n_nationkey"))
 
 
-_PANELS: dict[tuple[str, str], DataFrame] = {}
-_OWN_FOLDERS: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for intermediate tables; a scratch folder of our own
-    only where none is named, as in a local test."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    named = named or spark.conf.get("spark.checkpoint.dir", "")
-    if named:
-        return named
-    app = spark.sparkContext.applicationId
-    return _OWN_FOLDERS.setdefault(app, tempfile.mkdtemp(prefix="almanack-"))
-
-
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel of a data folder, derived once per application and written as a table.
+    """The panel of a data folder: a lazy frame, so it always shows the tables as they are.
 
-    All figures share it. Its size depends on the dimensions alone, and a written table keeps
-    their plans short and survives the loss of executors.
+    Its plan combines map-side before the first join and is a few rows from then on. Figures of one
+    query that derive it twice share its exchanges.
     """
-    app = spark.sparkContext.applicationId
-    if (app, sf_dir) not in _PANELS:
-        frame = derive(spark, sf_dir)
-        path = f"{shared_folder(spark)}/almanack_panel_{app}_{uuid.uuid4().hex}"
-        frame.write.parquet(path)
-        _PANELS[app, sf_dir] = spark.read.schema(frame.schema).parquet(path)
-    return _PANELS[app, sf_dir]
-
-
-def forget_panels() -> None:
-    """Derive panels anew at their next use, after their source tables have changed."""
-    _PANELS.clear()
+    return derive(spark, sf_dir)
 
 
 def derive(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,12 +155,17 @@ def elas(panel: DataFrame) -> DataFrame:
 
 
 def upc(panel: DataFrame) -> DataFrame:
-    districts = panel.where(F.col("district_code").isNotNull() & (F.col("charter") == "All"))
+    categories = ["TA", "SH", "RB", "RA"]
+    districts = panel.where(
+        F.col("district_code").isNotNull()
+        & (F.col("charter") == "All")
+        & F.col("reporting_category").isin(categories)
+    )
     wide = widen(
         districts,
         ["academic_year", "county_code", "district_code"],
         "reporting_category",
-        ["TA", "SH", "RB", "RA"],
+        categories,
         ["cumulative_enrollment"],
     )
     return wide.select(
@@ -176,7 +181,9 @@ def upc(panel: DataFrame) -> DataFrame:
 def pft(panel: DataFrame) -> DataFrame:
     groups = ["RB", "RA", "GF"]
     wide = widen(
-        panel.withColumn("kept", (_people() - F.col("affected")) * 100 / _people()),
+        panel.where(F.col("reporting_category").isin(groups)).withColumn(
+            "kept", (_people() - F.col("affected")) * 100 / _people()
+        ),
         ["academic_year", "county_code", "aggregate_level", "district_code", "charter"],
         "reporting_category",
         groups,

@@ -118,10 +118,20 @@ def test_group_sums_strict_and_lenient(spark):
     assert rows(group_sums(df, ["k"], {"y": "y"}, strict=False)) == [("a", 2), ("b", 6), (None, 9)]
 
 
-@pytest.mark.parametrize("hot_rows", [0, 1, 1_000_000])
-def test_group_sums_on_rows(spark, hot_rows):
+def test_group_sums_of_a_hot_group_are_spread(spark):
+    df = spark.range(20_000).select(
+        F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(-1)).alias("k"), F.col("id").alias("x")
+    )
+    out = with_group_sums(df, ["k"], {"total": "x"}, salts=8)
+    wanted = sum(i for i in range(20_000) if i % 10)
+    assert out.where("k = -1").select("total").distinct().collect() == [(wanted,)] and out.count() == 20_000
+    assert out.where("k >= 0 AND total <> x").count() == 0
+
+
+@pytest.mark.parametrize("salts", [1, 3, 16])
+def test_group_sums_on_rows(spark, salts):
     df = spark.createDataFrame(SUMS, "k string, x int, y int")
-    out = with_group_sums(df, ["k"], {"total": "x"}, hot_rows=hot_rows)
+    out = with_group_sums(df, ["k"], {"total": "x"}, salts=salts)
     assert rows(out, "k", "x", "y", "total") == sorted(
         [("a", 1, 2, 4), ("a", 3, None, 4), ("b", 5, 6, 5), (None, 7, 8, 8), (None, 1, 1, 8)], key=str
     )
@@ -171,7 +181,9 @@ def test_widen_names_and_missing_cells(spark):
         [("y1", 3, 1.0, 10), ("y1", 8, 2.0, 20), ("y2", 3, 3.0, 30), ("y2", 9, 9.0, 90)],
         "year string, line int, p double, n int",
     )
-    wide = widen(df, ["year"], "line", [3, 8], ["p", "n"])
+    with pytest.raises(PySparkException, match="not listed"):
+        widen(df, ["year"], "line", [3, 8], ["p", "n"]).collect()
+    wide = widen(df.where("line <> 9"), ["year"], "line", [3, 8], ["p", "n"])
     assert wide.columns == ["year", "p_3", "p_8", "n_3", "n_8"]
     assert rows(wide) == [("y1", 1.0, 2.0, 10, 20), ("y2", 3.0, None, 30, None)]
 
@@ -252,17 +264,27 @@ def test_exact_median_matches_brute_force(spark, items):
     wanted = {}
     for k, v in items:
         kept = wanted.setdefault(k, [])
-        if v is not None and math.isfinite(v):
+        if v is not None and not math.isnan(v):
             kept.append(v)
 
     def median(vs):
         if not vs:
             return None
         low, high = statistics.median_low(vs), statistics.median_high(vs)
-        return (low + high) / 2
+        middle = (low + high) / 2
+        return "nan" if math.isnan(middle) else middle
 
     got = exact_median(spark.createDataFrame(items, "k string, v double"), ["k"], "v")
-    assert {r.k: r.median for r in got.collect()} == {k: median(vs) for k, vs in wanted.items()}
+    found = {r.k: "nan" if r.median is not None and math.isnan(r.median) else r.median for r in got.collect()}
+    assert found == {k: median(vs) for k, vs in wanted.items()}
+
+
+def test_median_of_infinite_values(spark):
+    inf = math.inf
+    df = spark.createDataFrame(
+        [("a", inf), ("a", 1.0), ("a", inf), ("b", -inf), ("b", math.nan), ("b", 2.0), ("b", 3.0)], "k string, v double"
+    )
+    assert {r.k: r.median for r in exact_median(df, ["k"], "v").collect()} == {"a": inf, "b": 2.0}
 
 
 def test_median_of_a_hot_group(spark):
@@ -275,9 +297,12 @@ def test_median_of_a_hot_group(spark):
     assert {r.k: r.median for r in exact_median(df, ["k"], "v").collect()} == wanted
 
 
-def test_group_mean_does_not_depend_on_order(spark):
-    df = spark.createDataFrame([("a", 0.1)] * 10 + [("a", None)], "k string, v double")
-    assert rows(group_mean(df, ["k"], "v")) == [("a", 0.1)]
+def test_group_mean_of_small_and_large_values(spark):
+    df = spark.createDataFrame(
+        [("a", 0.00001), ("b", 0.00004), ("b", None), ("c", 1e15), ("c", 3e15), ("d", None)], "k string, v double"
+    )
+    assert {r.k: r.mean for r in group_mean(df, ["k"], "v").collect()} == {"a": 1e-5, "b": 4e-5, "c": 2e15, "d": None}
+    assert [r.k for r in level_order(df, "k", "v", "mean").orderBy("level").collect()] == ["a", "b", "c", "d"]
 
 
 def test_other_orders(spark):
