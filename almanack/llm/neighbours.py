@@ -192,12 +192,12 @@ def measured(pairs: DataFrame) -> DataFrame:
 def entries(asked: DataFrame, landmarks: list, starts: int) -> DataFrame:
     """q, node, d: the nearest of the landmarks, which are few whatever the size of the graph."""
     names = np.array([r["node"] for r in landmarks], np.int64)
-    places = np.array([r["vec"] for r in landmarks], np.float64).reshape(len(names), -1)
+    places = np.array([r["vec"] for r in landmarks], np.float64)
     most = min(starts, len(names))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), 256):
+            for start in range(0, len(batch) if len(names) else 0, 256):
                 part = batch.slice(start, 256)
                 gap = matrix(part.column("qvec"))[:, None, :] - places[None, :, :]
                 d = np.sqrt((gap * gap).sum(axis=2))
