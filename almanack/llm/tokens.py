@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 from array import array
 from itertools import chain
 
@@ -36,8 +38,9 @@ class WordCachedTokenizer:
     words in a row, so each distinct word of a slice is encoded once. Whether the given file is
     such a tokenizer is probed first; any other encodes whole texts. Only ASCII white space
     splits, so every other character is left to the tokenizer. Words of plain letters go straight
-    to the tokenizer's merging model, if a probe shows the same ids. The limit bounds memory: a
-    full cache is emptied and filled again.
+    to the tokenizer's merging model, if a probe shows the same ids. The limit bounds memory: the
+    cache has a young and an old half; a full young half replaces the old one, and words found
+    in the old half become young again. It is kept for the life of a worker process.
     """
 
     def __init__(self, path: str, limit: int = 400_000):
@@ -47,6 +50,7 @@ class WordCachedTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
         self.known: dict[str, bytes] = {"": b""}  # unsigned 32-bit ids
+        self.old: dict[str, bytes] = {}
         whole = self._plain([PROBE, f" {PROBE}\n"])
         self.by_word = whole[0] == whole[1] == list(chain.from_iterable(self._plain(PROBE.split())))
         self.letters = byte_letters()
@@ -55,7 +59,10 @@ class WordCachedTokenizer:
             self.straight = [self._letters(w) for w in PLAIN_PROBE] == self._packed(PLAIN_PROBE)
         except Exception:  # a model without such tokens
             self.straight = False
-        self.known = {"": b""}
+        # Tasks of one worker come with functions of their own, so what they share is a module's.
+        state = sys.modules.setdefault("almanack_worker", types.ModuleType("almanack_worker"))
+        self.halves = state.__dict__.setdefault(f"words of {path}", [{"": b""}, {}])
+        self.known, self.old = self.halves
 
     def _packed(self, texts: list[str]) -> list[bytes]:
         return [array("I", ids).tobytes() for ids in self._plain(texts)]
@@ -66,7 +73,7 @@ class WordCachedTokenizer:
         if match is None:
             return None
         letters, marks = match[1].lower(), match[2]
-        ids = self.known.get(letters)
+        ids = self.known.get(letters) or self.old.get(letters)
         if ids is None:
             spelt = letters if letters.isascii() else "".join(map(self.letters.__getitem__, letters.encode()))
             ids = self.known[letters] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
@@ -99,12 +106,14 @@ class WordCachedTokenizer:
         return flat, ends[bounds - bounds[0]]
 
     def _of(self, words: list[str]) -> list[bytes]:
-        if len(self.known) > self.limit:
-            self.known = {"": b""}
-        known, other = self.known, []
+        if 2 * len(self.known) > self.limit:
+            self.known, self.old = self.halves[:] = {"": b""}, self.known
+        known, old, other = self.known, self.old, []
         for word in words:
             if word not in known:
-                ids = self._letters(word) if self.straight else None
+                ids = old.get(word)
+                if ids is None and self.straight:
+                    ids = self._letters(word)
                 if ids is None:
                     other.append(word)
                 else:

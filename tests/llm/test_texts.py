@@ -304,10 +304,11 @@ def test_dependent_voters_count_less():
     truth = draw.random(4000) < 0.2
     one = (truth & (draw.random(4000) < 0.7)).astype(float)
     free = (truth & (draw.random(4000) < 0.7)).astype(float)
-    votes = np.stack([one, one, one, free, ((one + free) == 0).astype(float)], axis=1)
+    given = np.where(draw.random(4000) < 0.02, ~truth, truth).astype(float)
+    votes = np.stack([one, one, one, free, ((one + free) == 0).astype(float), given], axis=1)
     posterior, rates, weight = toxicity.label_model(votes, 0.2)
     assert weight[0] < 0.5 < weight[3]
-    assert ((posterior > 0.5) == (one + free > 0)).all() and abs(rates[1][3] - 0.7) < 0.15
+    assert ((posterior > 0.5) == truth).mean() > 0.95 and abs(rates[1][3] - 0.7) < 0.1
 
 
 def test_hash_of_held_out_rows(llm_spark):
