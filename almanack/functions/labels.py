@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,14 +39,16 @@ def academic_year_label(c: Column | str) -> Column:
 
 
 def percent_label(c: Column | str, accuracy: float = 1) -> Column:
-    """Fraction to a percent text at an accuracy of 1, 0.1 or 0.01 percent.
+    """Fraction to a percent text at an accuracy in percent, such as 1, 0.5 or 0.01.
 
     The value is expressed in whole accuracy steps, ties going to the even step, and the
-    text is assembled from integers, so no float formatting is involved.
+    text is assembled from integers, so no float formatting is involved. An infinite value has
+    no label.
     """
-    digits = {1: 0, 0.1: 1, 0.01: 2}[accuracy]
-    steps = F.rint(_col(c) / F.lit(accuracy / 100)).cast("bigint")
-    size, unit = F.abs(steps), 10**digits
+    step = Decimal(str(accuracy)).normalize()
+    digits = max(0, -int(step.as_tuple().exponent))
+    steps = F.rint(_col(c) / F.lit(accuracy / 100)).try_cast("bigint")
+    size, unit = F.abs(steps) * int(step * 10**digits), 10**digits
     text = ((size - size % unit) / unit).cast("bigint").cast("string")
     if digits:
         text = F.concat(text, F.lit("."), F.lpad((size % unit).cast("string"), digits, "0"))

@@ -275,7 +275,7 @@ def pupil_count(
 ) -> DataFrame:
     """One count column of the pupil count table, summed over the county's districts."""
     df = snake(upc, CODES)
-    df = df.where(F.col("county_code") == str(int(geo.county_code)))
+    df = df.where(F.col("county_code") == geo.county_code)
     years = measure_by_year(df, measure)
     return chart(
         years,

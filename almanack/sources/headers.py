@@ -53,11 +53,16 @@ def conform(df: DataFrame, case: str = "upper_camel") -> DataFrame:
     return df.toDF(*clean_names(df.columns, case))
 
 
+#: Digits of the codes that have a fixed width.
+CODE_WIDTHS = {"county_code": 2, "district_code": 5}
+
+
 def snake(df: DataFrame, codes: Sequence[str] = ()) -> DataFrame:
     """snake_case names, and code columns as text.
 
     Tables differ in naming and in whether a code is a number or text. Codes are compared
-    as text, because a numeric comparison would accept "027" for 27.
+    as text, because a numeric comparison would accept "027" for 27. Numbers and short texts of
+    county and district codes get their leading zeros, so 5 and "05" are one county.
     """
     df = conform(df, "snake")
     casts = {}
@@ -67,7 +72,8 @@ def snake(df: DataFrame, codes: Sequence[str] = ()) -> DataFrame:
         c = F.col(name)
         if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
             c = c.cast("bigint")
-        casts[name] = c.cast("string")
+        c, width = c.cast("string"), CODE_WIDTHS.get(name, 0)
+        casts[name] = F.when(F.length(c) < width, F.lpad(c, width, "0")).otherwise(c) if width else c
     return df.withColumns(casts) if casts else df
 
 

@@ -46,7 +46,7 @@ def literal_table(spark: SparkSession, rows: Sequence[tuple[Any, ...]], schema:
     knows exactly; a list of tuples would be a scan of unknown size.
     """
     fields = StructType.fromDDL(schema)
-    columns = list(zip(*rows, strict=True))
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
     table = pa.table(
         [pa.array(c, type=to_arrow_type(f.dataType)) for c, f in zip(columns, fields, strict=True)],
         names=fields.names,

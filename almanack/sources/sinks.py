@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 
 def write_chart_rows(df: DataFrame, path: str, report_year: str) -> None:
-    """Write chart rows under report_year=/figure=, each series sorted by x.
+    """Write chart rows under report_year=/figure=, each figure one file with its series sorted by x.
 
     Only the figures present are replaced, so editions share a folder without overwriting
     one another.
     """
     (
         df.withColumn("report_year", F.lit(report_year))
+        .repartition("report_year", "figure")
         .sortWithinPartitions("report_year", "figure", "series", "x")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -190,3 +190,9 @@ def test_within_limits(spark):
 def test_narrative_numbers(spark, parts, others, whole, value):
     got = spark.range(1).select(fraction_of(parts, others, whole)).first()[0]
     assert got == pytest.approx(value, abs=5e-7)
+
+
+def test_percent_labels_of_other_accuracies(spark):
+    df = spark.createDataFrame([(0.1274,), (-0.0051,), (math.inf,), (None,)], "v double")
+    labels = [r[0] for r in df.select(percent_label("v", 0.5)).collect()]
+    assert labels == ["12.5%", "-0.5%", None, None]

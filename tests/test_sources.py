@@ -214,3 +214,22 @@ def test_report_table_is_written(spark, tmp_path):
     write_report_table(df, str(tmp_path / "t"))
     back = spark.read.csv(str(tmp_path / "t"), header=True)
     assert rows(back, "Subgroup", "rate") == [("a", "12%")]
+
+
+def test_codes_have_one_width(spark):
+    numbers = spark.createDataFrame([(5, 0.0), (27, 12345.0), (None, None)], "County_Code int, DistrictCode double")
+    texts = spark.createDataFrame([("05", "00000"), ("27", "12345"), ("027", "1")], "CountyCode string, District_Code string")
+    pairs = lambda df: [tuple(r) for r in snake(df, ["county_code", "district_code"]).collect()]
+    assert pairs(numbers) == [("05", "00000"), ("27", "12345"), (None, None)]
+    assert pairs(texts) == [("05", "00000"), ("27", "12345"), ("027", "00001")]
+
+
+def test_a_figure_is_one_file(spark, tmp_path):
+    rows = spark.range(40).selectExpr("concat('f', id % 2) AS figure", "'s' AS series", "cast(40 - id AS string) AS x").repartition(8)
+    write_chart_rows(rows, str(tmp_path), "2024")
+    for figure in ("f0", "f1"):
+        assert len(list((tmp_path / "report_year=2024" / f"figure={figure}").glob("part-*"))) == 1
+
+
+def test_a_literal_table_may_be_empty(spark):
+    assert literal_table(spark, [], "a int, b string").collect() == []
