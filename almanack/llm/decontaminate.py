@@ -85,7 +85,8 @@ def windows_of(rows: DataFrame, key: str, window: int) -> DataFrame:
     Hashes of two neighbours give those of two, four, ... forms, a column each, so a window costs
     a few hashes of two numbers whatever its length. A row of fewer forms has one window.
     """
-    rows = rows.where(F.size("forms") > 0).select(key, F.size("forms").alias("n"), F.transform("forms", lambda f: F.xxhash64(f)).alias("h"))
+    # No filter on the forms here: it would be pushed down to the text and work out the forms twice.
+    rows = rows.select(key, F.size("forms").alias("n"), F.transform("forms", lambda f: F.xxhash64(f)).alias("h"))
     have = 1
     while have < window:
         step = min(have, window - have)
@@ -113,7 +114,7 @@ def contaminated(
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     suspects = docs.join(sharing(docs, benchmark, window, block), "doc_id")
     suspects = staged(suspects.dropDuplicates(["doc_id", "text"]), "suspects")
-    items = templated(benchmark, "item_id").where(F.size("forms") > 0)
+    items = templated(benchmark, "item_id")
     items = staged(items.dropDuplicates(["item_id", "values"]), "items")
     asked = windows_of(items, "item_id", window).withColumnRenamed("at", "item_at")
     hits = windows_of(templated(suspects, "doc_id"), "doc_id", window)
