@@ -1,28 +1,30 @@
 """Benchmark decontamination by templates (DataFrame functions only).
 
 Texts become lists of tokens. A token's template form is a typed placeholder for numbers, for units
-after a number and for names (capitalised words inside a sentence), and else the word in lower
-case. Windows of ``window`` template forms are hashed; a benchmark item's windows are joined with the
-documents' windows by hash. Matches of one document and item on one alignment (document position less
-item position) are put together, and the share of the item's windows that match there must reach
-``coverage``. Then slots are compared over the matched windows: where the item repeats a value, the
-document must repeat one as well, so every value of the item maps to one value of the document;
-matches whose slots contradict that for more than a tenth of the slots are not kept. Verbatim
-copies map each value to itself, re-parameterised ones to new values.
+after a number and for names (capitalised words inside a sentence), and else the
+word in lower case. Windows of
+``window`` forms are hashed and those of items joined with those of documents, once as templates and
+once as plain lower-case tokens, so a copy in any case is found.
+
+Matches of one document and item whose alignments (document position less item position) are near
+each other are put together: a band is at least 16 positions wide or half the item, and bands overlap by
+half, so words put in or left out don't part a match. A template match counts if its windows cover a share of
+``coverage`` of the item's forms of which a quarter are plain words, or LONG forms in a row of which half are. Then slots are compared
+inside the matched windows; those of values with two partners may be ``contradictions`` of the slots. A match of plain tokens counts if it covers that share, or VERBATIM tokens in a row; its slots aren't compared.
 
 A first pass over all documents replaces slots within the texts, which is quick, and finds those that
 share any window with the benchmark; tokens, alignments and slots are worked out for these alone.
 
-Texts of fewer tokens than a window have one window of all their tokens, so such an item is only found
-as a whole document. The windows of the benchmark
-are broadcast in blocks of about ``block`` rows, whatever the size of the benchmark; a document
-is read once per block. NULL or empty texts and items have no tokens and match nothing; rows
+Items of fewer tokens than a window are found as a whole document only. The windows
+of the benchmark are broadcast in blocks of about ``block`` rows, whatever the size of the benchmark; a
+document is read once per kind of window and block. NULL or empty texts and items have no tokens and match nothing; rows
 without an id are left out of the result. Repeated rows give one result row. An empty table gives
 no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -39,6 +41,9 @@ UNITS = [
     "degree", "degrees", "mph", "kmh", "hz", "khz", "w", "kw", "v", "a", "j", "kj", "cal", "kcal",
 ]
 
+#: Tokens in a row that are a leak whatever the length of the item: as they are, and as template forms.
+VERBATIM, LONG = 13, 24
+
 NUMBER = r"\p{N}+(?:[.,]\p{N}+)*"
 TOKEN = rf"[\p{{L}}\p{{M}}]+|{NUMBER}|[.!?]"
 
@@ -48,23 +53,27 @@ def tokens_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
-def templated(rows: DataFrame, key: str) -> DataFrame:
-    """key, values (tokens without sentence ends), forms (their template forms)."""
-    rows = rows.select(key, tokens_of(F.col("text")).alias("raw"))
+def templated(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, values (tokens without sentence ends), names (their forms), forms (runs of names are one), places
+    (of forms in values), wholes (the tokens of each form)."""
+    rows = rows.select(*keys, tokens_of(F.col("text")).alias("raw"))
     is_end = lambda t: t.isin(".", "!", "?")
-    before = lambda i: F.try_element_at("raw", i)  # noqa: E731  (1-based, so the token before i + 1)
+    before = lambda array, i: F.when(i > 0, F.try_element_at(array, F.greatest(i, F.lit(1))))  # noqa: E731  (1-based)
 
     def form(token: Column, i: Column) -> Column:
-        previous = F.when(i > 0, before(F.greatest(i, F.lit(1))))
         number = token.rlike(r"^\p{N}")
-        name = token.rlike(r"^\p{Lu}") & previous.isNotNull() & ~is_end(previous)
-        unit = F.lower(token).isin(*UNITS) & F.coalesce(previous.rlike(r"^\p{N}"), F.lit(False))
-        return F.when(number, "<num>").when(unit, "<unit>").when(name, "<name>").otherwise(F.lower(token))
+        unit = F.lower(token).isin(*UNITS) & F.coalesce(before(F.col("raw"), i).rlike(r"^\p{N}"), F.lit(False))
+        return F.when(number, "<num>").when(unit, "<unit>").when(token.rlike(r"^\p{Lu}") & before(F.col("raw"), i).rlike(r"^[^.!?]"), "<name>").otherwise(F.lower(token))
 
-    pairs = F.transform("raw", lambda t, i: F.struct(F.lower(t).alias("value"), form(t, i).alias("form")))
-    pairs = F.filter(pairs, lambda p: ~is_end(p["value"]))
-    rows = rows.select(key, pairs.alias("pairs"))
-    return rows.select(key, F.col("pairs.value").alias("values"), F.col("pairs.form").alias("forms"))
+    rows = rows.withColumn("all", F.transform("raw", form))
+    goes_on = lambda i: F.lit(False)
+    words = F.transform("raw", lambda t, i: F.struct(F.lower(t).alias("value"), F.get("all", i).alias("form"), goes_on(i).alias("on")))
+    rows = rows.select(*keys, F.filter(words, lambda w: ~is_end(w["value"])).alias("words"))
+    first = F.filter(F.transform("words", lambda w, i: F.struct(w["form"].alias("form"), w["on"].alias("on"), i.alias("place"))), lambda w: ~w["on"])
+    rows = rows.select(*keys, F.col("words.value").alias("values"), F.col("words.form").alias("names"), first.alias("first"))
+    rows = rows.select(*keys, "values", "names", F.col("first.form").alias("forms"), F.col("first.place").alias("places"))
+    after = lambda k: F.coalesce(F.get("places", k + 1), F.size("values"))
+    return rows.withColumn("wholes", F.transform("places", lambda p, k: F.array_join(F.slice("values", p + 1, after(k) - p), " ")))
 
 
 def quick_forms(rows: DataFrame, key: str) -> DataFrame:
@@ -79,6 +88,12 @@ def quick_forms(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, forms.alias("forms"))
 
 
+def plain_forms(rows: DataFrame, key: str) -> DataFrame:
+    """key, forms: the words and numbers in lower case."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(rf"[\p{{L}}\p{{M}}]+|{NUMBER}"), F.lit(0))
+    return rows.select(key, words.alias("forms"))
+
+
 def windows_of(rows: DataFrame, key: str, window: int) -> DataFrame:
     """key, at (position), h (hash of the window's forms), for every window of every row.
 
@@ -106,64 +121,103 @@ def contaminated(
     contradictions: float = 0.1,
     block: int = 500_000,
 ) -> DataFrame:
-    """doc_id, item_id, at (token of the document where the item would begin), n_windows, coverage, n_slots.
+    """doc_id, item_id, at (token of the document where the item would begin), n_windows, coverage (share of the
+    item's tokens or forms in matched windows), n_slots (compared; 0 for plain tokens).
 
-    One row per document and item, for the best alignment.
+    One row per document and item, for the best match.
     """
-    benchmark = benchmark.where("item_id IS NOT NULL").select("item_id", "text")
+    benchmark = benchmark.where("item_id IS NOT NULL").select("item_id", "text").withColumn("item", F.xxhash64("item_id", "text"))
+    items = staged(templated(benchmark.dropDuplicates(["item", "text"]), "item", "item_id", "text").where("size(values) > 0"), "items")
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    suspects = docs.join(sharing(docs, benchmark, window, block), "doc_id")
-    suspects = staged(suspects.dropDuplicates(["doc_id", "text"]), "suspects")
-    items = templated(benchmark, "item_id")
-    items = staged(items.dropDuplicates(["item_id", "values"]), "items")
-    asked = windows_of(items, "item_id", window).withColumnRenamed("at", "item_at")
-    hits = windows_of(templated(suspects, "doc_id"), "doc_id", window)
-    runs = hits.join(asked, "h").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at")
-    runs = runs.distinct().groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("n_windows"))
-    sizes = items.select("item_id", F.greatest(F.size("forms") - window + 1, F.lit(1)).alias("of"), F.size("forms").alias("tokens"))
-    sizes = sizes.groupBy("item_id").agg(F.min("of").alias("of"), F.max("tokens").alias("tokens"))
-    runs = runs.join(sizes, "item_id").withColumn("coverage", F.col("n_windows") / F.col("of"))
-    runs = staged(runs.where(F.col("coverage") >= coverage), "runs")
-    return consistent(suspects, items, runs, contradictions)
-
-
-def sharing(docs: DataFrame, benchmark: DataFrame, window: int, block: int) -> DataFrame:
-    """doc_id of the documents that share a window with any item.
+    long = items.where(F.size("values") >= window)
+    kinds = [(quick_forms, items, window), (plain_forms, long, window)]
+    suspects = docs.join(sharing(docs, kinds, block), "doc_id").withColumn("doc", F.xxhash64("doc_id", "text"))
+    suspects = staged(templated(suspects.dropDuplicates(["doc", "text"]), "doc", "doc_id"), "suspects")
+    found = [
+        consistent(suspects, items, chained(suspects, items, "forms", window, coverage, LONG), "wholes", coverage, contradictions),
+        placed(chained(suspects, long, "values", window, coverage, VERBATIM)),
+    ]
+    best = F.max(F.struct("coverage", "n_windows", "n_slots", (-F.col("at")).alias("at"))).alias("best")
+    rows = reduce(DataFrame.unionByName, found).join(suspects.select("doc", "doc_id"), "doc").join(items.select("item", "item_id"), "item")
+    rows = rows.groupBy("doc_id", "item_id").agg(best)
+    return rows.select(
+        "doc_id", "item_id", (-F.col("best.at")).cast("long").alias("at"), F.col("best.n_windows").cast("long").alias("n_windows"),
+        F.round("best.coverage", 6).alias("coverage"), F.col("best.n_slots").cast("long").alias("n_slots"),
+    )
+
+
+def sharing(docs: DataFrame, kinds: list[tuple[Callable[..., DataFrame], DataFrame, int]], block: int) -> DataFrame:
+    """doc_id of the documents that share a window with any item; kinds: forms, items and window.
 
     The windows asked for are broadcast in blocks of about ``block`` rows.
     """
-    asked = staged(windows_of(quick_forms(benchmark, "item_id"), "item_id", window).select("h").distinct(), "item-windows")
-    blocks = max(1, -(-asked.count() // block))
-    found = windows_of(quick_forms(docs, "doc_id"), "doc_id", window).select("doc_id", "h")
-    number = F.pmod(F.xxhash64("h"), F.lit(blocks))
-    parts = [found.join(F.broadcast(asked.where(number == n)), "h", "left_semi") for n in range(blocks)]
+    parts = []
+    for forms, items, window in kinds:
+        asked = staged(windows_of(forms(items, "item"), "item", window).select("h").distinct(), "item-windows")
+        blocks = max(1, -(-asked.count() // block))
+        found = windows_of(forms(docs, "doc_id"), "doc_id", window).select("doc_id", "h")
+        number = F.pmod(F.xxhash64("h"), F.lit(blocks))
+        parts += [found.join(F.broadcast(asked.where(number == n)), "h", "left_semi") for n in range(blocks)]
     return staged(reduce(DataFrame.unionByName, parts).select("doc_id").distinct(), "suspect-ids")
 
 
-def consistent(docs: DataFrame, items: DataFrame, runs: DataFrame, contradictions: float) -> DataFrame:
-    """The runs whose slots map each value of the item to one value of the document."""
-    texts = docs.select("doc_id", "text").join(runs.select("doc_id").distinct(), "doc_id")
-    words = templated(texts, "doc_id").select("doc_id", F.col("values").alias("doc_values"), F.col("forms").alias("doc_forms"))
-    both = runs.join(words, "doc_id").join(items.select("item_id", "values", "forms"), "item_id")
+def chained(docs: DataFrame, items: DataFrame, forms: str, window: int, coverage: float, row: int) -> DataFrame:
+    """doc, item, hits (item_at, at), n_windows, coverage, longest (forms in a row): bands that cover enough or have ``row`` forms in a row."""
+    asked = windows_of(items.select("item", F.col(forms).alias("forms")), "item", window).withColumnRenamed("at", "item_at")
+    asked = asked.join(items.select("item", F.size(forms).alias("n")), "item")
+    hits = windows_of(docs.select("doc", F.col(forms).alias("forms")), "doc", window).join(asked, "h")
+    width, shift = F.greatest(F.lit(16), (F.col("n") / 2).cast("int")), F.col("at") - F.col("item_at")
+    bands = F.array(2 * F.floor(shift / width), 2 * F.floor((shift + width / 2) / width) + 1)
+    hits = hits.select("doc", "item", "n", F.explode(bands).alias("band"), F.struct(shift.alias("shift"), "item_at", "at").alias("hit"))
+    rows = hits.groupBy("doc", "item", "n", "band").agg(F.array_sort(F.collect_set("hit")).alias("hits"))
+    size = F.least(F.lit(window), F.col("n"))
+    starts = F.array_sort(F.array_distinct("hits.item_at"))
+    rows = rows.withColumn("starts", starts).withColumn("size", size)
+    gaps = F.zip_with(F.slice("starts", 2, 1 << 30), "starts", lambda b, a: F.coalesce(F.least(b - a, F.col("size")), F.col("size")))
+    covered = F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
+    zero = F.struct(*[F.lit(x).cast("int").alias(n) for n, x in (("shift", 0), ("last", -(1 << 30)), ("start", 0), ("best", 0))])
+
+    def step(a: Column, x: Column) -> Column:
+        on = (a["shift"] == x["shift"]) & (x["item_at"] - a["last"] <= F.col("size"))
+        start = F.when(on, a["start"]).otherwise(x["item_at"])
+        best = F.greatest(a["best"], x["item_at"] - start + F.col("size"))
+        return F.struct(x["shift"].alias("shift"), x["item_at"].alias("last"), start.alias("start"), best.alias("best"))
+
+    rows = rows.select(
+        "doc", "item", "n", "size", "hits", F.size("starts").alias("n_windows"), (covered / F.col("n")).alias("coverage"),
+        F.aggregate("hits", zero, step, lambda a: a["best"]).alias("longest"),
+    )
+    return rows.where((F.col("coverage") >= coverage) | (F.col("longest") >= row))
+
+
+def placed(runs: DataFrame) -> DataFrame:
+    """Matches of plain tokens, whose slots aren't compared."""
+    return runs.select("doc", "item", F.col("hits")[0]["shift"].alias("at"), "n_windows", "coverage", F.lit(0).alias("n_slots"))
+
+
+def consistent(
+    docs: DataFrame, items: DataFrame, runs: DataFrame, tokens: str, coverage: float, contradictions: float
+) -> DataFrame:
+    """The runs whose slots map each value of the item to one value of the document, but for a few."""
+    names = {"wholes": "forms", "values": "names"}
+    pick = lambda rows, key, as_: rows.select(key, F.col(tokens).alias(f"{as_}_values"), F.col(names[tokens]).alias(f"{as_}_forms"), F.col("places").alias(f"{as_}_places"))
+    both = runs.join(pick(docs, "doc", "doc"), "doc").join(pick(items, "item", "item"), "item")
+    pairs = F.transform("hits", lambda x: F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda j: F.struct((x["item_at"] + j).alias("i"), (x["at"] + j).alias("d"))))
+    both = both.withColumn("pairs", F.array_distinct(F.flatten(pairs)))
     slots = F.transform(
-        F.col("values"),
-        lambda value, i: F.struct(
-            value.alias("item"),
-            F.try_element_at("doc_values", F.when(F.col("shift") + i >= 0, F.col("shift") + i + 1)).alias("doc"),
-            F.try_element_at("forms", i + 1).alias("form"),
-        ),
+        F.filter("pairs", lambda p: F.get("item_forms", p["i"]).startswith("<")),
+        lambda p: F.struct(F.get("item_forms", p["i"]).alias("form"), F.get("item_values", p["i"]).alias("item"), F.get("doc_values", p["d"]).alias("doc"), p["i"].alias("i")),
     )
-    slots = F.filter(slots, lambda s: s["form"].startswith("<") & s["doc"].isNotNull())
-    both = both.select("doc_id", "item_id", "shift", "n_windows", "coverage", slots.alias("slots"))
+    both = both.withColumn("slots", slots)
     # A value is contradicted where another slot of the same value has another partner.
-    wrong = F.filter(
-        "slots", lambda s: F.exists("slots", lambda o: (o["item"] == s["item"]) & (o["form"] == s["form"]) & (o["doc"] != s["doc"]))
-    )
-    both = both.withColumns({"n_slots": F.size("slots"), "wrong": F.size(wrong)})
-    both = both.where(F.col("wrong") <= contradictions * F.col("n_slots"))
-    best = F.max(F.struct("n_windows", (-F.col("shift")).alias("shift"), "coverage", "n_slots")).alias("best")
-    rows = both.groupBy("doc_id", "item_id").agg(best)
-    return rows.select(
-        "doc_id", "item_id", (-F.col("best.shift")).cast("long").alias("at"), F.col("best.n_windows").alias("n_windows"),
-        F.round("best.coverage", 6).alias("coverage"), F.col("best.n_slots").cast("long").alias("n_slots"),
-    )
+    wrong = F.size(F.filter("slots", lambda s: F.exists("slots", lambda o: (o["item"] == s["item"]) & (o["form"] == s["form"]) & (o["doc"] != s["doc"]))))
+    both = both.withColumns({"wrong": wrong, "n_slots": F.size("slots"), "share": F.size("slots") / F.size("pairs")})
+    # Forms that are nearly all placeholders are those of any list of numbers or names.
+    enough = (F.col("coverage") >= coverage) & (F.col("share") <= 0.75) | (F.col("share") <= 0.5)
+    both = both.where((F.col("wrong") <= contradictions * F.col("n_slots")) & enough)
+    first = F.col("hits")[0]
+    if tokens == "wholes":
+        at = F.get("doc_places", first["at"]) - F.get("item_places", first["item_at"])
+    else:
+        at = first["shift"]
+    return both.select("doc", "item", at.alias("at"), "n_windows", "coverage", "n_slots")

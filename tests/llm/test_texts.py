@@ -270,6 +270,23 @@ def test_leaks_are_found_and_clean_texts_left(llm_spark):
     assert contaminated(docs, bench.where("false")).count() == 0
 
 
+def leaks_of(spark, docs, items):
+    docs = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return sorted((r["doc_id"], r["item_id"]) for r in contaminated(docs, items).collect())
+
+
+def test_edited_and_partial_copies_are_leaks(llm_spark):
+    words = "while the old miller kept his grain under a low wooden roof near the quiet river two boys carried sacks along narrow paths and sold bread before every market opened so nobody in that valley went hungry"
+    item, half = words.split()[:38], "around which someone had talked of other matters for quite some time already"
+    longer, changed = [*item[:19], "really", *item[19:]], [*item[:20]]
+    changed[10] = "stone"
+    passage = " ".join(item[3:17])
+    docs = [" ".join(longer), " ".join(changed), f"{half} {passage} {half}", f"{half} {' '.join(item[3:13])} {half}"]
+    got = leaks_of(llm_spark, docs, [" ".join(item), " ".join(item[:20])])
+    assert {(0, 0), (1, 1), (2, 0)} <= set(got) and 3 not in {d for d, i in got if i == 0}
+
+
 # ---------------------------------------------------------------- toxicity
 
 
