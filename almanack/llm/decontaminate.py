@@ -10,7 +10,9 @@ Matches of one document and item whose alignments (document position less item p
 each other are put together: a band is at least 16 positions wide or half the item, and bands overlap by
 half, so words put in or left out don't part a match. A template match counts if its windows cover a share of
 ``coverage`` of the item's forms of which a quarter are plain words, or LONG forms in a row of which half are. Then slots are compared
-inside the matched windows; those of values with two partners may be ``contradictions`` of the slots. A match of plain tokens counts if it covers that share, or VERBATIM tokens in a row; its slots aren't compared.
+inside the matched windows, each with its own partner: those that don't have the most frequent partner of
+their value may be ``contradictions`` of the slots. Slots at an item's ends aren't held against it, as a run of names may
+go on outside. A match of plain tokens counts if it covers that share, or VERBATIM tokens in a row; its slots aren't compared.
 
 A first pass over all documents replaces slots within the texts, which is quick, and finds those that
 share any window with the benchmark; tokens, alignments and slots are worked out for these alone.
@@ -209,8 +211,18 @@ def consistent(
         lambda p: F.struct(F.get("item_forms", p["i"]).alias("form"), F.get("item_values", p["i"]).alias("item"), F.get("doc_values", p["d"]).alias("doc"), p["i"].alias("i")),
     )
     both = both.withColumn("slots", slots)
-    # A value is contradicted where another slot of the same value has another partner.
-    wrong = F.size(F.filter("slots", lambda s: F.exists("slots", lambda o: (o["item"] == s["item"]) & (o["form"] == s["form"]) & (o["doc"] != s["doc"]))))
+    both = both.withColumn("inner", F.array_sort(F.filter("slots", lambda s: (s["i"] > 0) & (s["i"] < F.col("n") - 1))))
+    zero = F.struct(*[F.lit("").alias(n) for n in ("form", "item", "doc")], *[F.lit(0).alias(n) for n in ("n", "best", "right")])
+
+    def step(a: Column, s: Column) -> Column:
+        """Slots come sorted, so those of a value and partner follow each other; the most frequent partner is right."""
+        value = (a["form"] == s["form"]) & (a["item"] == s["item"])
+        n = F.when(value & (a["doc"] == s["doc"]), a["n"] + 1).otherwise(1)
+        more = ~value | (n > a["best"])
+        best = F.when(value, F.greatest(a["best"], n)).otherwise(n)
+        return F.struct(s["form"].alias("form"), s["item"].alias("item"), s["doc"].alias("doc"), n.alias("n"), best.alias("best"), (a["right"] + more.cast("int")).alias("right"))
+
+    wrong = F.size("inner") - F.aggregate("inner", zero, step, lambda a: a["right"])
     both = both.withColumns({"wrong": wrong, "n_slots": F.size("slots"), "share": F.size("slots") / F.size("pairs")})
     # Forms that are nearly all placeholders are those of any list of numbers or names.
     enough = (F.col("coverage") >= coverage) & (F.col("share") <= 0.75) | (F.col("share") <= 0.5)

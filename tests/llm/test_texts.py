@@ -287,6 +287,14 @@ def test_edited_and_partial_copies_are_leaks(llm_spark):
     assert {(0, 0), (1, 1), (2, 0)} <= set(got) and 3 not in {d for d, i in got if i == 0}
 
 
+def test_slots_are_compared_inside_matches(llm_spark):
+    names = "so Anna met Bert near his house and Anna told Bert about 5 dogs while Carl saw Anna and Bert with 5 cats before Dora gave Anna 7 birds"
+    typo = names.replace("Anna", "Eva").replace("Bert", "Max").replace("Eva", "Ewa", 1)
+    cut = " ".join(names.replace("Anna", "Eva").split()[:22]) + " after which Karl went home and Otto and Paul and Hugo and 9 others slept a while"
+    docs = [typo, cut, "so Eva met Max near his house and Ida told Tim about 8 dogs while Carl saw Pia and Jan with 3 cats before Dora gave Lea 7 birds"]
+    assert leaks_of(llm_spark, docs, [names]) == [(0, 0), (1, 0)]
+
+
 # ---------------------------------------------------------------- toxicity
 
 
