@@ -1,8 +1,8 @@
 """Benchmark decontamination by templates (DataFrame functions only).
 
 Texts become lists of tokens. A token's template form is a typed placeholder for numbers, for units
-after a number and for names (capitalised words inside a sentence), and else the
-word in lower case. Windows of
+after a number and for names (capitalised words, a run of them within a sentence is one), and else the
+word in lower case. Words at sentence starts count as names too, so those may differ. Windows of
 ``window`` forms are hashed and those of items joined with those of documents, once as templates and
 once as plain lower-case tokens, so a copy in any case is found.
 
@@ -17,7 +17,8 @@ go on outside. A match of plain tokens counts if it covers that share, or VERBAT
 A first pass over all documents replaces slots within the texts, which is quick, and finds those that
 share any window with the benchmark; tokens, alignments and slots are worked out for these alone.
 
-Items of fewer tokens than a window are found as a whole document only. The windows
+Items of fewer tokens than a window are found as a whole document only. An item that has
+enough tokens, but fewer forms as runs of names are one, is also compared with each name as a form. The windows
 of the benchmark are broadcast in blocks of about ``block`` rows, whatever the size of the benchmark; a
 document is read once per kind of window and block. NULL or empty texts and items have no tokens and match nothing; rows
 without an id are left out of the result. Repeated rows give one result row. An empty table gives
@@ -27,7 +28,7 @@ no rows. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,10 +66,10 @@ def templated(rows: DataFrame, *keys: str) -> DataFrame:
     def form(token: Column, i: Column) -> Column:
         number = token.rlike(r"^\p{N}")
         unit = F.lower(token).isin(*UNITS) & F.coalesce(before(F.col("raw"), i).rlike(r"^\p{N}"), F.lit(False))
-        return F.when(number, "<num>").when(unit, "<unit>").when(token.rlike(r"^\p{Lu}") & before(F.col("raw"), i).rlike(r"^[^.!?]"), "<name>").otherwise(F.lower(token))
+        return F.when(number, "<num>").when(unit, "<unit>").when(token.rlike(r"^\p{Lu}"), "<name>").otherwise(F.lower(token))
 
     rows = rows.withColumn("all", F.transform("raw", form))
-    goes_on = lambda i: F.lit(False)
+    goes_on = lambda i: F.coalesce((F.get("all", i) == "<name>") & (before(F.col("all"), i) == "<name>"), F.lit(False))
     words = F.transform("raw", lambda t, i: F.struct(F.lower(t).alias("value"), F.get("all", i).alias("form"), goes_on(i).alias("on")))
     rows = rows.select(*keys, F.filter(words, lambda w: ~is_end(w["value"])).alias("words"))
     first = F.filter(F.transform("words", lambda w, i: F.struct(w["form"].alias("form"), w["on"].alias("on"), i.alias("place"))), lambda w: ~w["on"])
@@ -78,14 +79,15 @@ def templated(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("wholes", F.transform("places", lambda p, k: F.array_join(F.slice("values", p + 1, after(k) - p), " ")))
 
 
-def quick_forms(rows: DataFrame, key: str) -> DataFrame:
+def quick_forms(rows: DataFrame, key: str, *, runs: bool = True) -> DataFrame:
     """key, forms: the template forms by replacement within the text; placeholders are 0, 1 and 2."""
     text = F.coalesce(F.col("text"), F.lit(""))
     gap, letter = r"[^\p{L}\p{M}\p{N}.!?]", r"[\p{L}\p{M}]"
     counted = F.regexp_replace(text, NUMBER, " 0 ")
     measured = F.regexp_replace(counted, rf" 0 {gap}*(?i:{'|'.join(UNITS)})(?!{letter})", " 0  1 ")
     # The capital comes first in the pattern: most positions are done with after one look.
-    named = F.regexp_replace(measured, rf"\p{{Lu}}(?<=[\p{{L}}\p{{M}}\p{{N}}]{gap}{{1,6}}\p{{Lu}}){letter}*", " 2 ")
+    more = rf"(?:{gap}++\p{{Lu}}{letter}*+)*+" if runs else ""
+    named = F.regexp_replace(measured, rf"\p{{Lu}}(?<!{letter}\p{{Lu}}){letter}*+{more}", " 2 ")
     forms = F.array_remove(F.split(F.lower(named), r"[^\p{L}\p{M}\p{N}]+"), "")
     return rows.select(key, forms.alias("forms"))
 
@@ -131,14 +133,19 @@ def contaminated(
     benchmark = benchmark.where("item_id IS NOT NULL").select("item_id", "text").withColumn("item", F.xxhash64("item_id", "text"))
     items = staged(templated(benchmark.dropDuplicates(["item", "text"]), "item", "item_id", "text").where("size(values) > 0"), "items")
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    long = items.where(F.size("values") >= window)
+    long, merged = items.where(F.size("values") >= window), (F.size("values") >= window) & (F.size("forms") < window)
     kinds = [(quick_forms, items, window), (plain_forms, long, window)]
+    if apart := items.where(merged).limit(1).count():
+        kinds.append((partial(quick_forms, runs=False), items.where(merged), window))
     suspects = docs.join(sharing(docs, kinds, block), "doc_id").withColumn("doc", F.xxhash64("doc_id", "text"))
     suspects = staged(templated(suspects.dropDuplicates(["doc", "text"]), "doc", "doc_id"), "suspects")
     found = [
         consistent(suspects, items, chained(suspects, items, "forms", window, coverage, LONG), "wholes", coverage, contradictions),
         placed(chained(suspects, long, "values", window, coverage, VERBATIM)),
     ]
+    if apart:
+        runs = chained(suspects, items.where(merged), "names", window, coverage, LONG)
+        found.append(consistent(suspects, items, runs, "values", coverage, contradictions))
     best = F.max(F.struct("coverage", "n_windows", "n_slots", (-F.col("at")).alias("at"))).alias("best")
     rows = reduce(DataFrame.unionByName, found).join(suspects.select("doc", "doc_id"), "doc").join(items.select("item", "item_id"), "item")
     rows = rows.groupBy("doc_id", "item_id").agg(best)

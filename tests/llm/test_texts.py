@@ -295,6 +295,12 @@ def test_slots_are_compared_inside_matches(llm_spark):
     assert leaks_of(llm_spark, docs, [names]) == [(0, 0), (1, 0)]
 
 
+def test_names_in_any_place_and_case(llm_spark):
+    item = "Tom has 3 apples. Tom buys 4 more apples. How many apples does Tom have"
+    docs = [item.replace("Tom", "Anna"), item.upper(), item.lower(), item.replace("Tom", "Mary Ann Smith"), "Yes"]
+    assert leaks_of(llm_spark, docs, [item, "No", "Paul Brown Junior Of Green Hill West Side"]) == [(0, 0), (1, 0), (2, 0), (3, 0)]
+
+
 # ---------------------------------------------------------------- toxicity
 
 
