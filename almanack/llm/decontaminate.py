@@ -17,7 +17,8 @@ go on outside. A match of plain tokens counts if it covers that share, or VERBAT
 A first pass over all documents replaces slots within the texts, which is quick, and finds those that
 share any window with the benchmark; tokens, alignments and slots are worked out for these alone.
 
-Items of fewer tokens than a window are found as a whole document only. An item that has
+Items of fewer tokens than a window are found by windows of their own length, which must have the same
+tokens in any case. As templates they are found as a whole document only. An item that has
 enough tokens, but fewer forms as runs of names are one, is also compared with each name as a form. The windows
 of the benchmark are broadcast in blocks of about ``block`` rows, whatever the size of the benchmark; a
 document is read once per kind of window and block. NULL or empty texts and items have no tokens and match nothing; rows
@@ -133,15 +134,19 @@ def contaminated(
     benchmark = benchmark.where("item_id IS NOT NULL").select("item_id", "text").withColumn("item", F.xxhash64("item_id", "text"))
     items = staged(templated(benchmark.dropDuplicates(["item", "text"]), "item", "item_id", "text").where("size(values) > 0"), "items")
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    small = items.where(F.size("values") < window)
+    lengths = sorted(r[0] for r in small.select(F.size("values")).distinct().collect())
     long, merged = items.where(F.size("values") >= window), (F.size("values") >= window) & (F.size("forms") < window)
     kinds = [(quick_forms, items, window), (plain_forms, long, window)]
     if apart := items.where(merged).limit(1).count():
         kinds.append((partial(quick_forms, runs=False), items.where(merged), window))
+    kinds += [(plain_forms, small.where(F.size("values") == n), n) for n in lengths]
     suspects = docs.join(sharing(docs, kinds, block), "doc_id").withColumn("doc", F.xxhash64("doc_id", "text"))
     suspects = staged(templated(suspects.dropDuplicates(["doc", "text"]), "doc", "doc_id"), "suspects")
     found = [
         consistent(suspects, items, chained(suspects, items, "forms", window, coverage, LONG), "wholes", coverage, contradictions),
         placed(chained(suspects, long, "values", window, coverage, VERBATIM)),
+        *[in_full(suspects, small, n) for n in lengths],
     ]
     if apart:
         runs = chained(suspects, items.where(merged), "names", window, coverage, LONG)
@@ -204,6 +209,17 @@ def placed(runs: DataFrame) -> DataFrame:
     return runs.select("doc", "item", F.col("hits")[0]["shift"].alias("at"), "n_windows", "coverage", F.lit(0).alias("n_slots"))
 
 
+def in_full(docs: DataFrame, items: DataFrame, length: int) -> DataFrame:
+    """Where items of that many tokens stand in documents of any length, by hash and then by their tokens."""
+    items = items.where(F.size("values") == length)
+    asked = windows_of(items.select("item", F.col("values").alias("forms")), "item", length).select("item", "h")
+    hits = windows_of(docs.select("doc", F.col("values").alias("forms")), "doc", length).join(asked, "h")
+    hits = hits.groupBy("doc", "item").agg(F.min("at").alias("at"))
+    hits = hits.join(items.select("item", "values"), "item").join(docs.select("doc", F.col("values").alias("doc_values")), "doc")
+    hits = hits.where(F.slice("doc_values", F.col("at") + 1, length) == F.col("values"))
+    return hits.select("doc", "item", "at", F.lit(1).alias("n_windows"), F.lit(1.0).alias("coverage"), F.lit(0).alias("n_slots"))
+
+
 def consistent(
     docs: DataFrame, items: DataFrame, runs: DataFrame, tokens: str, coverage: float, contradictions: float
 ) -> DataFrame:

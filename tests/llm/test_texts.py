@@ -297,8 +297,13 @@ def test_slots_are_compared_inside_matches(llm_spark):
 
 def test_names_in_any_place_and_case(llm_spark):
     item = "Tom has 3 apples. Tom buys 4 more apples. How many apples does Tom have"
-    docs = [item.replace("Tom", "Anna"), item.upper(), item.lower(), item.replace("Tom", "Mary Ann Smith"), "Yes"]
-    assert leaks_of(llm_spark, docs, [item, "No", "Paul Brown Junior Of Green Hill West Side"]) == [(0, 0), (1, 0), (2, 0), (3, 0)]
+    docs = [item.replace("Tom", "Anna"), item.upper(), item.lower(), item.replace("Tom", "Mary Ann Smith"), "Yes", "NO WAY OUT"]
+    assert leaks_of(llm_spark, docs, [item, "No", "Paul Brown Junior Of Green Hill West Side"]) == [(0, 0), (1, 0), (2, 0), (3, 0), (5, 1)]
+
+
+def test_short_items_inside_documents(llm_spark):
+    docs = ["We ask here: who wrote the red book? Nobody in this long text knows it at all.", "Who wrote the blue book? Nobody in this long text knows.", "who wrote"]
+    assert leaks_of(llm_spark, docs, ["Who wrote the red book", "long text", "absent"]) == [(0, 0), (0, 1), (1, 1)]
 
 
 # ---------------------------------------------------------------- toxicity
