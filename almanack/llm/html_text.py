@@ -13,7 +13,8 @@ ancestor and a descendant never contradict each other. Blocks are runs of text b
 tags; character references are decoded, white space inside a block is one space, blocks are trimmed,
 empty ones left out, and the others joined in page order by one line break.
 
-A NULL or empty page gives an empty text. Text outside any element is judged as the page's body.
+A NULL or empty page gives an empty text. A run of text and inline elements directly in the body is
+a node of its own and judged like others.
 Very long and deeply nested pages are handled without recursion. Rows are independent, so NULL ids
 and repeated rows need no care. An empty table gives no rows.
 """
@@ -45,6 +46,7 @@ CLOSES_P = {
     "pre", "section", "summary", "table", "ul",
 }
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+RUN = "#run"  # the tag of a run of text and inline elements that stands in the body itself
 BARRIERS = {"ul", "ol", "dl", "table", "div", "article", "section", "body", "td", "th", "blockquote", "main", "aside", "nav", "form"}
 
 #: Tokens of class, id and role that say what a box is for, by purpose.
@@ -58,7 +60,7 @@ HINTS = {
     "form": {"form", "search", "login", "register", "share", "social", "sharing", "buttons", "button", "toolbar", "rating", "vote"},
     "main": {"article", "main", "content", "post", "entry", "story", "body", "text", "prose", "page", "markdown"},
 }
-KINDS = ["nav", "header", "footer", "aside", "form", "article", "main", "section", "div", "p", "ul", "ol", "li", "h1", "h2", "table", "td", "blockquote", "figure", "a", "button", "body"]
+KINDS = ["nav", "header", "footer", "aside", "form", "article", "main", "section", "div", "p", "ul", "ol", "li", "h1", "h2", "table", "td", "blockquote", "figure", "a", "button", "body", RUN]
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 SPACE = re.compile(r"\s+")
@@ -92,9 +94,17 @@ def parse(source: str) -> Page:
     skip: str | None = None
 
     def text(piece: str) -> None:
+        if stack[-1] == 0 and piece.strip():
+            open_run()
         if piece:
             page.pieces.append((stack[-1], piece))
 
+    def open_run() -> None:
+        page.tags.append(RUN)
+        page.parents.append(0)
+        page.hints.append(frozenset())
+        stack.append(len(page.tags) - 1)
+
     match = TAG.search(source)
     while match:
         text(source[at : match.start()])
@@ -132,6 +142,10 @@ def parse(source: str) -> Page:
                         break
             elif name not in INLINE:
                 page.pieces.append((stack[-1], None))
+            if len(stack) > 1 and page.tags[stack[1]] == RUN and name not in INLINE:
+                del stack[1:]  # a block ends the run
+            elif len(stack) == 1 and name in INLINE:
+                open_run()
             page.tags.append(name)
             page.parents.append(stack[-1])
             page.hints.append(hints_of(match[3]))
@@ -321,6 +335,15 @@ def template_pages(count: int, seed: int = 3) -> Iterator[tuple[str, None]]:
         before = "".join(box(pick(purposes)) for _ in range(int(random.integers(1, 4))))
         after = "".join(box(pick(purposes)) for _ in range(int(random.integers(1, 4))))
         middle = f"<div>{article}{after}</div>" if random.random() < 0.4 else article + after
+        if random.random() < 0.15:  # the article lies in the body itself
+            marked = f'<h1 data-in="1">{sentence(6)}</h1>' * int(random.random() < 0.7)
+            for _ in range(int(random.integers(1, 6))):
+                run = pick(["", f"<b>{word()}</b> "]) + prose() + pick(["", "<br>", "<br><br>", f" <i>{word()}</i> "]) + prose()
+                marked += run + f'<p data-in="1">{prose()}</p>' * int(random.random() < 0.6)
+            strip = " | ".join(f'<a data-out="1" href="/{word()}">{word()}</a>' for _ in range(int(random.integers(2, 7))))
+            few = f'<div class="menu"><ul>{links(3)}</ul></div>'
+            tops, ends = [before, "", strip + "<hr><div></div>", few], [after, "", "<div></div>" + strip, f'<div></div><span data-out="1">&copy; {word()} {word()}</span>']
+            before, middle = pick(tops), marked + pick(ends)
         yield f"<!DOCTYPE html><html><head><title>{word()}</title></head><body>{before}{middle}</body></html>", None
 
 
@@ -329,9 +352,15 @@ def labelled(source: str) -> tuple[Page, np.ndarray]:
     marks = [m for m in TAG.finditer(source) if m[2]]
     page = parse(source)
     opened = [m[3] for m in marks if not m[1] and m[2].lower() not in VOID | {"html", "body", "head", "meta", "link", "title"}]
+    rest = iter(opened)
+    marks = ["", *("" if tag == RUN else next(rest) for tag in page.tags[1:])]
+    out = {up for up, mark in zip(page.parents, marks, strict=True) if "data-out" in mark}
     inside = np.zeros(len(page.tags))
     for i in range(1, len(page.tags)):
-        inside[i] = ("data-in" in opened[i - 1] or inside[page.parents[i]]) and "data-out" not in opened[i - 1]
+        if page.tags[i] == RUN:
+            inside[i] = i not in out
+        else:
+            inside[i] = ("data-in" in marks[i] or inside[page.parents[i]]) and "data-out" not in marks[i]
     return page, inside
 
 
@@ -400,7 +429,7 @@ def texts_of(sources: list[str], model: Boosted) -> list[str]:
     chances = np.split(model.scores(np.vstack(rows)), np.cumsum([len(r) for r in rows])[:-1]) if rows else []
     # Text without any element is the whole of its page.
     return [
-        text_of(page, decode(page, chance) if len(page.tags) > 1 else np.ones(1, bool))
+        text_of(page, decode(page, chance) if {*page.tags[1:]} - {RUN} else np.ones(len(page.tags), bool))
         for page, chance in zip(pages, chances, strict=True)
     ]
 

@@ -162,3 +162,12 @@ def test_a_rejected_node_rejects_what_is_below(model):
 def test_slices_are_bounded():
     assert list(slices(np.array([3, 3, 9, 1, 1]), 6)) == [(0, 2), (2, 3), (3, 5)]
     assert list(slices(np.array([], int), 6)) == []
+
+
+def test_article_directly_in_the_body():
+    text = "A long article stands in the body itself, as old pages do, and says something in every sentence. It goes on for a while."
+    menu = "<div class=menu><ul><li><a href=/a>one</a></li><li><a href=/b>two</a></li></ul></div>"
+    model = html_text.train(None)
+    page = f"<body>{menu}{text}<br>{text} more <b>bold</b> text.<p>{text}</p>{text}</body>"
+    assert html_text.texts_of([page], model) == ["\n".join([text, f"{text} more bold text.", text, text])]
+    assert html_text.texts_of(["just text"], model) == ["just text"]
