@@ -298,6 +298,13 @@ def template_pages(count: int, seed: int = 3) -> Iterator[tuple[str, None]]:
     prose = lambda: " ".join(sentence(int(random.integers(4, 18))) for _ in range(int(random.integers(1, 6))))
     links = lambda k: "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(k))
 
+    def linked() -> str:
+        """Prose, at times with inline elements inside its sentences."""
+        if random.random() < 0.6:
+            return prose()
+        inline = [f"<{tag}>{word()} {word()}</{tag.split()[0]}>" for tag in (f'a href="/{word()}"', "em", "b", 'span class="x"')]
+        return " ".join(f"{prose()[:-1]} {pick(inline)} {prose()}" for _ in range(int(random.integers(1, 4))))
+
     def box(purpose: str) -> str:
         token = pick(sorted(HINTS[purpose]))
         tag = {"menu": ["nav", "div", "ul"], "frame": ["header", "footer", "div"], "side": ["aside", "div", "section"], "form": ["form", "div"]}.get(purpose, ["div", "section", "div"])
@@ -317,7 +324,7 @@ def template_pages(count: int, seed: int = 3) -> Iterator[tuple[str, None]]:
         for _ in range(int(random.integers(1, 14))):
             kind = random.random()
             if kind < 0.75:
-                parts.append(f"<p>{prose()}" + pick(["</p>", "</p>", ""]))
+                parts.append(f"<p>{linked()}" + pick(["</p>", "</p>", ""]))
             elif kind < 0.83:
                 parts.append(f"<h2>{sentence(4)}</h2>")
             elif kind < 0.9:
@@ -344,6 +351,8 @@ def template_pages(count: int, seed: int = 3) -> Iterator[tuple[str, None]]:
             few = f'<div class="menu"><ul>{links(3)}</ul></div>'
             tops, ends = [before, "", strip + "<hr><div></div>", few], [after, "", "<div></div>" + strip, f'<div></div><span data-out="1">&copy; {word()} {word()}</span>']
             before, middle = pick(tops), marked + pick(ends)
+        elif random.random() < 0.2:  # stray text around it
+            middle += pick([f'<span data-out="1">&copy; {word()}</span> {word()} 2020', f'{word()} <a data-out="1" href="/{word()}">{word()}</a>', f'<i data-out="1">{sentence(5)}</i>'])
         yield f"<!DOCTYPE html><html><head><title>{word()}</title></head><body>{before}{middle}</body></html>", None
 
 
@@ -394,12 +403,16 @@ def decode(page: Page, chance: np.ndarray) -> np.ndarray:
     """Which nodes are in: along each path the evidence adds up, and a rejected node rejects all below.
 
     A box of several blocks is only left out as a whole if it is surely outside; smaller nodes are
-    judged with what is above them, so one unsure paragraph follows its box.
+    judged with what is above them, so one unsure paragraph follows its box. Inline elements are part of the block
+    they stand in.
     """
     odds = np.log(chance / (1 - chance)).tolist()
     path, keep, barred = [0.0] * len(odds), [False] * len(odds), [False] * len(odds)
     for i in range(1, len(odds)):
         up = page.parents[i]
+        if page.tags[i] in INLINE and up:
+            path[i], keep[i], barred[i] = path[up], keep[up], barred[up]
+            continue
         path[i] = odds[i] if up == 0 else 0.5 * path[up] + 0.5 * odds[i]
         strong = page.tags[i] in OUTSIDE or bool(page.hints[i] & OUTSIDE_HINTS)
         barred[i] = barred[up] or (keep[up] and odds[i] < -1.0) or (strong and path[i] < 0)

@@ -171,3 +171,9 @@ def test_article_directly_in_the_body():
     page = f"<body>{menu}{text}<br>{text} more <b>bold</b> text.<p>{text}</p>{text}</body>"
     assert html_text.texts_of([page], model) == ["\n".join([text, f"{text} more bold text.", text, text])]
     assert html_text.texts_of(["just text"], model) == ["just text"]
+
+
+def test_inline_elements_follow_their_block():
+    page = html_text.parse('<article><p>in <a href=/x>a link</a> and <em>more</em></p></article><nav><p>out <a href=/y>y</a></p></nav>')
+    chance = np.array([0.5, 0.95, 0.95, 0.05, 0.05, 0.05, 0.05, 0.95])
+    assert html_text.decode(page, chance).tolist() == [False, True, True, True, True, False, False, False]
