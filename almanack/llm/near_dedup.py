@@ -159,6 +159,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """node, comp (the smallest node reachable) of all nodes of the edges (a, b).
 
     Alternates large and small stars until the edges stay the same; hubs only give their minimum.
+    Fails if they still change after ``most`` rounds.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     edges, before = staged(edges, "edges"), None
@@ -174,6 +175,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components still change after {most} rounds")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     return nodes.union(edges.select("v", "v").distinct())
 

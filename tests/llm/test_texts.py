@@ -246,6 +246,13 @@ def test_components_of_a_long_path(llm_spark):
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 102: 100}
 
 
+def test_unfinished_components_are_an_error(llm_spark):
+    path = llm_spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="after 2 rounds"):
+        components(path, most=2)
+
+
+
 # ---------------------------------------------------------------- decontamination
 
 
