@@ -312,7 +312,7 @@ def template_pages(count: int, seed: int = 3) -> Iterator[tuple[str, None]]:
         plain = tag in ("nav", "header", "footer", "aside", "form") and random.random() < 0.5
         mark = "" if plain else f' {pick(["class", "id"])}="{pick([token, f"{token}-{word()}", f"{word()} {token}"])}"'
         inner = {
-            "menu": f"<ul>{links(int(random.integers(3, 9)))}</ul>", "frame": f"<p>&copy; {word()} {sentence(4)}</p>",
+            "menu": f"<ul>{links(int(random.integers(3, 9)))}</ul>", "frame": pick([f"<p>&copy; {word()} {sentence(4)}</p>", f"&copy; {word()}"]),
             "side": f"<h3>{word()}</h3><ul>{links(4)}</ul>" + (f"<p>{prose()}</p>" if random.random() < 0.4 else ""),
             "form": f"<label>{word()}</label><input name=q><button>{word()}</button>",
         }.get(purpose, "".join(f"<p>{prose()}</p>" for _ in range(int(random.integers(1, 4)))) if random.random() < 0.5 else prose())
