@@ -13,7 +13,7 @@ from almanack.llm.line_dedup import dedup_lines
 from almanack.llm.decontaminate import contaminated
 from almanack.llm.near_dedup import near_duplicates
 from almanack.llm.packing import PIECE, pack
-from almanack.llm import html_text, neighbours, toxicity
+from almanack.llm import html_text, lexical, neighbours, secret_scan, toxicity, whitening
 from almanack.llm.suffix_dedup import remove_repeats
 from almanack.llm.token_files import read_documents, with_checksums, write_token_files
 from almanack.llm.warc import archived
@@ -109,6 +109,122 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(pages, html_text.train(pages))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH items AS (
+  SELECT item_id, min(text) AS text FROM benchmark WHERE item_id IS NOT NULL GROUP BY item_id
+), words AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM items
+), wanted AS (
+  SELECT item_id, term, count(*) AS times FROM words GROUP BY item_id, term
+), numbered AS (
+  SELECT row_number() OVER () AS r, doc_id, text FROM documents WHERE doc_id IS NOT NULL
+), tokens AS (
+  SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM numbered
+), sizes AS (
+  SELECT r, count(*) AS n FROM tokens GROUP BY r
+), total AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes
+), held AS (
+  SELECT r, doc_id, term, count(*) AS tf FROM tokens WHERE term IN (SELECT term FROM wanted) GROUP BY r, doc_id, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, total GROUP BY term
+), scores AS (
+  SELECT item_id, r, doc_id,
+         CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM held JOIN sizes USING (r) JOIN weights USING (term) JOIN wanted USING (term), total
+  GROUP BY item_id, r, doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+  FROM scores WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def _matches_sql(kind: int, pattern: str, group: int, least: int) -> str:
+    """r, kind, start, stop, hit of the long enough matches of a pattern; the texts between them give the places."""
+    quoted = pattern.replace("'", "''")
+    return f"""
+    SELECT r, {kind} AS kind, CAST(upto - length(hit) AS BIGINT) AS start, CAST(upto AS BIGINT) AS stop, hit
+    FROM (
+      SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY r ORDER BY pos) AS upto
+      FROM (
+        SELECT r, unnest(regexp_extract_all(text, '{quoted}')) AS hit, unnest(regexp_extract_all(text, '{quoted}', {group})) AS sized,
+               unnest(string_split_regex(text, '{quoted}')[:-2]) AS gap,
+               unnest(range(len(regexp_extract_all(text, '{quoted}')))) AS pos
+        FROM texts WHERE regexp_matches(text, '{quoted}')
+      )
+    ) WHERE length(sized) >= {least}"""
+
+
+def _op12_sql() -> str:
+    base = " UNION ALL ".join(
+        _matches_sql(k, pattern, group, least) for k, (_, pattern, group, least) in enumerate(secret_scan.PATTERNS)
+    )
+    likely = _matches_sql(0, secret_scan.CANDIDATE, 0, secret_scan.WINDOW)
+    first, shapes, bounds = len(secret_scan.PATTERNS), "", ""
+    for k, (_, shape, _, bits) in enumerate(secret_scan.CLASSES, first):
+        shapes += f"WHEN regexp_matches(hit, '{shape}') THEN {k} "
+        bounds += f"WHEN {k} THEN {secret_scan.most_millionths(bits)} "
+    allowed = " OR ".join(f"regexp_matches(hit, '{p}')" for p in secret_scan.ALLOWED)
+    names = ", ".join(f"'{k}'" for k in secret_scan.KINDS)
+    width = secret_scan.WINDOW
+    return f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), base AS ({base}
+), likely AS (
+  SELECT r, start, hit, CASE {shapes} END AS kind
+  FROM ({likely}) WHERE regexp_matches(hit, '[0-9]')
+    AND ((regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[A-Z]')) OR regexp_matches(hit, '{secret_scan.HEXADECIMAL}'))
+), windows AS (
+  SELECT *, unnest(range(length(hit) - {width - 1})) AS place, CASE kind WHEN {first} THEN lower(hit) ELSE hit END AS string FROM likely
+), chars AS (
+  SELECT r, start, hit, kind, place, unnest(string_split(substring(string, place + 1, {width}), '')) AS c FROM windows
+), counts AS (
+  SELECT r, start, hit, kind, place, c, count(*) AS n FROM chars GROUP BY r, start, hit, kind, place, c
+), sums AS (
+  SELECT r, start, hit, kind, place, CAST(sum(round(1e6 * n * log2(n))) AS BIGINT) AS bits FROM counts GROUP BY r, start, hit, kind, place
+), hot AS (
+  SELECT r, start, hit, kind, min(place) AS first, max(place) + {width} AS last
+  FROM sums WHERE bits <= CASE kind {bounds} END GROUP BY r, start, hit, kind
+), more AS (
+  SELECT r, kind, start + first AS start, start + last AS stop, hit FROM hot
+), spans AS (
+  SELECT r, kind, start, stop FROM base
+  UNION ALL
+  SELECT r, kind, start, stop FROM more m
+  WHERE NOT ({allowed})
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = m.r AND b.start <= m.start AND b.stop >= m.stop)
+), named AS (
+  SELECT *, ([{names}])[kind + 1] || ':' || start || ':' || stop AS said FROM spans
+)
+SELECT any_value(t.doc_id) AS doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
+       count(*) FILTER (kind = 2) AS n_hex,
+       sha256(coalesce(string_agg(said, ',' ORDER BY start, kind, stop) FILTER (kind < {first}), '')) AS base_sha256,
+       coalesce(string_agg(said, ',' ORDER BY start, kind, stop), '') AS spans
+FROM texts t LEFT JOIN named n ON t.r = n.r GROUP BY t.r
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
@@ -120,6 +236,14 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_token_files": op9_token_files,
     "op10_html_text": op10_html_text,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_whitening": op13_whitening,
 }
 
-LLM_ORACLES: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op8_warc": OP8_SQL}
+LLM_ORACLES: dict[str, str] = {
+    "op6_line_dedup": OP6_SQL,
+    "op8_warc": OP8_SQL,
+    "op11_lexical_search": OP11_SQL,
+    "op12_secret_scan": _op12_sql(),
+}

@@ -10,7 +10,7 @@ from almanack.llm.queries import LLM_ORACLES, LLM_QUERIES
 
 def test_every_operator_and_the_pipeline_are_registered():
     names = __spark_entry__.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 14))
     assert set(LLM_QUERIES) | {"pipeline"} <= set(names)
     assert set(LLM_ORACLES) <= set(__spark_entry__.oracle_sql())
 
