@@ -29,6 +29,7 @@ from almanack.functions.numbers import (
     to_number,
     within_limits,
 )
+from almanack.functions.types import guessed_types, reconciled, united_types, widest, with_types
 
 __all__ = [
     "academic_year_label",
@@ -38,6 +39,7 @@ __all__ = [
     "first_letter",
     "first_number",
     "group_name",
+    "guessed_types",
     "if_else",
     "is_total_or_blank",
     "mask_year",
@@ -48,6 +50,7 @@ __all__ = [
     "percent_label",
     "place_name",
     "recode",
+    "reconciled",
     "round_half_away",
     "share",
     "strict_max",
@@ -55,5 +58,8 @@ __all__ = [
     "strip_separators",
     "title_case",
     "to_number",
+    "united_types",
+    "widest",
+    "with_types",
     "within_limits",
 ]

@@ -7,13 +7,18 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
+from almanack.functions.types import reconciled
+
 
 def stack(frames: Iterable[DataFrame | None]) -> DataFrame:
-    """Unite frames by name; a column a frame lacks is NULL there. None is skipped."""
+    """Unite frames by name; a column a frame lacks is NULL there. None is skipped.
+
+    A column that is a number or a date in one frame and text in another is text in the result.
+    """
     present = [f for f in frames if f is not None]
     if not present:
         raise ValueError("no frame to stack")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), present)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), reconciled(present))
 
 
 def empty_like(df: DataFrame) -> DataFrame:

@@ -1,6 +1,10 @@
 from almanack.sources.delimited import (
+    Reading,
     list_files,
+    read_checked,
     read_glob,
+    read_guessed,
+    read_records,
     read_typed,
     read_typed_years,
     read_with_origin,
@@ -13,6 +17,7 @@ from almanack.sources.sinks import write_chart_rows, write_report_table
 from almanack.sources.tables import load_table, stage_table
 
 __all__ = [
+    "Reading",
     "STUDENT_GROUPS",
     "adopt_header",
     "below_header",
@@ -23,7 +28,10 @@ __all__ = [
     "list_files",
     "literal_table",
     "load_table",
+    "read_checked",
     "read_glob",
+    "read_guessed",
+    "read_records",
     "read_typed",
     "read_typed_years",
     "read_with_origin",
