@@ -20,10 +20,12 @@ from almanack.operators.ordering import (
 from almanack.operators.reshape import (
     columns_between,
     columns_from,
+    found_names,
     lengthen,
     numbers_in,
     share_of_total,
     widen,
+    widen_found,
 )
 from almanack.operators.sums import (
     distinct_values,
@@ -50,6 +52,7 @@ __all__ = [
     "first_by",
     "first_seen_order",
     "fixed_order",
+    "found_names",
     "geo_column",
     "group_mean",
     "group_names",
@@ -65,6 +68,7 @@ __all__ = [
     "stack",
     "sums_by_name",
     "widen",
+    "widen_found",
     "with_group_sums",
     "with_levels",
 ]

@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 
 from almanack.functions.numbers import to_number
 
+#: Different names that a pivot may find.
+MOST_NAMES = 1_000
+
 
 def columns_between(df: DataFrame, first: str, last: str) -> list[str]:
     """Names from one column to another, both included, in table order."""
@@ -72,19 +75,39 @@ def widen(
 
     The names are given, so no extra job discovers them, and every cell is a conditional
     aggregate that Spark combines map-side in a single shuffle on the ids. A row with a name that
-    is not among them fails the job, so that none is lost unseen; filter such rows first.
+    is not among them fails the job, so that none is lost unseen; filter such rows first. None among
+    the names stands for missing ones, whose columns end in NA.
     """
-    unlisted = F.count_if(~F.coalesce(F.col(names_from).isin(list(names)), F.lit(False)))
+    known = F.coalesce(F.col(names_from).isin([n for n in names if n is not None]), F.lit(None in names))
+    unlisted = F.count_if(~known)
     cells = [
-        F.when(unlisted == 0, _only(F.col(v), F.col(names_from) == F.lit(n)))
+        F.when(unlisted == 0, _only(F.col(v), F.col(names_from).eqNullSafe(F.lit(n))))
         .otherwise(F.raise_error(F.lit("a name that is not listed")))
-        .alias(f"{v}_{n}")
+        .alias(f"{v}_{'NA' if n is None else n}")
         for v in values_from
         for n in names
     ]
     return df.groupBy(*ids).agg(*cells)
 
 
+def found_names(df: DataFrame, column: str, most: int = MOST_NAMES) -> list[Any]:
+    """The values of a column in rising order, a missing one last; more than ``most`` are an error.
+
+    Each becomes columns of a table, so their number has to be small. Only that many reach the driver.
+    """
+    names = df.select(column).distinct().orderBy(F.col(column).asc_nulls_last()).limit(most + 1).collect()
+    if len(names) > most:
+        raise ValueError(f"{column} has more than {most} different values")
+    return [r[0] for r in names]
+
+
+def widen_found(
+    df: DataFrame, ids: Sequence[str], names_from: str, values_from: Sequence[str], most: int = MOST_NAMES
+) -> DataFrame:
+    """As ``widen``, under all names that occur: a first pass finds them, the second makes the columns."""
+    return widen(df, ids, names_from, found_names(df, names_from, most), values_from)
+
+
 def share_of_total(
     df: DataFrame, ids: Sequence[str], names_from: str, part: str, total: str, value: str
 ) -> DataFrame:

@@ -51,7 +51,7 @@ from almanack.operators import (
     with_levels,
 )
 from almanack.operators import share_of_total as share_table
-from almanack.sources import html_cell, literal_table, snake
+from almanack.sources import html_cell, html_grid_cell, literal_table, snake
 
 CHART_COLUMNS = ["figure", "series", "x", "y", "y_visible", "label", "facet", "level"]
 CODES = ["county_code", "district_code", "school_code", "grade", "test_id", "subgroup_id"]
@@ -92,8 +92,7 @@ AGE_COUNTS = [
 ]
 
 
-def chart(
-    df: DataFrame,
+def fields(
     figure: str,
     x: Column | str,
     y: Column,
@@ -102,11 +101,11 @@ def chart(
     facet: Column | None = None,
     level: Column | None = None,
     limits: tuple[float, float] | None = None,
-) -> DataFrame:
-    """Rows of one figure in the common shape."""
+) -> list[Column]:
+    """The columns of a chart row."""
     none = F.lit(None)
     y = y.cast("double")
-    return df.select(
+    return [
         F.lit(figure).alias("figure"),
         (none if series is None else series).cast("string").alias("series"),
         (F.col(x) if isinstance(x, str) else x).cast("string").alias("x"),
@@ -115,7 +114,22 @@ def chart(
         (none if label is None else label).cast("string").alias("label"),
         (none if facet is None else facet).cast("string").alias("facet"),
         (none if level is None else level).cast("int").alias("level"),
-    )
+    ]
+
+
+def chart(
+    df: DataFrame,
+    figure: str,
+    x: Column | str,
+    y: Column,
+    series: Column | None = None,
+    label: Column | None = None,
+    facet: Column | None = None,
+    level: Column | None = None,
+    limits: tuple[float, float] | None = None,
+) -> DataFrame:
+    """Rows of one figure in the common shape."""
+    return df.select(*fields(figure, x, y, series, label, facet, level, limits))
 
 
 def label_layer(rows: DataFrame) -> DataFrame:
@@ -289,15 +303,16 @@ def pupil_count(
 
 
 def special_education(pages: DataFrame, geo: Geography, **cell: int | str | None) -> DataFrame:
-    """One cell per yearly page; pages(year, html)."""
-    value = strip_separators(html_cell("html", **cell))
+    """One cell per yearly page; pages(year, html). ``column`` names a place of the table's grid, ``cell`` one as written."""
+    text = (html_grid_cell if "column" in cell else html_cell)("html", **cell)
+    found = pages.select("year", text.alias("text"))  # looked up once per page
     return chart(
-        pages,
+        found.select("year", strip_separators("text").alias("count")),
         "special_education",
         "year",
-        value,
+        F.col("count"),
         series=F.lit(geo.county_name),
-        label=comma_label(value),
+        label=comma_label("count"),
         limits=(5000, 10000),
     )
 

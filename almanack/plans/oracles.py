@@ -6,6 +6,8 @@ and rates are single divisions of whole numbers, so both engines yield the same
 
 from __future__ import annotations
 
+import re
+
 from almanack.plans import standins as S
 from almanack.plans.catalog import CODE_NAMES, DISTRICTS, LITERAL_YEARS
 from almanack.plans.indicators import SUBGROUP_FAMILIES
@@ -481,8 +483,7 @@ _COUNTS = {
     "english_learner_el": ("RA", (25000, 35000)),
 }
 # A district without rows of a category has no count, and then neither has the county.
-ORACLES["pupil_counts"] = _with(
-    PANEL,
+_COUNT_CTES = [
     f"""upc AS (SELECT academic_year, district_code, {', '.join(
         f"max(ce) FILTER (cat = '{cat}') AS {m}" for m, (cat, _) in _COUNTS.items())}
         FROM panel WHERE district_code IS NOT NULL AND charter = 'All' AND {_COUNTY} GROUP BY 1, 2)""",
@@ -491,14 +492,15 @@ ORACLES["pupil_counts"] = _with(
             FROM upc GROUP BY 1)"""
         for m in _COUNTS
     ],
-) + " UNION ALL ".join(
+]
+_COUNTED = " UNION ALL ".join(
     _chart(f"pupil_count_{m}", "academic_year", "v", f"s_{m}", series=_NAME, label=_comma("v"), limits=lim)
     for m, (_, lim) in _COUNTS.items()
 )
+ORACLES["pupil_counts"] = _with(PANEL, *_COUNT_CTES) + _COUNTED
 
-ORACLES["special_education_cells"] = _with(
-    "cells AS (SELECT page_id, length(html) AS v FROM pages)"
-) + _chart("special_education", "page_id", "v", "cells", series=_NAME, label=_comma("v"), limits=(5000, 10000))
+_SPED = _chart("special_education", "page_id", "v", "cells", series=_NAME, label=_comma("v"), limits=(5000, 10000))
+ORACLES["special_education_cells"] = _with("cells AS (SELECT page_id, length(html) AS v FROM pages)") + _SPED
 
 
 def _enrollment(category: str, limits: tuple[float, float]) -> str:
@@ -749,29 +751,75 @@ FROM panel WHERE {_FRAME_ROWS}"""
 # --- The report -------------------------------------------------------------------------
 
 _SUSP_CTES, _SUSP_GROUP = _by_group("suspension_by_group", "susp / 100", _percent("shown", 1), _NAMES, _WHOLE)
-_EXP_CTES, _EXP_GROUP = _by_group("expulsion_by_group", "exp", _EXP_LABEL, _NAMES, _WHOLE)
 _LIMITS = {
     "TA": (70000, 85000), "SH": (5000, 14000), "SS": (55000, 65000), "SE": (20000, 40000), "SD": (6000, 12000),
 }
+
+
+def _numbered_group(number: int, names: str, *args: str) -> tuple[list[str], str]:
+    """A by-group chart beside others: its tables bear a number."""
+    ctes, select = _by_group(*args[:3], names, *args[3:])
+    own = {"names": f"names{number}", "frame": f"frame{number}", "ranked": f"ranked{number}"}
+    swap = lambda sql: re.sub(r"\b(names|frame|ranked)\b", lambda m: own[m[0]], sql)
+    return [swap(c) for c in ctes[2:]], swap(select)
+
+
+_EXP_CTES, _EXP_GROUP = _numbered_group(2, _NAMES, "expulsion_by_group", "exp", _EXP_LABEL, _WHOLE)
+_GRAD_CTES, _GRAD_GROUP = _numbered_group(
+    3, _BOOK_NAMES, "graduation_by_group", "grad / 100", _percent("shown", 1), _WHOLE, "grad IS NOT NULL"
+)
+_DROP_CTES, _DROP_GROUP = _numbered_group(
+    4, _BOOK_NAMES, "dropout_by_group", "drp / 100", _percent("shown", 1), _WHOLE, "grad IS NOT NULL"
+)
+
+
+def _assessed_group(number: int, test: int, figure: str) -> tuple[list[str], str]:
+    frame = f"""frame{number} AS (SELECT * FROM (
+          SELECT t.*, student_group, CASE {_FACETS} END AS family
+          FROM tested t LEFT JOIN book ON code = CAST(subgroup AS VARCHAR))
+        WHERE test = {test} AND {_COUNTY} AND yr = (SELECT max(yr) FROM tested)
+          AND NOT regexp_matches(student_group, 'TBD') AND NOT regexp_matches(family, 'Ethnicity for'))"""
+    ranked = _ranked(f"frame{number}", "student_group", "median(met)").replace("ranked AS", f"ranked{number} AS")
+    return [frame, ranked], _chart(
+        figure, "student_group", "met / 100",
+        f"frame{number} JOIN ranked{number} ON student_group IS NOT DISTINCT FROM lname",
+        label=_percent("met / 100", 1), facet="family", level="lvl",
+    )
+
+
+_ELA_CTES, _ELA_GROUP = _assessed_group(5, 1, "ela_by_group")
+_MATH_CTES, _MATH_GROUP = _assessed_group(6, 2, "math_by_group")
 ORACLES["report_chart_rows"] = _with(
     *_SUSP_CTES,
-    _EXP_CTES[3].replace("frame AS", "frame2 AS"),
-    _EXP_CTES[4].replace("ranked AS", "ranked2 AS").replace("FROM frame", "FROM frame2"),
+    *_EXP_CTES,
+    *_GRAD_CTES,
+    *_DROP_CTES,
     _FIT,
     _TESTED,
+    f"book(code, student_group) AS (VALUES {_values(_BOOK)})",
+    *_ELA_CTES,
+    *_MATH_CTES,
+    *_COUNT_CTES,
+    "cells AS (SELECT page_id, length(html) AS v FROM pages)",
 ) + " UNION ALL ".join(
     [
         _GRADUATION,
+        _GRAD_GROUP,
         _DROPOUT,
+        _DROP_GROUP,
         _COLLEGE,
         *[_enrollment(c, lim) for c, lim in _LIMITS.items()],
         _share("SS", (0.65, 0.8)),
+        _COUNTED,
+        _SPED,
         _SUSPENSION,
         _SUSP_GROUP,
         _EXPULSION,
-        _EXP_GROUP.replace("FROM frame JOIN ranked", "FROM frame2 JOIN ranked2"),
+        _EXP_GROUP,
         _FITNESS,
         _ASSESSED,
+        _ELA_GROUP,
+        _MATH_GROUP,
         _RECLASS,
         _ELAS,
     ]

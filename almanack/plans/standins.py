@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanack.functions import match_value
-from almanack.operators.reshape import widen
+from almanack.operators.reshape import found_names, widen
 from almanack.sources import STUDENT_GROUPS, literal_table
 
 YEARS = ["1995-96", "1996-97", "1997-98", "1998-99", "1999-00", "2000-01", "2001-02"]
@@ -213,6 +213,21 @@ def pft(panel: DataFrame) -> DataFrame:
     )
 
 
+def sped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """year, html: each page with a table whose cell in row 22, column 15 of the grid is the page's length.
+
+    Cells span rows and columns, so the cell is the twelfth that its row writes.
+    """
+    head = "<tr>" + "".join(f"<th>c{i}</th>" for i in range(1, 17)) + "</tr>"
+    body = "".join(f"<tr><td>{i}</td><td colspan='15'>{i * 100}</td></tr>" for i in range(1, 21))
+    last = "<tr><td colspan=3 rowspan='2'>Total</td>" + "".join(f"<td>{i}</td>" for i in range(13)) + "</tr><tr>" + "<td>0</td>" * 11 + "<td align=right><b>"
+    table = F.concat(
+        F.lit(f"<table border=1>{head}{body}{last}"), F.format_number(F.length("html"), 0), F.lit("</b>&nbsp;</td><td>1</td></tr></table>")
+    )
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select(F.col("page_id").alias("year"), F.concat("html", table).alias("html"))
+
+
 SUBGROUP_IDS = {"TA": 1, "RB": 74, "RA": 204, "GF": 3, "GM": 4, "SH": 52}
 
 
@@ -232,7 +247,6 @@ def caaspp(panel: DataFrame) -> DataFrame:
 
 def caaspp_wide(panel: DataFrame) -> DataFrame:
     """One column per test year, named by the last two digits of a shifted year."""
-    years = [int(y[:4]) for y in YEARS]
     tested = (
         panel.where(F.col("aggregate_level").isin("T", "C"))
         .withColumn("test", F.explode(F.array(F.lit("ELA"), F.lit("Math"))))
@@ -244,6 +258,7 @@ def caaspp_wide(panel: DataFrame) -> DataFrame:
             / _people(),
         )
     )
+    years = found_names(tested, "start")
     wide = widen(
         tested, ["county_code", "charter", "reporting_category", "test"], "start", years, ["met"]
     )
@@ -363,8 +378,9 @@ def ela_sheet(panel: DataFrame) -> DataFrame:
             / _people(),
         )
     )
+    years = found_names(tested, "academic_year")
     wide = widen(
-        tested, ["county_name", "reporting_category", "Test"], "academic_year", YEARS, ["met"]
+        tested, ["county_name", "reporting_category", "Test"], "academic_year", years, ["met"]
     )
     grade = match_value("reporting_category", GRADE_TEXTS)
     return wide.select(
@@ -372,5 +388,5 @@ def ela_sheet(panel: DataFrame) -> DataFrame:
         F.lower("county_name").alias("Geo"),
         F.when(grade.isNull(), "Subgroup").otherwise("Grade").alias("Group"),
         F.coalesce(grade, match_value("reporting_category", GROUP_TEXTS)).alias("Subgroup"),
-        *[F.col(f"met_{y}").alias(y) for y in YEARS],
+        *[F.col(f"met_{y}").alias(y) for y in years],
     )

@@ -11,9 +11,9 @@ from almanack.sources.delimited import (
     read_years,
 )
 from almanack.sources.headers import adopt_header, below_header, clean_names, conform, snake
-from almanack.sources.html import cell_text, html_cell
+from almanack.sources.html import cell_text, html_cell, html_grid_cell
 from almanack.sources.lookups import STUDENT_GROUPS, literal_table, student_groups
-from almanack.sources.sinks import write_chart_rows, write_report_table
+from almanack.sources.sinks import editions, publish_edition, read_editions, write_chart_rows, write_report_table
 from almanack.sources.tables import load_table, stage_table
 
 __all__ = [
@@ -24,11 +24,15 @@ __all__ = [
     "cell_text",
     "clean_names",
     "conform",
+    "editions",
     "html_cell",
+    "html_grid_cell",
     "list_files",
     "literal_table",
     "load_table",
+    "publish_edition",
     "read_checked",
+    "read_editions",
     "read_glob",
     "read_guessed",
     "read_records",

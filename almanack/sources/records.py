@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from almanack.folders import stored
+
 #: Rows of a table of files or byte ranges that may be broadcast; each takes some hundred bytes.
 BROADCAST_ROWS = 50_000
 
@@ -55,13 +57,6 @@ class Scan:
         return frame.join(F.broadcast(other) if self.small else other, ["file", "block"], how)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Write a small table to the checkpoint folder, or keep it in memory where the session names none."""
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df.persist()
-
-
 def scan_lines(spark: SparkSession, paths: str | Sequence[str], sep: str) -> Scan:
     """Look at all lines once, in one job; the result has a row per byte range."""
     raw = spark.read.option("lineSep", "\n").text(paths if isinstance(paths, str) else list(paths))
@@ -105,7 +100,7 @@ def scan_lines(spark: SparkSession, paths: str | Sequence[str], sep: str) -> Sca
         F.min_by("top", "block").over(whole).alias("header"),
         F.when(F.col("block") == F.min("block").over(whole), F.col("first")).alias("first"),
     )
-    ranges = kept(ranges)
+    ranges = stored(ranges, "byte-ranges")
     found = ranges.agg(F.count("*"), F.coalesce(F.max("broken"), F.lit(False)), F.min(F.when(F.col("torn"), F.col("file"))))
     count, broken, torn = found.first()
     return Scan(lines, ranges, sep, broken, torn, count <= BROADCAST_ROWS)
