@@ -18,6 +18,7 @@ from almanack.functions import (
     comma_label,
     first_letter,
     group_name,
+    guessed_types,
     is_total_or_blank,
     not_in,
     percent_label,
@@ -54,13 +55,14 @@ from almanack.operators import (
     stack,
     sums_by_name,
     widen,
+    widen_found,
     with_group_sums,
 )
 from almanack.plans import indicators as I
 from almanack.plans import standins as S
 from almanack.plans.panel import CATEGORIES, FOCUS, panel, read
 from almanack.plans.report import report_rows
-from almanack.sources import adopt_header, conform, html_cell, literal_table
+from almanack.sources import adopt_header, conform, html_cell, html_grid_cell, literal_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -340,6 +342,16 @@ def html_nth_cell(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("html_grid_cell")
+def html_grid_cell_of_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The published cell of a table whose cells span rows and columns, and the corner of its total."""
+    return S.sped_pages(spark, sf).select(
+        "year",
+        html_grid_cell("html", row=22, column=15).alias("published"),
+        html_grid_cell("html", row=22, column=2).alias("corner"),
+    )
+
+
 # --- Sums -------------------------------------------------------------------------------
 
 
@@ -423,6 +435,16 @@ def pivot_multi_value(spark: SparkSession, sf: str) -> DataFrame:
     ).drop("l_extendedprice_F")
 
 
+@query("pivot_found_names")
+def pivot_found_names(spark: SparkSession, sf: str) -> DataFrame:
+    """A column per day of the week that occurs, found in the data; one row per customer segment."""
+    orders = read(spark, sf, "orders").join(
+        read(spark, sf, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey")
+    )
+    counts = orders.groupBy("c_mktsegment", F.weekday("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
+    return widen_found(counts, ["c_mktsegment"], "day", ["n"])
+
+
 @query("select_prefix_unpivot")
 def select_prefix_unpivot(spark: SparkSession, sf: str) -> DataFrame:
     """Columns found by prefix, whatever its case, lengthened with their NULLs."""
@@ -461,6 +483,14 @@ def fixed_front_order(spark: SparkSession, sf: str) -> DataFrame:
     return fixed_order(read(spark, sf, "orders"), "o_orderpriority", ["3-MEDIUM", "1-URGENT"])
 
 
+@query("fixed_before_first_seen")
+def fixed_before_first_seen(spark: SparkSession, sf: str) -> DataFrame:
+    """Named labels in front, all others in the order they were first seen in."""
+    events = read(spark, sf, "events")
+    seen = first_seen_order(events, "event_type", "event_id")
+    return fixed_order(events, "event_type", ["view", "signup"], seen)
+
+
 @query("first_seen_order")
 def first_seen_types(spark: SparkSession, sf: str) -> DataFrame:
     return first_seen_order(read(spark, sf, "events"), "event_type", "event_id")
@@ -506,6 +536,37 @@ def _by_status(orders: DataFrame) -> list[DataFrame]:
     return [orders.where(status == "F"), orders.where(status == "O"), orders.where(rest)]
 
 
+def _yearly_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as a text file would give them: some years suppress a price, one has no day."""
+    orders = read(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
+    small = (F.col("year") < 1997) & (F.col("o_totalprice") < 50_000)
+    return orders.select(
+        "year",
+        F.col("o_orderkey").cast("string").alias("key"),
+        F.when(small, "*").otherwise(F.col("o_totalprice").cast("string")).alias("price"),
+        F.when(F.col("year") != 1999, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"),
+        F.when(F.col("o_orderstatus") == "O", "TRUE").otherwise("FALSE").alias("open"),
+        F.when(F.col("o_orderstatus") == "P", "NA").alias("gone"),
+    )
+
+
+@query("guessed_types")
+def guessed_type_report(spark: SparkSession, sf: str) -> DataFrame:
+    """What each text column holds in each year."""
+    report = guessed_types(_yearly_texts(spark, sf), ["year"], ["key", "price", "day", "open", "gone"])
+    return report.select("year", "column", "type", "filled")
+
+
+@query("union_unlike_types")
+def union_unlike_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Years of numbers and years of text under one name: the union is text."""
+    orders = read(spark, sf, "orders")
+    late = F.year("o_orderdate") >= 1997
+    numbers = orders.where(late).select("o_orderkey", F.col("o_orderkey").cast("double").alias("value"))
+    texts = orders.where(F.coalesce(~late, F.lit(True))).select("o_orderkey", F.col("o_orderstatus").alias("value"))
+    return stack([numbers, texts])
+
+
 @query("positional_rename_union")
 def positional_rename_union(spark: SparkSession, sf: str) -> DataFrame:
     """Later frames take the first frame's header by position."""
@@ -716,6 +777,34 @@ def foster_trend(spark: SparkSession, sf: str) -> DataFrame:
     return I.sheet_trend(S.foster(panel(spark, sf)), "foster_trend", "rate", 0.01, (0, 0.0035))
 
 
+@query("homeless_trend")
+def homeless_trend(spark: SparkSession, sf: str) -> DataFrame:
+    return I.sheet_trend(S.rate_sheet(panel(spark, sf), "affected", 10), "homeless_trend", "value", 0.1, (0, 0.1))
+
+
+@query("graduation_sheet_trend")
+def graduation_sheet_trend(spark: SparkSession, sf: str) -> DataFrame:
+    return I.sheet_trend(S.rate_sheet(panel(spark, sf), "affected", 1), "graduation_sheet_trend", "value", 1)
+
+
+@query("suspension_sheet_trend")
+def suspension_sheet_trend(spark: SparkSession, sf: str) -> DataFrame:
+    sheet = S.rate_sheet(panel(spark, sf), "pending", 1)
+    return I.sheet_trend(sheet, "suspension_sheet_trend", "value", 0.1, (0.03, 0.07))
+
+
+@query("expulsion_sheet_trend")
+def expulsion_sheet_trend(spark: SparkSession, sf: str) -> DataFrame:
+    sheet = S.rate_sheet(panel(spark, sf), "pending", 20)
+    return I.sheet_trend(sheet, "expulsion_sheet_trend", "value", 0.01, (0, 0.002))
+
+
+@query("graduation_sheet_by_group")
+def graduation_sheet_by_group(spark: SparkSession, sf: str) -> DataFrame:
+    sheet = S.graduation_sheet(panel(spark, sf))
+    return I.sheet_by_group(sheet, "graduation_sheet_by_group", "middle east", group="subgroup")
+
+
 @query("assessment_sheet_by_group")
 def assessment_sheet_by_group(spark: SparkSession, sf: str) -> DataFrame:
     return I.assessment_sheet_by_group(S.ela_sheet(panel(spark, sf)), "middle east", "ELA", "2001-02")
@@ -730,7 +819,8 @@ def assessment_sheet_by_grade(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("assessment_table")
 def assessment_table(spark: SparkSession, sf: str) -> DataFrame:
-    return I.assessment_table(S.ela_sheet(panel(spark, sf)), S.YEARS, "Math")
+    sheet = S.ela_sheet(panel(spark, sf))
+    return I.assessment_table(sheet, [c for c in sheet.columns if c[:1].isdigit()], "Math")
 
 
 @query("suspension_frame")

@@ -270,6 +270,9 @@ def _list_cell(n: int) -> str:
 ORACLES["html_nth_cell"] = f"""
 SELECT page_id, {_list_cell(3)} AS item, CAST(length(html) AS DOUBLE) AS number FROM pages"""
 
+ORACLES["html_grid_cell"] = """
+SELECT page_id AS year, format('{:,}', length(html)) AS published, 'Total' AS corner FROM pages"""
+
 # --- Sums -------------------------------------------------------------------------------
 
 
@@ -331,6 +334,10 @@ SELECT l_returnflag, {_dsum('l_quantity', "l_linestatus = 'F'")} AS "l_quantity_
        {_dsum('l_extendedprice', "l_linestatus = 'O'")} AS "l_extendedprice_O"
 FROM lineitem GROUP BY l_returnflag"""
 
+ORACLES["pivot_found_names"] = "SELECT c_mktsegment, " + ", ".join(
+    f"nullif(count(*) FILTER (isodow(o_orderdate) = {day + 1}), 0) AS n_{day}" for day in range(7)
+) + " FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment"
+
 ORACLES["select_prefix_unpivot"] = """
 SELECT l_orderkey, l_linenumber, l_discount AS value, '2018-19' AS year FROM lineitem
 UNION ALL
@@ -360,6 +367,11 @@ SELECT o_orderpriority, CAST(row_number() OVER (ORDER BY CASE o_orderpriority
          WHEN '3-MEDIUM' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 3 END, o_orderpriority) AS INTEGER) AS level
 FROM (SELECT DISTINCT o_orderpriority FROM orders)"""
 
+ORACLES["fixed_before_first_seen"] = """
+SELECT event_type, CAST(row_number() OVER (ORDER BY CASE event_type WHEN 'view' THEN 1 WHEN 'signup' THEN 2 ELSE 3 END,
+                                           first_seen) AS INTEGER) AS level
+FROM (SELECT event_type, min(event_id) AS first_seen FROM events GROUP BY event_type)"""
+
 ORACLES["first_seen_order"] = """
 SELECT event_type, first_seen, CAST(row_number() OVER (ORDER BY first_seen) AS INTEGER) AS level
 FROM (SELECT event_type, min(event_id) AS first_seen FROM events GROUP BY event_type)"""
@@ -374,6 +386,32 @@ ORACLES["ingest_union_drift"] = """
 SELECT o_orderkey AS "OrderKey", o_totalprice AS "Price" FROM orders
 WHERE o_orderpriority = '5-LOW'"""
 
+_TEXT_YEARS = """
+texts AS (
+  SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(o_orderkey AS VARCHAR) AS key,
+         CASE WHEN year(o_orderdate) < 1997 AND o_totalprice < 50000 THEN '*' ELSE CAST(o_totalprice AS VARCHAR) END AS price,
+         CASE WHEN year(o_orderdate) <> 1999 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day,
+         CASE o_orderstatus WHEN 'O' THEN 'TRUE' ELSE 'FALSE' END AS open,
+         CASE o_orderstatus WHEN 'P' THEN 'NA' END AS gone
+  FROM orders
+), cells AS (
+  SELECT year, 'key' AS col, key AS cell FROM texts UNION ALL SELECT year, 'price', price FROM texts
+  UNION ALL SELECT year, 'day', day FROM texts UNION ALL SELECT year, 'open', open FROM texts
+  UNION ALL SELECT year, 'gone', gone FROM texts
+)"""
+ORACLES["guessed_types"] = _with(_TEXT_YEARS) + """
+SELECT year, col AS "column", CASE
+         WHEN count(cell) = 0 THEN 'empty'
+         WHEN bool_and(cell IN ('TRUE', 'FALSE')) THEN 'logical'
+         WHEN bool_and(TRY_CAST(cell AS DOUBLE) IS NOT NULL) THEN 'number'
+         WHEN bool_and(TRY_CAST(cell AS DATE) IS NOT NULL) THEN 'date'
+         ELSE 'text' END AS type, count(cell) AS filled
+FROM cells GROUP BY year, col"""
+
+ORACLES["union_unlike_types"] = """
+SELECT o_orderkey, CASE WHEN year(o_orderdate) >= 1997 THEN CAST(o_orderkey AS VARCHAR) ELSE o_orderstatus END AS value
+FROM orders"""
+
 ORACLES["positional_rename_union"] = """
 SELECT o_orderkey AS key, o_totalprice AS price FROM orders"""
 
@@ -697,6 +735,31 @@ ORACLES["foster_trend"] = _with(PANEL, _FOSTER) + _chart(
 )
 
 
+def _sheet_trend(figure: str, measure: str, scale: int, digits: int, limits: tuple[float, float] | None) -> None:
+    rate = f"(CAST({measure} AS DOUBLE) / (ce * {scale}))"
+    ORACLES[figure] = _with(PANEL) + _chart(
+        figure, "academic_year", rate, f"panel WHERE {_WHOLES} AND cat = 'TA'",
+        series="county_name", label=_percent(rate, digits), limits=limits,
+    )
+
+
+_sheet_trend("homeless_trend", "affected", 10, 1, (0, 0.1))
+_sheet_trend("graduation_sheet_trend", "affected", 1, 0, None)
+_sheet_trend("suspension_sheet_trend", "pending", 1, 1, (0.03, 0.07))
+_sheet_trend("expulsion_sheet_trend", "pending", 20, 2, (0, 0.002))
+
+ORACLES["graduation_sheet_by_group"] = _with(
+    PANEL,
+    f"""frame AS (SELECT {_SHEET_GEO} AS geo, {_case('cat', dict(_TIDY_GROUPS))} AS grp, CAST(part AS DOUBLE) / whole AS v
+        FROM (SELECT county_name, cat, sum(affected) AS part, sum(ce) AS whole
+              FROM panel WHERE {_WHOLES} AND cat <> 'TA' GROUP BY 1, 2))""",
+    _ranked("frame", "grp", _mean("v")),
+) + _chart(
+    "graduation_sheet_by_group", "grp", "v", "frame JOIN ranked ON grp = lname",
+    series="geo", label=_percent("v", 0), level="lvl",
+)
+
+
 def _sheet(measure: str) -> str:
     years = ", ".join(f"({_text(y)})" for y in S.YEARS)
     return f"""

@@ -367,6 +367,28 @@ def foster(panel: DataFrame) -> DataFrame:
     )
 
 
+def rate_sheet(panel: DataFrame, part: str, scale: int) -> DataFrame:
+    """Year, Geo, Value: a yearly fraction of all students."""
+    return _wholes(panel).where(F.col("reporting_category") == "TA").select(
+        F.col("academic_year").alias("Year"),
+        F.col("county_name").alias("Geo"),
+        (F.col(part) / (_people() * scale)).alias("Value"),
+    )
+
+
+def graduation_sheet(panel: DataFrame) -> DataFrame:
+    """Geo, Subgroup, Value: the fraction per group over all years."""
+    parts = _wholes(panel).where(F.col("reporting_category") != "TA")
+    sums = parts.groupBy("county_name", "reporting_category").agg(
+        F.sum("affected").alias("part"), F.sum(_people()).alias("whole")
+    )
+    return sums.select(
+        F.lower("county_name").alias("Geo"),
+        match_value("reporting_category", GROUP_TEXTS).alias("Subgroup"),
+        (F.col("part") / F.col("whole")).alias("Value"),
+    )
+
+
 def ela_sheet(panel: DataFrame) -> DataFrame:
     """Test, Geo, Group, Subgroup and one fraction per academic year."""
     tested = (
