@@ -77,7 +77,9 @@ def templated(rows: DataFrame, *keys: str) -> DataFrame:
     rows = rows.select(*keys, F.col("words.value").alias("values"), F.col("words.form").alias("names"), first.alias("first"))
     rows = rows.select(*keys, "values", "names", F.col("first.form").alias("forms"), F.col("first.place").alias("places"))
     after = lambda k: F.coalesce(F.get("places", k + 1), F.size("values"))
-    return rows.withColumn("wholes", F.transform("places", lambda p, k: F.array_join(F.slice("values", p + 1, after(k) - p), " ")))
+    # A slice copies its whole array first, so only runs are sliced.
+    run = lambda p, k: F.array_join(F.slice("values", p + 1, after(k) - p), " ")
+    return rows.withColumn("wholes", F.transform("places", lambda p, k: F.when(after(k) - p == 1, F.get("values", p)).otherwise(run(p, k))))
 
 
 def quick_forms(rows: DataFrame, key: str, *, runs: bool = True) -> DataFrame:
