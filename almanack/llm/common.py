@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -53,6 +54,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """In a Python worker: return the memory that earlier stages of the same worker have left behind."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def smallest(df: DataFrame, by: str, most: int) -> DataFrame:
     """The rows with the ``most`` smallest values of ``by`` (more only where values are equal).
 

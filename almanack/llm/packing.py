@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from almanack.llm.common import batches_of_text, staged
+from almanack.llm.common import batches_of_text, give_back, staged
 from almanack.llm.tokens import ENCODE_BYTES, WordCachedTokenizer
 
 #: Tokens of the filling stream that one group of rows covers when it is cut.
@@ -111,12 +111,13 @@ def rounded(patterns: np.ndarray, amounts: np.ndarray, demand: np.ndarray, means
 # ---------------------------------------------------------------- tokens
 
 
-def measured(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame:
+def measured(docs: DataFrame, tokenizer: str, end_id: int, size: int, encode_bytes: int) -> DataFrame:
     """doc_id, k1, k2 (a key of the row), n (tokens), crcs (of each whole sequence and of the rest)."""
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         coder = WordCachedTokenizer(tokenizer)
-        for batch, texts in batches_of_text(batches, limit=ENCODE_BYTES):
+        for batch, texts in batches_of_text(batches, limit=encode_bytes):
             flat, ends = coder.encode(texts)
             flat = np.insert(flat, ends[1:], end_id).astype("<u4")
             ends = ends + np.arange(len(ends))
@@ -133,7 +134,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", KEYS[0]("doc_id", "text").alias("k1"), KEYS[1]("text", "doc_id").alias("k2"))
 
 
-def cut_checksums(docs: DataFrame, cuts: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def cut_checksums(docs: DataFrame, cuts: DataFrame, tokenizer: str, end_id: int, encode_bytes: int) -> DataFrame:
     """The cut pieces with the checksum of their ids; only documents that were cut are read again."""
     fields = ["start", "length", "doc_tokens", "sequence_id", "offset"]
     lists = cuts.groupBy("k1", "k2").agg(F.collect_list(F.struct("doc_id", *fields)).alias("cuts"))
@@ -141,7 +142,7 @@ def cut_checksums(docs: DataFrame, cuts: DataFrame, tokenizer: str, end_id: int)
 
     def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordCachedTokenizer(tokenizer)
-        for batch, found in batches_of_text(batches, limit=ENCODE_BYTES):
+        for batch, found in batches_of_text(batches, limit=encode_bytes):
             flat, ends = coder.encode(found)
             flat = np.insert(flat, ends[1:], end_id).astype("<u4")
             begins = (ends + np.arange(len(ends))).tolist()
@@ -178,10 +179,15 @@ def running(rows: DataFrame, value: Column, name: str, *, within: list[str], ord
 # ---------------------------------------------------------------- packing
 
 
-def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 2, size: int = 4096, classes: int = 128) -> DataFrame:
-    """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(
+    docs: DataFrame, *, tokenizer: str, end_id: int = 2, size: int = 4096, classes: int = 128, encode_bytes: int = ENCODE_BYTES
+) -> DataFrame:
+    """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    ``encode_bytes`` of text are encoded at a time; a smaller number spares memory of the Python workers.
+    """
     spark, width = docs.sparkSession, size // classes
-    rows = staged(measured(docs, tokenizer, end_id, size), "lengths")
+    rows = staged(measured(docs, tokenizer, end_id, size, encode_bytes), "lengths")
     rest = F.col("n") % size
     items = rows.where(rest > 0).select(
         "doc_id", "k1", "k2", "n", rest.alias("rest"), F.element_at("crcs", -1).alias("crc"),
@@ -231,7 +237,7 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 2, size: int = 4096,
     is_whole = F.col("length") == F.col("rest")
     entire = pieces.where(is_whole).select("doc_id", "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
     cuts = pieces.where(~is_whole).select("doc_id", "k1", "k2", "start", "length", "doc_tokens", "sequence_id", "offset")
-    cut = cut_checksums(docs, cuts, tokenizer, end_id)
+    cut = cut_checksums(docs, cuts, tokenizer, end_id, encode_bytes)
     return whole.unionByName(fitted).unionByName(entire).unionByName(cut)
 
 

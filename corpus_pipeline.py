@@ -46,8 +46,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of documents in token sequences."""
-    return pack(docs, tokenizer=TOKENIZER).select(PIECE)
+    """The pieces of documents in token sequences; small slices, as the workers still hold earlier stages' models."""
+    return pack(docs, tokenizer=TOKENIZER, encode_bytes=2 << 20).select(PIECE)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
