@@ -74,8 +74,10 @@ def templated(rows: DataFrame, *keys: str) -> DataFrame:
     words = F.transform("raw", lambda t, i: F.struct(F.lower(t).alias("value"), F.get("all", i).alias("form"), goes_on(i).alias("on")))
     rows = rows.select(*keys, F.filter(words, lambda w: ~is_end(w["value"])).alias("words"))
     first = F.filter(F.transform("words", lambda w, i: F.struct(w["form"].alias("form"), w["on"].alias("on"), i.alias("place"))), lambda w: ~w["on"])
-    rows = rows.select(*keys, F.col("words.value").alias("values"), F.col("words.form").alias("names"), first.alias("first"))
-    rows = rows.select(*keys, "values", "names", F.col("first.form").alias("forms"), F.col("first.place").alias("places"))
+    # Taken out by transform: a plain field of an array would be worked out again for every token that looks into it.
+    field = lambda rows, name: F.transform(rows, lambda x: x[name])
+    rows = rows.select(*keys, field("words", "value").alias("values"), field("words", "form").alias("names"), first.alias("first"))
+    rows = rows.select(*keys, "values", "names", field("first", "form").alias("forms"), field("first", "place").alias("places"))
     after = lambda k: F.coalesce(F.get("places", k + 1), F.size("values"))
     # A slice copies its whole array first, so only runs are sliced.
     run = lambda p, k: F.array_join(F.slice("values", p + 1, after(k) - p), " ")
