@@ -45,7 +45,17 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     del df
     release(spark)
-    return spark.read.schema(schema).parquet(path)
+    frame = spark.read.schema(schema).parquet(path)
+    frame.staged_path = path
+    return frame
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete staged tables. Only for tables whose successors are all written, so that no lost task needs them."""
+    for frame in frames:
+        context = frame.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(frame.staged_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

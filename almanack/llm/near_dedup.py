@@ -17,6 +17,8 @@ A-Z are compared in lower case; words are split at space and \\t to \\r. A text
 shingle has one shingle of them all. A text without words (NULL, empty) has an empty set and is
 linked with nothing. Rows of one ``doc_id`` are one document. Rows without ``doc_id`` are not compared:
 their component is NULL and they are kept. An empty table gives no rows; other columns are ignored.
+Texts of any length are compared whole: a text's set is held by one task, 8 bytes a shingle.
+Intermediate tables go once what is made of them is written.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanack.llm.common import batches_of_text, mix64, staged
+from almanack.llm.common import batches_of_text, discard, mix64, staged
 from almanack.llm.shingles import shingle_hashes, signatures
 
 #: Min-hashes of a band, of a batch in verification, and in all for verification beyond the bands.
@@ -170,7 +172,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         both_ends = F.array(*[F.struct(F.col(end).alias("u"), F.col("m").alias("v")) for end in ("v", "u")])
         small = large.join(least, "u").select(F.inline(both_ends))
-        edges = staged(small.where("u > v").distinct(), "edges")
+        older, edges = edges, staged(small.where("u > v").distinct(), "edges")
+        discard(older)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -195,6 +198,8 @@ def near_duplicates(
     best = F.min_by(F.struct("bands", "sig"), "doc_id").alias("best")
     classes = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), best)
     classes = staged(classes.select("s1", "s2", "id", "copies", "best.bands", "best.sig"), "classes")
+    signed_rows, rows = rows, staged(rows.select("doc_id", "n", "s1", "s2"), "rows")
+    discard(signed_rows)
 
     keys = classes.select("id", "copies", F.explode("bands").alias("key"))
     centre = F.max(F.struct("copies", (-F.col("id")).alias("id"))).alias("top")
@@ -202,11 +207,14 @@ def near_duplicates(
     edges = keys.join(buckets, "key").select("id", (-F.col("top.id")).alias("centre")).where("id <> centre").distinct()
     edges = staged(edges, "candidates")
 
-    clusters = staged(components(edges.select(F.col("id").alias("a"), F.col("centre").alias("b"))), "clusters")
+    stars = components(edges.select(F.col("id").alias("a"), F.col("centre").alias("b")))
+    clusters = staged(stars, "clusters")
     members = clusters.select(F.col("node").alias("id"))
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(members, "id")
     members = classes.select("id", "bands", "sig").join(with_sets(texts, words).dropDuplicates(["id", "shingles"]), "id")
     members = staged(members, "members")
+    signed_classes, classes = classes, staged(classes.select("s1", "s2", "id"), "classes")
+    discard(signed_classes)
 
     # Members against the centres of their buckets.
     stars = edges.join(edges.groupBy("centre").count(), "centre")
@@ -231,7 +239,8 @@ def near_duplicates(
     outside = state.where("comp <> main").withColumns({"g2": F.pmod("at", xs), "g3": F.explode(F.sequence(F.lit(0).cast("long"), ys - 1))})
     inside = state.withColumns({"g3": F.pmod("at", ys), "g2": F.explode(F.sequence(F.lit(0).cast("long"), xs - 1))})
     blocks = outside.select(*names, F.lit(0).alias("side")).unionByName(inside.select(*names, F.lit(1).alias("side")))
-    more = verified(blocks, members, num, den, least)
+    more = staged(verified(blocks, members, num, den, least), "links")
+    discard(members)
 
     final = components(links.unionByName(more))
     named = classes.join(final, classes["id"] == final["node"], "left")
