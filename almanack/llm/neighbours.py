@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from almanack.llm.common import smallest, staged
+from almanack.llm.common import discard, smallest, staged
 
 #: Rows of a cell that are compared with each other.
 CELL = 300
@@ -152,9 +152,12 @@ def descend(nodes: DataFrame, edges: DataFrame, degree: int, sample: int, turn:
 
 
 def build(
-    vectors: DataFrame, *, keep: int = 11, degree: int = 20, sample: int = 12, tables: int = 4, rounds: int = 3, seed: int = 5
+    vectors: DataFrame, *, keep: int = 11, degree: int = 20, sample: int = 12, tables: int = 4, still: float = 0.01, rounds: int = 40, seed: int = 5
 ) -> Graph:
-    """The graph of all usable vectors; ``keep`` members of each node are kept for results."""
+    """The graph of all usable vectors; ``keep`` members of each node are kept for results.
+
+    Rounds go on until at most the share ``still`` of the edges is new; if that takes more than ``rounds``, it is an error.
+    """
     rows = usable(vectors).withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(3), "vec")})
     rows = rows.groupBy("vec_id").agg(F.min_by(F.struct("vec", "h1", "h2"), "h1").alias("x")).select("vec_id", "x.*")
     classes = rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.min_by("vec", "vec_id").alias("vec"))
@@ -165,9 +168,13 @@ def build(
     nodes = classes.select("node", "vec")
     edges = staged(first_graph(nodes, nodes.count(), degree, tables, seed).withColumn("new", F.lit(1)), "graph")
     for turn in range(rounds):
-        edges = staged(descend(nodes, edges, degree, sample, turn), "graph")
-        if not edges.where("new = 1").limit(1).count():
+        older, edges = edges, staged(descend(nodes, edges, degree, sample, turn), "graph")
+        discard(older)
+        count = edges.agg(F.count("*").alias("all"), F.coalesce(F.sum("new"), F.lit(0)).alias("new")).first()
+        if count["new"] <= still * count["all"]:
             break
+    else:
+        raise RuntimeError(f"over {still:.2%} of the edges are still new after {rounds} rounds")
     return Graph(nodes, members, edges.drop("new"))
 
 
@@ -209,11 +216,16 @@ def entries(asked: DataFrame, landmarks: list, starts: int) -> DataFrame:
     return asked.mapInArrow(run, "q long, node long, d double")
 
 
-def search(graph: Graph, queries: DataFrame, *, k: int = 10, beam: int = 48, starts: int = 8, hops: int = 30) -> DataFrame:
-    """query_id, rank, vec_id, score: the nearest found; ``queries`` has vec_id and embedding."""
+def search(graph: Graph, queries: DataFrame, *, k: int = 10, beam: int = 48, starts: int = 8, back: int = 40, hops: int = 200) -> DataFrame:
+    """query_id, rank, vec_id, score: the nearest found; ``queries`` has vec_id and embedding.
+
+    A node is left by its own edges and by its ``back`` nearest reversed ones, so that a hub costs no more than
+    others. A beam that isn't done after ``hops`` is an error.
+    """
     asked = staged(usable(queries).select(F.col("vec_id").alias("q"), F.col("vec").alias("qvec")), "queries")
     nodes = graph.nodes
-    adjacent = graph.edges.select("u", "v").union(graph.edges.select("v", "u")).toDF("node", "next").distinct()
+    reverse = nearest(graph.edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"), "u", "v", back)
+    adjacent = graph.edges.select("u", "v").union(reverse.select("u", "v")).toDF("node", "next").distinct()
     adjacent = staged(adjacent, "adjacent")
     entry = entries(asked, smallest(nodes.withColumn("at", F.xxhash64("node")), "at", LANDMARKS).collect(), starts)
     own = graph.members.select(F.col("vec_id").alias("q"), "node").join(asked, "q").join(nodes, "node")
@@ -228,7 +240,10 @@ def search(graph: Graph, queries: DataFrame, *, k: int = 10, beam: int = 48, sta
         onward = onward.join(found.select("q", "node"), ["q", "node"], "left_anti")
         near = measured(onward.join(asked, "q").join(nodes, "node").select("q", "qvec", "node", "vec"))
         rows = found.withColumn("done", F.lit(1)).union(near.select("q", "node", "d").withColumn("done", F.lit(0)))
-        found = staged(nearest(rows, "q", "node", beam), "beam")
+        older, found = found, staged(nearest(rows, "q", "node", beam), "beam")
+        discard(older)
+    else:
+        raise RuntimeError(f"a search isn't done after {hops} hops")
     # Own node included, k + 1 nodes hold the k nearest others; equal distances bring in no other node.
     hits = found.join(graph.members, "node").where("vec_id <> q")
     hits = hits.select(F.col("q").alias("query_id"), "vec_id", F.col("d").alias("score"))

@@ -51,6 +51,31 @@ def test_neighbours_of_few_and_no_rows(llm_spark):
     assert neighbours.search(neighbours.build(none), none).count() == 0
 
 
+def test_neighbours_with_a_third_in_one_cluster_and_a_hub(llm_spark):
+    draw = np.random.Generator(np.random.PCG64(4))
+    near = draw.normal(size=(700, 8)) * 0.01
+    far = draw.normal(size=(1_300, 8)) * 5
+    far[:600] /= np.linalg.norm(far[:600], axis=1)[:, None] / 9  # a shell; its middle is near to all of it
+    rows = [(i, x.astype(np.float32).tolist()) for i, x in enumerate(np.vstack([near, far]))]
+    frame = llm_spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = {}
+    for r in neighbours.search(neighbours.build(frame), frame.where("vec_id % 25 = 0")).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = exact(rows, 10)
+    assert sum(len(found[q] & {v for v, _ in want[q]}) for q in found) >= 0.95 * 10 * len(found) and len(found) == 80
+
+
+def test_unfinished_graphs_and_searches_are_errors(llm_spark):
+    draw = np.random.Generator(np.random.PCG64(6))
+    rows = [(i, x.astype(np.float32).tolist()) for i, x in enumerate(draw.normal(size=(900, 6)))]
+    frame = llm_spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    with pytest.raises(RuntimeError, match="still new"):
+        neighbours.build(frame, rounds=1, still=0.0)
+    graph = neighbours.build(frame)
+    with pytest.raises(RuntimeError, match="isn't done"):
+        neighbours.search(graph, frame.where("vec_id < 20"), hops=1)
+
+
 # ---------------------------------------------------------------- archives
 
 
@@ -105,6 +130,38 @@ def test_magic_inside_a_stored_payload_owns_no_record():
     assert [at for at, _ in warc.members(Source(data), cut, len(data), len(data))] == [len(outer)]
 
 
+def test_records_of_other_writers(llm_spark, tmp_path):
+    def member(head, block):
+        head = [b"WARC/1.0", *head, b"Content-Length: %d" % len(block)]
+        return gzip.compress(b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    body, sha = b"<p>one</p>\r\n\r\n<p>two</p>", hashlib.sha1(b"other").hexdigest()
+    members = [
+        member([b"WARC-Type: warcinfo", b"WARC-Record-ID: <urn:uuid:1>"], b"software: x\r\n"),
+        member([b"warc-type:response", b"WARC-Target-URI: http://a/", b"WARC-Payload-Digest: sha1:" + b"A" * 32], b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + body),
+        member([b"WARC-Type: response", b"Broken header", b"X: \xff"], b"no http at all"),
+        member([b"WARC-Type: revisit", b"WARC-Payload-Digest: sha1:" + sha.upper().encode()], b"HTTP/1.1 200 OK\r\ncontent-length: 5\r\n\r\n"),
+        member([b"WARC-Type: revisit", b"WARC-Payload-Digest: md5:abc", b"WARC-Refers-To: <urn:uuid:9>"], b""),
+        gzip.compress(b"WARC/1.0\r\n\r\n"),
+    ]
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(members))
+    files = llm_spark.createDataFrame([(str(tmp_path / "x.warc.gz"), sum(map(len, members)))], "file string, bytes long")
+    got = [r[:7] for r in sorted(warc.read_archives(llm_spark, files, split_bytes=64).collect(), key=lambda r: r["start"])]
+    assert got == [
+        (None, None, "warcinfo", None, None, None, None),
+        (None, "http://a/", "response", len(body), hashlib.sha1(body).hexdigest(), None, body),
+        (None, None, "response", 14, hashlib.sha1(b"no http at all").hexdigest(), None, b"no http at all"),
+        (None, None, "revisit", 5, sha, None, None),
+        (None, None, "revisit", None, None, None, None),
+        (None, None, None, None, None, None, None),
+    ]
+
+
+def test_a_digest_that_lies_is_not_believed():
+    found = warc.parsed(warc.record(4, "u", b"payload", "00" * 20, None), True)
+    assert found[3:5] == (7, hashlib.sha1(b"payload").hexdigest())
+
+
 def test_archives_of_no_rows(llm_spark, pages):
     assert warc.archived(pages.where("false")).count() == 0
 
@@ -177,3 +234,37 @@ def test_inline_elements_follow_their_block():
     page = html_text.parse('<article><p>in <a href=/x>a link</a> and <em>more</em></p></article><nav><p>out <a href=/y>y</a></p></nav>')
     chance = np.array([0.5, 0.95, 0.95, 0.05, 0.05, 0.05, 0.05, 0.95])
     assert html_text.decode(page, chance).tolist() == [False, True, True, True, True, False, False, False]
+
+
+def whole(source):
+    page = html_text.parse(source)
+    return html_text.text_of(page, np.ones(len(page.tags), bool))
+
+
+def test_unclosed_elements_lose_no_text():
+    for tag in sorted(html_text.HIDDEN):
+        assert whole(f"<article><p>first<{tag}>gone<p>second</article><div>third</div>") == "first\nsecond\nthird"
+        assert whole(f"<div>a<{tag}><p>gone</{tag}>b</div><div>c<{tag}>gone</div>d") == "ab\nc\nd"
+        assert whole(f"<p>a<{tag}>gone<p>b</p><p>c<{tag}>gone</{tag}>d</p>") == "a\nb\ncd"
+    for tag in sorted(html_text.RAW):
+        assert whole(f"<p>a<{tag}>gone</{tag}>b</p><p>c<{tag}>gone<p>gone") == "ab\nc"
+    assert whole("<p>a</p><!-- gone <p>gone</p>") == "a"
+    assert whole('<p>a</p><p class="x>b</p><p>c</p>') == "a\nb\nc"
+    assert whole("a < b <c") == "a < b <c"
+
+
+def test_references_of_any_length():
+    assert whole("a &#" + "9" * 6_000 + "; &#x" + "F" * 6_000 + "; &#" + "0" * 6_000 + "65; &#x00041; &#0; &#") == "a \ufffd \ufffd A A \ufffd &#"
+
+
+def test_broken_pages_take_time_in_proportion():
+    """A megabyte of each; one that were quadratic would take hours."""
+    import time
+
+    pieces = ["<! ", "<a ", "<b>", "<h2>", '<a "x>" ', "<select>", "<!-- ", "<td>", "<p><object>", "</i>", "<i><div></i>", "&#", '"<']
+    pages = [piece * (1_000_000 // len(piece)) for piece in pieces]
+    pages += ["<b>" * 150_000 + "</i>" * 150_000, "<i><div>" + "<b>" * 100_000 + "</i>" * 150_000, "<dl>" + "<h3>" * 100_000 + "<dt>" * 100_000]
+    for page in pages:
+        start = time.process_time()
+        whole(page)
+        assert time.process_time() - start < 30, page[:40]
