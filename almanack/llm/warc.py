@@ -9,12 +9,15 @@ header, and owns the records that start inside its range, wherever they end.
 A NULL payload is an empty one. A NULL ``page_id`` is written as such and is always a response;
 repeated rows of the largest id are responses too. A NULL url leaves the header out, and control
 characters in it are percent-encoded. An empty table gives no records. Other columns are ignored.
-Bytes that belong to no whole record (a torn end, for instance) are skipped.
+Bytes that belong to no whole record (a torn end, for instance) are skipped. Records of other
+writers are read too; what they lack is NULL. A record of any length is held whole by one task, and no more than a few
+megabytes of other records with it.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import uuid
 import zlib
@@ -26,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanack.llm.common import shared_folder, staged
+from almanack.llm.common import SLICE_BYTES, shared_folder, staged
 
 MAGIC = b"\x1f\x8b\x08"
 RECORD_URN = "urn:almanack:page:"
@@ -133,16 +136,21 @@ def read_archives(
     tasks = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
     most = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = ranges.repartition(min(int(tasks), most), "file", "start")
+    names = [f.split()[0] for f in RECORD_SCHEMA.split(", ")]
 
     def read(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
                 store, path = open_store(row.file)
                 with store.open_input_file(path) as source:
-                    rows = []
+                    rows, held = [], 0
                     for start, member in members(source, row.start, min(row.start + split_bytes, row.bytes), row.bytes):
                         rows.append((*parsed(member, with_payload), row.file, start))
-                    yield pd.DataFrame(rows, columns=[f.split()[0] for f in RECORD_SCHEMA.split(", ")], dtype=object)
+                        held += len(member) if with_payload else 0
+                        if held > SLICE_BYTES or len(rows) >= 10_000:
+                            yield pd.DataFrame(rows, columns=names, dtype=object)
+                            rows, held = [], 0
+                    yield pd.DataFrame(rows, columns=names, dtype=object)
 
     return ranges.mapInPandas(read, RECORD_SCHEMA)
 
@@ -187,25 +195,45 @@ def inflated(source, data: bytes, at: int, start: int, size: int) -> tuple[bytes
 
 
 def parsed(member: bytes, with_payload: bool) -> tuple:
-    """The fields of a record, in the order of the schema up to ``payload``."""
+    """The fields of a record, in the order of the schema up to ``payload``.
+
+    A response's size and digest are those of the payload that is there, whatever its header says. A revisit has none,
+    so they come from its headers. Other records, and fields that a record lacks or that can't be read, are NULL.
+    """
     head, _, rest = member.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = int(re.search(rb"(?i)^content-length: *(\d+)", http, re.M)[1])
-    digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-    url = fields.get("WARC-Target-URI")
+    lines = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
+    fields = {name.strip().lower(): value.strip() for name, _, value in lines}
+    length = fields.get("content-length", "")
+    block = rest[: int(length)] if re.fullmatch("[0-9]{1,18}", length) else rest.removesuffix(b"\r\n\r\n")
+    kind = fields.get("warc-type")
+    size = digest = payload = None
+    if kind == "response":
+        http, gap, body = block.partition(b"\r\n\r\n")
+        payload = body if gap and http.startswith(b"HTTP/") else block
+        size, digest = len(payload), hashlib.sha1(payload).hexdigest()
+    elif kind == "revisit":
+        stated = re.search(rb"(?im)^content-length:[ \t]*([0-9]{1,18})[ \t]*\r?$", block.partition(b"\r\n\r\n")[0])
+        size, digest = int(stated[1]) if stated else None, digest_of(fields.get("warc-payload-digest", ""))
+    url = fields.get("warc-target-uri")
     url = None if url is None else re.sub(r"%(0[0-9A-F]|1[0-9A-F]|20|7F|25)", lambda m: chr(int(m[1], 16)), url)
-    return (
-        page_of(fields["WARC-Record-ID"]), url, fields["WARC-Type"], size, digest,
-        page_of(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None,
-        payload if with_payload and fields["WARC-Type"] == "response" else None,
-    )
+    refers_to = page_of(fields.get("warc-refers-to", ""))
+    return page_of(fields.get("warc-record-id", "")), url, kind, size, digest, refers_to, payload if with_payload else None
+
+
+def digest_of(stated: str) -> str | None:
+    """The SHA-1 of a digest header, written in base 32 or in hexadecimal, as hexadecimal."""
+    name, _, value = stated.partition(":")
+    if name.lower() != "sha1":
+        return None
+    if re.fullmatch("[0-9a-fA-F]{40}", value):
+        return value.lower()
+    return base64.b32decode(value.upper()).hex() if re.fullmatch("[A-Za-z2-7]{32}", value) else None
 
 
 def page_of(urn: str) -> int | None:
-    name = urn.removeprefix(f"<{RECORD_URN}").removesuffix(">")
-    return None if name == "null" else int(name)
+    """The page of a record id that ``record`` made."""
+    found = re.fullmatch(rf"<{RECORD_URN}(-?[0-9]{{1,19}})>", urn)
+    return int(found[1]) if found else None
 
 
 def archived(pages: DataFrame, **options) -> DataFrame:
