@@ -15,7 +15,7 @@ empty ones left out, and the others joined in page order by one line break.
 
 A NULL or empty page gives an empty text. A run of text and inline elements directly in the body is
 a node of its own and judged like others.
-Very long and deeply nested pages are handled without recursion. Rows are independent, so NULL ids
+Very long, deeply nested and broken pages are handled without recursion, in proportion to their size. Rows are independent, so NULL ids
 and repeated rows need no care. An empty table gives no rows.
 """
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -35,7 +36,8 @@ from almanack.llm.common import smallest
 
 # Element kinds of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "select", "head"}
+RAW = {"script", "style", "title", "textarea"}  # text up to the end tag, or to the page's end without one
+HIDDEN = {"noscript", "iframe", "template", "svg", "math", "object", "canvas", "select"}  # left out with what is in them
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label",
     "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "ruby", "rt", "rp",
@@ -61,7 +63,13 @@ HINTS = {
     "main": {"article", "main", "content", "post", "entry", "story", "body", "text", "prose", "page", "markdown"},
 }
 KINDS = ["nav", "header", "footer", "aside", "form", "article", "main", "section", "div", "p", "ul", "ol", "li", "h1", "h2", "table", "td", "blockquote", "figure", "a", "button", "body", RUN]
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S)
+COMMENT = r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
+NAME = r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)"
+#: A tag whose quotes may hold >, or the beginning of what never ends in this way (no name).
+TAG = re.compile(COMMENT + "|" + NAME + r"((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>|<(?=[!?]|/?[a-zA-Z])", re.S)
+#: A tag that ends at the next >, whatever its quotes.
+PLAIN_TAG = re.compile(COMMENT + "|" + NAME + r"([^>]*)>", re.S)
+HIDDEN_TAG = re.compile(rf"<(/?)({'|'.join(sorted(HIDDEN))})(?=[\s/>])", re.I)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 SPACE = re.compile(r"\s+")
 
@@ -88,70 +96,145 @@ def hints_of(attributes: str) -> frozenset[str]:
     return frozenset(name for name, tokens in HINTS.items() if words & tokens)
 
 
+def tags_of(source: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """Start, end, "/" or "", lower-case name and attributes of tags; comments and the like have no name.
+
+    Send a place to go on from there. Each character is looked at a bounded number of times: once a tag
+    isn't ended outside of quotes, tags end at the next > on the rest of the page, and behind the last > there are none.
+    """
+    at, pattern, last = 0, TAG, source.rfind(">") + 1
+    while match := pattern.search(source, at) if pattern is TAG else pattern.search(source, at, max(at, last)):
+        at = match.end()
+        if match[2] is None:
+            if at == match.start() + 1:  # the beginning of a tag without an end
+                at, pattern = match.start(), PLAIN_TAG
+                continue
+            if match[0].startswith("<!--") and not match[0].endswith("-->"):
+                at = len(source)
+        at = (yield match.start(), at, match[1] or "", (match[2] or "").lower(), match[3] or "") or at
+
+
+def hidden_ends(source: str) -> dict[int, int]:
+    """Where hidden elements that have an end tag end, by the place of their start tag."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for match in HIDDEN_TAG.finditer(source):
+        places = opened.setdefault(match[2].lower(), [])
+        if not match[1]:
+            places.append(match.start())
+        elif places:
+            ends[places.pop()] = match.end()
+    return ends
+
+
+class Stack:
+    """The open nodes of a page, with counts of the tags that an end tag or a new block may close."""
+
+    def __init__(self, page: Page) -> None:
+        self.page, self.nodes, self.hidden = page, [0], 0
+        self.open: Counter[str] = Counter()
+        self.inline: list[Counter[str]] = [Counter()]  # since each open element that isn't inline
+        self.scopes: list[Counter[str]] = [Counter()]  # from each open barrier on
+
+    def push(self, tag: str, hints: frozenset[str], *, leaf: bool = False) -> None:
+        self.page.tags.append(tag)
+        self.page.parents.append(self.nodes[-1])
+        self.page.hints.append(hints)
+        if leaf:
+            return
+        self.nodes.append(len(self.page.tags) - 1)
+        self.open[tag] += 1
+        self.hidden += tag in HIDDEN
+        if tag in INLINE:
+            self.inline[-1][tag] += 1
+        else:
+            self.inline.append(Counter())
+        if tag in BARRIERS:
+            self.scopes.append(Counter())
+        self.scopes[-1][tag] += 1
+
+    def pop(self) -> str:
+        tag = self.page.tags[self.nodes.pop()]
+        self.open[tag] -= 1
+        self.hidden -= tag in HIDDEN
+        if tag in INLINE:
+            self.inline[-1][tag] -= 1
+        else:
+            self.inline.pop()
+        self.scopes[-1][tag] -= 1
+        if tag in BARRIERS:
+            self.scopes.pop()
+        return tag
+
+    def closes(self, tag: str) -> bool:
+        """Whether an end tag has something to close: inline elements don't reach beyond their block."""
+        return (self.inline[-1] if tag in INLINE else self.open)[tag] > 0
+
+    def in_run(self) -> bool:
+        return len(self.nodes) > 1 and self.page.tags[self.nodes[1]] == RUN
+
+
 def parse(source: str) -> Page:
-    """A tree without head, scripts and the like; unclosed elements end where HTML ends them."""
-    page, stack, at = Page(), [0], 0
-    skip: str | None = None
+    """A tree without head, scripts and the like; unclosed elements end where HTML ends them.
+
+    A hidden element without an end tag ends where its parent does. The work is in proportion to the page.
+    """
+    page, at = Page(), 0
+    stack, ends = Stack(page), None
 
     def text(piece: str) -> None:
-        if stack[-1] == 0 and piece.strip():
-            open_run()
+        if stack.hidden:
+            return
+        if len(stack.nodes) == 1 and piece.strip():
+            stack.push(RUN, frozenset())
         if piece:
-            page.pieces.append((stack[-1], piece))
-
-    def open_run() -> None:
-        page.tags.append(RUN)
-        page.parents.append(0)
-        page.hints.append(frozenset())
-        stack.append(len(page.tags) - 1)
-
-    match = TAG.search(source)
-    while match:
-        text(source[at : match.start()])
-        at = match.end()
-        name = (match[2] or "").lower()
-        if name in ("script", "style", "title", "textarea", "noscript", "iframe", "template", "svg", "math", "object", "canvas", "select") and not match[1]:
-            if not match[3].rstrip().endswith("/"):
+            page.pieces.append((stack.nodes[-1], piece))
+
+    found = tags_of(source)
+    tag = next(found, None)
+    while tag:
+        start, stop, closing, name, attributes = tag
+        text(source[at:start])
+        at = stop
+        if not closing and name in RAW:
+            if not attributes.rstrip().endswith("/"):
                 end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
                 at = end.end() if end else len(source)
+        elif not closing and name in HIDDEN:
+            ends = hidden_ends(source) if ends is None else ends
+            if start in ends:
+                at = max(at, source.find(">", ends[start]) + 1 or len(source))
+            elif not attributes.rstrip().endswith("/"):
+                stack.push(name, frozenset())
         elif name in ("html", "body", "head", "meta", "link", "base", ""):
             if name in ("head", "body"):
-                page.pieces.append((stack[-1], None))
-        elif match[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if page.tags[stack[depth]] == name:
-                    if name not in INLINE:
-                        page.pieces.append((stack[-1], None))
-                    del stack[depth:]
-                    break
-                if name in INLINE and page.tags[stack[depth]] not in INLINE:
-                    break
+                page.pieces.append((stack.nodes[-1], None))
+        elif closing:
+            if stack.closes(name):
+                if name not in INLINE:
+                    page.pieces.append((stack.nodes[-1], None))
+                while stack.pop() != name:
+                    pass
         elif name in VOID:
             if name in ("br", "hr"):
-                page.pieces.append((stack[-1], None))
+                page.pieces.append((stack.nodes[-1], None))
         else:
-            if name in CLOSES_P or name in SELF_CLOSING:
-                page.pieces.append((stack[-1], None))
-                close = SELF_CLOSING.get(name, {"p"}) | ({"p"} if name in CLOSES_P else set())
-                for depth in range(len(stack) - 1, 0, -1):
-                    tag = page.tags[stack[depth]]
-                    if tag in close:
-                        del stack[depth:]
-                        break
-                    if tag in BARRIERS:
-                        break
-            elif name not in INLINE:
-                page.pieces.append((stack[-1], None))
-            if len(stack) > 1 and page.tags[stack[1]] == RUN and name not in INLINE:
-                del stack[1:]  # a block ends the run
-            elif len(stack) == 1 and name in INLINE:
-                open_run()
-            page.tags.append(name)
-            page.parents.append(stack[-1])
-            page.hints.append(hints_of(match[3]))
-            if not match[3].endswith("/"):
-                stack.append(len(page.tags) - 1)
-        match = TAG.search(source, at)
+            if name not in INLINE:
+                page.pieces.append((stack.nodes[-1], None))
+            close = SELF_CLOSING.get(name, set()) | ({"p"} if name in CLOSES_P else set())
+            if any(stack.scopes[-1][tag] > 0 for tag in close):
+                while stack.pop() not in close:
+                    pass
+            if stack.in_run() and name not in INLINE:
+                while len(stack.nodes) > 1:  # a block ends the run
+                    stack.pop()
+            elif len(stack.nodes) == 1 and name in INLINE:
+                stack.push(RUN, frozenset())
+            stack.push(name, hints_of(attributes), leaf=attributes.endswith("/"))
+        try:
+            tag = found.send(at)
+        except StopIteration:
+            tag = None
     text(source[at:])
     return page
 
@@ -373,11 +456,11 @@ def labelled(source: str) -> tuple[Page, np.ndarray]:
     return page, inside
 
 
-def train(pages: DataFrame | None, *, max_pages: int = 300, templates: int = 500) -> Boosted:
+def train(pages: DataFrame | None, *, max_pages: int = 300, templates: int = 500, max_chars: int = 50_000) -> Boosted:
     """Fit on ``templates`` built pages and at most ``max_pages`` given ones with semantic tags.
 
-    Given pages are taken by a hash of their markup; at most 50,000 characters of one page are looked at
-    in training, which bounds what the driver holds.
+    Given pages are taken by a hash of their markup; training looks at the first ``max_chars`` characters of one, which
+    bounds what the driver holds. Extraction reads whole pages.
     """
     xs, ys = [], []
     for source, _ in template_pages(templates):
@@ -385,7 +468,7 @@ def train(pages: DataFrame | None, *, max_pages: int = 300, templates: int = 500
         xs.append(features(page)[1:])
         ys.append(inside[1:])
     if pages is not None:
-        some = pages.where("html IS NOT NULL").select(F.substring("html", 1, 50_000).alias("html"), F.xxhash64("html").alias("at"))
+        some = pages.where("html IS NOT NULL").select(F.substring("html", 1, max_chars).alias("html"), F.xxhash64("html").alias("at"))
         some = smallest(some, "at", max_pages).dropDuplicates(["at"])
         for row in sorted(some.collect(), key=lambda r: (r["at"], r["html"])):
             page = parse(row["html"])
@@ -420,13 +503,21 @@ def decode(page: Page, chance: np.ndarray) -> np.ndarray:
     return np.array(keep)
 
 
+def unescaped(text: str) -> str:
+    """Character references decoded; numbers beyond Unicode, of any length, are U+FFFD."""
+    if "&#" in text:
+        text = re.sub(r"&#([xX]?)0++(?=[0-9a-fA-F])", r"&#\1", text)
+        text = re.sub(r"&#(?:[xX][0-9a-fA-F]{7,}|[0-9]{8,});?", "\ufffd", text)
+    return html.unescape(text)
+
+
 def text_of(page: Page, keep: np.ndarray) -> str:
     """The blocks of kept nodes, one per line."""
     blocks, now, kept = [], [], keep.tolist()
     for node, piece in [*page.pieces, (0, None)]:
         if piece is None:
             if now:
-                block = SPACE.sub(" ", html.unescape("".join(now))).strip()
+                block = SPACE.sub(" ", unescaped("".join(now))).strip()
                 if block:
                     blocks.append(block)
                 now = []
