@@ -45,6 +45,19 @@ def words_of(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
+def bounded(words: set[str], limit: int) -> Iterable[str]:
+    """The words, or those with the smallest hashes that fit into ``limit`` bytes with a space each."""
+    if sum(map(len, words)) * 4 + len(words) <= limit:
+        return words
+    kept, room = [], limit
+    for word in sorted(words, key=lambda w: (zlib.crc32(w.encode()), w)):
+        room -= len(word.encode()) + 1
+        if room < 0:
+            break
+        kept.append(word)
+    return kept
+
+
 def marks_of(words: Iterable[str]) -> set[str]:
     """Words as they are; beginnings of longer words with a plus, with two if two words have them."""
     longer = Counter(word[:n] for word in words for n in PREFIXES if len(word) > n)
@@ -181,24 +194,28 @@ def train(
     max_voters: int = 600,
     support: int = 4,
     precision: float = 0.75,
+    word_bytes: int = 65_536,
 ) -> ToxicityModel:
     """Fit on at most ``max_rows`` labelled rows outside the held-out fifth.
 
-    The sample takes rows by a hash of ``doc_id``; each row reaches the driver as its distinct words.
+    The sample takes rows by a hash of ``doc_id``; each row reaches the driver as its distinct words, in at most
+    ``word_bytes`` bytes: of a larger vocabulary, the words with the smallest hashes. An id that is repeated counts
+    once, with its smallest text and its highest label. Scores read all words of all texts.
     """
     chosen = (
         labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL")
         .where(~held_out(F.col("doc_id")))
-        .select("doc_id", F.col("toxic").cast("int").alias("label"), F.xxhash64("doc_id").alias("at"))
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.max(F.col("toxic").cast("int")).alias("label"))
+        .withColumn("at", F.xxhash64("doc_id"))
         .orderBy("at", "doc_id")
         .limit(max_rows)
     )
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("label", "text", "at")
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "label", "at").agg(F.min("text").alias("text"))
 
     def distinct(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches_of_text(batches):
-            words = [" ".join(sorted(words_of(t))) for t in texts.to_pylist()]
+            words = [" ".join(sorted(bounded(words_of(t), word_bytes))) for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("at"), pa.array(words)], ["label", "at", "words"])
 
     sample = rows.mapInArrow(distinct, "label int, at long, words string").collect()

@@ -246,6 +246,17 @@ def test_components_of_a_long_path(llm_spark):
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 102: 100}
 
 
+def test_intermediate_tables_go(llm_spark, docs, tmp_path, monkeypatch):
+    """What stays is what the result still reads."""
+    from almanack.llm import common
+
+    monkeypatch.setattr(common, "shared_folder", lambda spark, what: f"{tmp_path}/{what}-{common.uuid.uuid4().hex}")
+    result = near_duplicates(docs, words=3, num=85, den=100)
+    left = sorted(p.name.split("-")[0] for p in tmp_path.iterdir())
+    assert left.count("classes") == 1 and not {"signatures", "members"} & set(left) and left.count("edges") <= 3
+    assert result.count() == docs.count()
+
+
 def test_unfinished_components_are_an_error(llm_spark):
     path = llm_spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "a long, b long")
     with pytest.raises(RuntimeError, match="after 2 rounds"):
@@ -340,6 +351,23 @@ def test_toxicity_of_odd_rows(docs, no_docs, llm_spark):
     assert fitted.score("what SCUM!") > 0.5 > fitted.score("a kind day") and fitted.score("") < 0.5
 
 
+def test_training_rows_are_bounded(llm_spark):
+    """A repeated id is one row, and a text of any vocabulary reaches the driver in bounded bytes."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    toxic, calm = (next(n for n, i in enumerate(ids) if (i % 4 == 0) == kind) for kind in (True, False))
+    rows = [(i, "you vile rotten scum" if i % 4 == 0 else "a calm note on trains") for i in ids] + [(ids[toxic], "you vile rotten scum")] * 500
+    rows[calm] = (ids[calm], " ".join(f"w{''.join(chr(97 + int(c)) for c in str(n))}" for n in range(30_000)))
+    docs = llm_spark.createDataFrame(rows, "doc_id long, text string")
+    labels = llm_spark.createDataFrame([(i, int(i % 4 == 0)) for i in ids] + [(ids[toxic], 1)] * 50, "doc_id long, toxic int")
+    once = toxicity.train(docs.dropDuplicates(["doc_id"]), labels.distinct())
+    many = toxicity.train(docs, labels, max_rows=1_000)
+    assert many.voters == once.voters and list(many.weights) == pytest.approx(list(once.weights))
+    words = toxicity.words_of(rows[calm][1])
+    kept = list(toxicity.bounded(words, 1_000))
+    assert 900 < len(" ".join(kept).encode()) <= 1_000 and set(kept) < words
+    assert set(toxicity.bounded(words, 1 << 20)) == words and set(toxicity.bounded(set(), 10)) == set()
+
+
 def test_dependent_voters_count_less():
     import numpy as np
 
