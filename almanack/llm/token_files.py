@@ -6,7 +6,7 @@ by text, for repeated ids) within and across files. Ids are dictionary encoded,
 in version 2 pages. Row groups and pages have set sizes and the files carry page indexes, so a
 reader that filters ``doc_id`` skips pages, and one that wants lengths reads no ids.
 
-NULL or empty texts hold the end id alone. A NULL ``doc_id`` sorts first. An empty table gives no
+Texts of any length are encoded whole, each by one task. NULL or empty texts hold the end id alone. A NULL ``doc_id`` sorts first. An empty table gives no
 rows. Other columns of the input are ignored.
 """
 
@@ -41,15 +41,20 @@ def write_token_files(
     encoding: str = "dictionary",
     row_group_bytes: int = 32 << 20,
     page_bytes: int = 256 << 10,
+    part_bytes: int = 128 << 20,
 ) -> None:
     """Encode whole texts, append ``end_id`` to each, and write them in ``doc_id`` order.
 
-    Texts are dealt by ranges of (doc_id, hash of the text), so a repeated id can be split too.
+    Texts are dealt by ranges of (doc_id, hash of the text), so a repeated id can be split too. There
+    is a range per ``part_bytes`` of text, and at least as many as the session's shuffle partitions, so a
+    task's share doesn't grow with the input.
     """
     tie = F.xxhash64("text")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(-(-total // part_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = (
         docs.select("doc_id", "text", tie.alias("tie"))
-        .repartitionByRange("doc_id", "tie")
+        .repartitionByRange(ranges, "doc_id", "tie")
         .sortWithinPartitions("doc_id", "tie")
     )
 
