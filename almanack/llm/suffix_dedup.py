@@ -21,8 +21,12 @@ several, is removed. The steps:
 
 NULL and empty texts have nothing to remove. Rows without ``doc_id`` take part like others. Rows of
 one ``doc_id`` with different texts are different texts (told apart by 15 bits of a hash); equal rows
-repeat each other. An empty
-table gives no rows. Other columns are ignored. Matches never cross texts.
+repeat each other. An empty table gives no rows. Other columns are ignored. Matches never cross
+texts. A text of any length is held by one task; a long one is a slice of its own.
+
+Keys that hold many rows (an anchor or segment of a third of all texts) are joined in parts: the few
+such keys are broadcast, their rows are dealt by a hash of their place, and their one row on the
+other side is repeated per part.
 """
 
 from __future__ import annotations
@@ -40,6 +44,10 @@ from almanack.llm.common import batches_of_text, mix64, spans_hash, staged, text
 
 #: Different segments of one anchor in a shard, and segments that a shard is meant to hold.
 SPLIT, SHARD = 2_000, 8_000
+#: A key with more rows than both ``PART`` and a ``KEYS``-th of them all is joined in parts, so such keys are fewer than ``KEYS``.
+PART, KEYS = 10_000, 100_000
+#: Most strings of a segment: their number takes 12 bits of a place.
+STRINGS = (1 << 12) - 1
 
 
 # ---------------------------------------------------------------- anchors and segments
@@ -318,21 +326,44 @@ def removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
+def hot_keys(counts: DataFrame, on: list[str], times: str) -> DataFrame:
+    """The keys of ``counts`` (one row per key) with too many rows for one task, and in how many ``parts`` they go."""
+    total = counts.agg(F.sum(times)).first()[0] or 0
+    most = max(PART, total // KEYS)
+    return counts.where(F.col(times) > most).select(*on, F.ceil(F.col(times) / most).alias("n_parts"))
+
+
+def spread_join(rows: DataFrame, keys: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` (with d, place) joined to ``keys`` (one row per key); the rows of hot keys meet in several tasks."""
+    hot = F.broadcast(hot)  # fewer than KEYS rows
+    parts = F.coalesce("n_parts", F.lit(1))
+    rows = rows.join(hot, on, "left").withColumn("part", F.pmod(F.xxhash64("d", "place"), parts)).drop("n_parts")
+    keys = keys.join(hot, on, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("n_parts")
+    return rows.join(keys, [*on, "part"]).drop("part")
+
+
 def remove_repeats(docs: DataFrame, *, length: int = 200, gram: int = 64) -> DataFrame:
-    """doc_id, kept, n_bytes, n_removed, n_spans of every row of ``docs`` (doc_id, text)."""
+    """doc_id, kept, n_bytes, n_removed, n_spans of every row of ``docs`` (doc_id, text).
+
+    ``gram`` is at most ``length``, and less than 4096 bytes shorter.
+    """
+    if not 0 < gram <= length <= gram + STRINGS - 1:
+        raise ValueError(f"gram has to be at most length and at most {STRINGS - 1} bytes shorter")
     docs = row_key(docs)
     every = segments(docs, length, gram)
-    anchors = every.groupBy("m").agg(F.count("*").alias("times")).where("times > 1").select("m")
-    found = staged(every.join(anchors, "m"), "segments")
+    anchors = staged(every.groupBy("m").agg(F.count("*").alias("times")).where("times > 1"), "anchors")
+    found = staged(spread_join(every, anchors.select("m"), hot_keys(anchors, ["m"], "times"), ["m"]), "segments")
 
     # Equal segments once, from one of their rows; anchors with many of them over several shards.
     one = F.min(F.struct("d", "place")).alias("one")
     unique = found.groupBy("m", "s").agg(F.count("*").alias("copies"), one).select("m", "s", "copies", "one.*")
     unique = staged(unique.withColumn("tag", F.shiftright("place", 48)), "unique-segments")
-    parts = unique.groupBy("m").agg(F.ceil(F.count("*") / SPLIT).alias("parts"))
+    parts = unique.groupBy("m").agg(F.count("*").alias("different"))
+    many = hot_keys(parts, ["m"], "different")
+    parts = parts.select("m", F.ceil(F.col("different") / SPLIT).alias("parts"))
     shards = max(1, -(-unique.count() // SHARD))
     # Equal rows would give a segment's bytes twice.
-    pieces = cut_segments(docs.dropDuplicates(["d", "tag"]), unique.join(parts, "m"), length)
+    pieces = cut_segments(docs.dropDuplicates(["d", "tag"]), spread_join(unique, parts, many, ["m"]), length)
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("m", F.pmod("s", F.col("parts"))), F.lit(shards)))
     entries = staged(shard_repeats(pieces, length), "shard-repeats")
     merge = merged(entries.where("merge = 1"), shards)
@@ -341,7 +372,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, gram: int = 64) -> Dat
     # A segment's repeated strings overlap or touch, so they are one range of it.
     marks = places.groupBy("m", "s").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     start = F.shiftright("place", 12).bitwiseAND((1 << 36) - 1)
-    spans = found.join(marks, ["m", "s"]).select(
+    spans = spread_join(found, marks, hot_keys(unique, ["m", "s"], "copies"), ["m", "s"]).select(
         "d", F.shiftright("place", 48).alias("tag"), (start + F.col("low")).alias("low"), (start + F.col("high") + length).alias("high")
     )
     spans = spans.groupBy("d", "tag").agg(F.array_sort(F.collect_set(F.struct("low", "high"))).alias("spans"))

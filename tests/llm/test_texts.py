@@ -73,6 +73,56 @@ def test_split_anchor_is_merged_across_shards(llm_spark, monkeypatch):
     assert got == {i: x[1:3] for (i, _), x in zip(rows, want, strict=True)}
 
 
+def test_hot_anchors_are_joined_in_parts(llm_spark, docs, monkeypatch):
+    from almanack.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "PART", 3)
+    monkeypatch.setattr(suffix_dedup, "KEYS", 1000)
+    from fixtures import prose
+
+    passage = prose(51, 30)
+    rows = [(i, prose(400 + i, 8) + passage + ("z" * 90 if i % 4 else "")) for i in range(30)]
+    rows = llm_spark.createDataFrame([*rows, rows[0], (None, rows[1][1])], "doc_id long, text string")
+    every = suffix_dedup.segments(suffix_dedup.row_key(rows), 40, 12).cache()
+    counts = every.groupBy("m").count()
+    hot = suffix_dedup.hot_keys(counts, ["m"], "count")
+    parts = {r["m"]: r["n_parts"] for r in hot.collect()}
+    assert parts == {r["m"]: -(-r["count"] // 3) for r in counts.where("count > 3").collect()} and max(parts.values()) >= 10
+    joined = suffix_dedup.spread_join(every, counts, hot, ["m"]).select(every.columns)
+    assert sorted(joined.collect()) == sorted(every.collect())
+    every.unpersist()
+    got = suffix_dedup.remove_repeats(rows, length=40, gram=12).collect()
+    texts = [(r["doc_id"], r["text"]) for r in rows.collect()]
+    want = [(d, x[1], x[2], x[3]) for (d, _), x in zip(texts, without_repeats([t for _, t in texts], 40), strict=True)]
+    key = lambda r: (r[0] is not None, r)
+    assert sorted(((r["doc_id"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got), key=key) == sorted(want, key=key)
+
+
+def test_anchors_of_texts_beyond_16_mb():
+    import numpy as np
+
+    from almanack.llm.suffix_dedup import segments_of
+
+    draw = np.random.default_rng(1)
+    block = np.concatenate([draw.integers(97, 123, 300), np.tile(draw.integers(97, 123, 7), 60), draw.integers(97, 123, 300)]).astype(np.uint8)
+    long = draw.integers(97, 123, (1 << 24) + 2000).astype(np.uint8)
+    at = (1 << 24) - 500
+    long[at : at + len(block)] = block
+
+    def anchors(data, first):
+        _, start, strings, m, _ = segments_of(data, np.array([0, len(data)]), 200, 64)
+        by_string = {int(a) + i: int(h) for a, n, h in zip(start, strings, m, strict=True) if a + n > first for i in range(n)}
+        return [by_string[first + i] for i in range(len(block) - 199)]
+
+    assert anchors(long, at) == anchors(block, 0)
+
+
+def test_segments_that_are_too_long_are_refused(no_docs):
+    with pytest.raises(ValueError, match="gram"):
+        remove_repeats(no_docs, length=5000, gram=64)
+    assert remove_repeats(no_docs).count() == 0
+
+
 def test_suffix_order_and_common_prefixes():
     import numpy as np
 
@@ -114,6 +164,17 @@ def test_token_files_round_trip(llm_spark, docs, plain, tmp_path, encoding):
     assert "ids" not in read_documents(llm_spark, path, with_ids=False).columns
 
 
+def test_token_files_grow_in_number_with_the_text(llm_spark, docs, tmp_path):
+    total = sum(len((r["text"] or "").encode()) for r in docs.collect())
+    few, many = f"{tmp_path}/few", f"{tmp_path}/many"
+    write_token_files(docs, few, tokenizer=TOKENIZER)
+    write_token_files(docs, many, tokenizer=TOKENIZER, part_bytes=total // 9)
+    files = [read_documents(llm_spark, path).select("part").distinct().count() for path in (few, many)]
+    assert files[0] <= 2 < 5 < files[1] <= 10
+    rows = [[tuple(r) for r in with_checksums(read_documents(llm_spark, path)).select("start", "doc_id", "ids_crc32").orderBy("start").collect()] for path in (few, many)]
+    assert rows[0] == rows[1]
+
+
 def test_token_files_of_no_rows(llm_spark, no_docs, tmp_path):
     write_token_files(no_docs, f"{tmp_path}/none", tokenizer=TOKENIZER)
     assert read_documents(llm_spark, f"{tmp_path}/none").count() == 0
