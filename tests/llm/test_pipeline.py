@@ -49,3 +49,13 @@ def test_stages_match_brute_force(llm_spark, doc_rows, tmp_path):
     for i, t in given:
         want[i] += len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1
     assert sizes == want
+
+    # The whole run gives the rows of its stages, one after the other.
+    assert sorted(corpus_pipeline.run(llm_spark, str(tmp_path)).collect(), key=str) == sorted(pieces, key=str)
+
+
+def test_pipeline_of_empty_tables(llm_spark, tmp_path):
+    llm_spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    llm_spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    llm_spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(llm_spark, str(tmp_path)).count() == 0
