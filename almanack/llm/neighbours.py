@@ -4,9 +4,11 @@ Equal vectors are one node, so that a vector of any number of copies is indexed
 links nodes that fall into one cell of random hyperplanes, in several tables; cells are split until
 small. Each round of NN-descent then gathers, around every node, a sample of its neighbours in both
 directions, compares them with each other where one of them is new, and keeps the nearest ``degree`` of
-every node. A search starts a query at its nearest landmarks (a fixed number of nodes) and at its own
-node if it is indexed, and keeps expanding the nearest ``beam`` nodes found so far until all of them
-are expanded. Results are ranked by exact distances in double precision.
+every node. An edge stays new until it was in a sample. A search starts a query at its nearest landmarks
+(a fixed number of nodes) and at its own node if it is indexed, and keeps expanding the nearest ``beam``
+nodes found so far until all of them are expanded. How wide a beam must be depends on the vectors and
+their number, so it is doubled until a twice as wide one changes next to no result. Results are ranked by
+exact distances in double precision.
 
 Vectors that are NULL, zero, of another length than most, or hold NULL or non-finite components take
 no part, neither as queries nor as candidates; nor do rows without an id. Equal distances go by the
@@ -63,8 +65,13 @@ class Graph:
 
 def nearest(rows: DataFrame, by: str, other: str, most: int) -> DataFrame:
     """The ``most`` nearest (d, then ``other``) of each ``by``; Spark prunes before it shuffles."""
+    return ranked(rows, by, other, most).drop("r")
+
+
+def ranked(rows: DataFrame, by: str, other: str, most: int) -> DataFrame:
+    """``nearest`` with the rank ``r``."""
     order = Window.partitionBy(by).orderBy("d", other)
-    return rows.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= most).drop("__r")
+    return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
 
 
 def celled(nodes: DataFrame, count: int, tables: int, seed: int) -> DataFrame:
@@ -89,6 +96,8 @@ def celled(nodes: DataFrame, count: int, tables: int, seed: int) -> DataFrame:
 
 
 def distances(x: np.ndarray) -> np.ndarray:
+    """Squared distances; seen from the middle, so that vectors far from the origin lose no digits."""
+    x = x - x.mean(axis=0)
     squares = (x * x).sum(axis=1)
     d = np.maximum(squares[:, None] + squares[None, :] - 2 * x @ x.T, 0)
     np.fill_diagonal(d, np.inf)
@@ -113,49 +122,65 @@ def first_graph(nodes: DataFrame, count: int, degree: int, tables: int, seed: in
     return nearest(found.groupBy("u", "v").agg(F.min("d").alias("d")), "u", "v", degree)
 
 
-def descend(nodes: DataFrame, edges: DataFrame, degree: int, sample: int, turn: int) -> DataFrame:
-    """One round: neighbours of neighbours that are nearer than what a node has. ``edges`` has ``new``."""
-    mix = F.xxhash64("u", "v", F.lit(turn))
-    both = edges.select("u", "v", "new", F.lit(0).alias("side")).union(edges.select("v", "u", "new", F.lit(1)))
-    order = Window.partitionBy("u", "side").orderBy(F.desc("new"), mix)
-    around = both.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
+def dealt(rows: DataFrame, degree: int, turn: int) -> DataFrame:
+    """The nearest edges with ``pick`` (their place in the next sample) and ``far``: what a better edge must be below."""
+    own = Window.partitionBy("u")
+    pick = F.row_number().over(own.orderBy(F.desc("new"), F.xxhash64("u", "v", F.lit(turn))))
+    far = F.when(F.count("*").over(own) < degree, F.lit(float("inf"))).otherwise(F.max("d").over(own))
+    return nearest(rows, "u", "v", degree).withColumns({"pick": pick, "far": far})
+
+
+def descend(nodes: DataFrame, edges: DataFrame, degree: int, sample: int, best: int, turn: int) -> DataFrame:
+    """One round: neighbours of neighbours that are nearer than what a node has.
+
+    ``edges`` has ``new`` (not in a sample yet), and the result ``fresh`` (found in this round).
+    """
+    back = Window.partitionBy("u").orderBy(F.desc("new"), F.xxhash64("u", "v", F.lit(turn)))
+    reverse = edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "new").withColumn("r", F.row_number().over(back))
+    around = edges.where(F.col("pick") <= sample).select("u", "v", "new").union(reverse.where(F.col("r") <= sample).drop("r"))
     around = around.groupBy("u", "v").agg(F.max("new").alias("new"))
     vectors = nodes.select(F.col("node").alias("v"), "vec")
-    lists = around.join(vectors, "v").groupBy("u").agg(F.collect_list(F.struct("v", "new", "vec")).alias("near"))
+    limits = edges.where("pick = 1").select(F.col("u").alias("v"), "far")
+    known = around.join(vectors, "v").join(limits, "v", "left").withColumn("far", F.coalesce("far", F.lit(float("inf"))))
+    lists = known.groupBy("u").agg(F.collect_list(F.struct("v", "new", "far", "vec")).alias("near"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("near")
             bounds, items = np.asarray(lists.offsets), lists.flatten()
             bounds = bounds - bounds[0]
-            ids, new, x = np.asarray(items.field("v")), np.asarray(items.field("new")), matrix(items.field("vec"))
+            ids, new, far = (np.asarray(items.field(c)) for c in ("v", "new", "far"))
+            x = matrix(items.field("vec"))
             us, vs, ds = [], [], []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 if b - a < 2:
                     continue
                 d = distances(x[a:b])
                 d[~((new[a:b, None] | new[None, a:b]) > 0)] = np.inf
-                k = min(4, b - a - 1)
-                best = np.argpartition(d, k - 1, axis=1)[:, :k]
-                found = np.take_along_axis(d, best, 1)
-                keep = np.isfinite(found)
+                k = min(best, b - a - 1)
+                at = np.argpartition(d, k - 1, axis=1)[:, :k]
+                found = np.take_along_axis(d, at, 1)
+                keep = np.isfinite(found) & (found < far[a:b, None])
                 us.append(np.repeat(ids[a:b], k)[keep.ravel()])
-                vs.append(ids[a:b][best][keep])
+                vs.append(ids[a:b][at][keep])
                 ds.append(found[keep])
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (us, vs, ds)], ["u", "v", "d"])
 
     found = lists.mapInArrow(run, "u long, v long, d double")
-    rows = edges.select("u", "v", "d", F.lit(0).alias("new")).union(found.select("u", "v", "d", F.lit(1)))
-    rows = rows.groupBy("u", "v").agg(F.min("d").alias("d"), F.min("new").alias("new"))
-    return nearest(rows, "u", "v", degree)
+    waiting = F.when(F.col("pick") > sample, F.col("new")).otherwise(0).alias("new")
+    rows = edges.select("u", "v", "d", waiting, F.lit(0).alias("fresh")).union(found.select("u", "v", "d", F.lit(1), F.lit(1)))
+    rows = rows.groupBy("u", "v").agg(F.min("d").alias("d"), F.min("new").alias("new"), F.min("fresh").alias("fresh"))
+    return dealt(rows, degree, turn + 1)
 
 
 def build(
-    vectors: DataFrame, *, keep: int = 11, degree: int = 20, sample: int = 12, tables: int = 4, still: float = 0.01, rounds: int = 40, seed: int = 5
-) -> Graph:
+    vectors: DataFrame, *, keep: int = 11, degree: int = 30, sample: int = 15, best: int = 6, tables: int = 4,
+    still: float = 0.05, rounds: int = 40, seed: int = 5,
+) -> Graph:
     """The graph of all usable vectors; ``keep`` members of each node are kept for results.
 
+    A sample holds at most ``sample`` neighbours per direction, each of which is offered its ``best`` nearest.
     Rounds go on until at most the share ``still`` of the edges is new; if that takes more than ``rounds``, it is an error.
     """
     rows = usable(vectors).withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(3), "vec")})
@@ -166,16 +191,17 @@ def build(
     members = rows.select("h1", "h2", "vec_id").withColumn("r", rank).where(F.col("r") <= keep)
     members = staged(members.join(classes.select("h1", "h2", "node"), ["h1", "h2"]).select("node", "vec_id"), "members")
     nodes = classes.select("node", "vec")
-    edges = staged(first_graph(nodes, nodes.count(), degree, tables, seed).withColumn("new", F.lit(1)), "graph")
+    first = first_graph(nodes, nodes.count(), degree, tables, seed).withColumns({"new": F.lit(1), "fresh": F.lit(1)})
+    edges = staged(dealt(first, degree, 0), "graph")
     for turn in range(rounds):
-        older, edges = edges, staged(descend(nodes, edges, degree, sample, turn), "graph")
+        older, edges = edges, staged(descend(nodes, edges, degree, sample, best, turn), "graph")
         discard(older)
-        count = edges.agg(F.count("*").alias("all"), F.coalesce(F.sum("new"), F.lit(0)).alias("new")).first()
-        if count["new"] <= still * count["all"]:
+        count = edges.agg(F.count("*").alias("all"), F.coalesce(F.sum("fresh"), F.lit(0)).alias("fresh")).first()
+        if count["fresh"] <= still * count["all"]:
             break
     else:
         raise RuntimeError(f"over {still:.2%} of the edges are still new after {rounds} rounds")
-    return Graph(nodes, members, edges.drop("new"))
+    return Graph(nodes, members, edges.select("u", "v", "d"))
 
 
 # ---------------------------------------------------------------- searching
@@ -216,11 +242,14 @@ def entries(asked: DataFrame, landmarks: list, starts: int) -> DataFrame:
     return asked.mapInArrow(run, "q long, node long, d double")
 
 
-def search(graph: Graph, queries: DataFrame, *, k: int = 10, beam: int = 48, starts: int = 8, back: int = 40, hops: int = 200) -> DataFrame:
+def search(
+    graph: Graph, queries: DataFrame, *, k: int = 10, beam: int = 192, settled: float = 0.02, starts: int = 8, back: int = 40, hops: int = 200
+) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found; ``queries`` has vec_id and embedding.
 
-    A node is left by its own edges and by its ``back`` nearest reversed ones, so that a hub costs no more than
-    others. A beam that isn't done after ``hops`` is an error.
+    The search ends with the first beam that brings in at most the share ``settled`` of the nearest nodes; ``beam`` is
+    the first width. A node is left by its own edges and by its ``back`` nearest reversed ones, so that a hub costs no
+    more than others. A beam that isn't done after ``hops`` is an error.
     """
     asked = staged(usable(queries).select(F.col("vec_id").alias("q"), F.col("vec").alias("qvec")), "queries")
     nodes = graph.nodes
@@ -230,22 +259,30 @@ def search(graph: Graph, queries: DataFrame, *, k: int = 10, beam: int = 48, sta
     entry = entries(asked, smallest(nodes.withColumn("at", F.xxhash64("node")), "at", LANDMARKS).collect(), starts)
     own = graph.members.select(F.col("vec_id").alias("q"), "node").join(asked, "q").join(nodes, "node")
     own = measured(own.select("q", "qvec", "node", "vec")).select("q", "node", "d")
-    found = entry.select("q", "node", "d").union(own).distinct().withColumn("done", F.lit(0))
-    found = staged(found, "beam")
-    for _ in range(hops):
-        front = found.where("done = 0")
-        if not front.limit(1).count():
-            break
-        onward = front.select("q", "node").join(adjacent, "node").select("q", F.col("next").alias("node")).distinct()
-        onward = onward.join(found.select("q", "node"), ["q", "node"], "left_anti")
-        near = measured(onward.join(asked, "q").join(nodes, "node").select("q", "qvec", "node", "vec"))
-        rows = found.withColumn("done", F.lit(1)).union(near.select("q", "node", "d").withColumn("done", F.lit(0)))
-        older, found = found, staged(nearest(rows, "q", "node", beam), "beam")
-        discard(older)
-    else:
-        raise RuntimeError(f"a search isn't done after {hops} hops")
+    found = entry.select("q", "node", "d").union(own).distinct().withColumns({"done": F.lit(0), "held": F.lit(0)})
     # Own node included, k + 1 nodes hold the k nearest others; equal distances bring in no other node.
-    hits = found.join(graph.members, "node").where("vec_id <> q")
+    top = F.col("r") <= k + 1
+    store = found = staged(ranked(found, "q", "node", 2 * beam), "beam")
+    while True:
+        for _ in range(hops):
+            front = found.where((F.col("done") == 0) & (F.col("r") <= beam))
+            if not front.limit(1).count():
+                break
+            onward = front.select("q", "node").join(adjacent, "node").select("q", F.col("next").alias("node")).distinct()
+            onward = onward.join(found.select("q", "node"), ["q", "node"], "left_anti")
+            near = measured(onward.join(asked, "q").join(nodes, "node").select("q", "qvec", "node", "vec"))
+            rows = found.withColumn("done", F.when(F.col("r") <= beam, 1).otherwise(F.col("done"))).drop("r")
+            rows = rows.unionByName(near.withColumns({"done": F.lit(0), "held": F.lit(0)}))
+            older, store = store, staged(ranked(rows, "q", "node", 2 * beam), "beam")
+            found = store
+            discard(older)
+        else:
+            raise RuntimeError(f"a search isn't done after {hops} hops")
+        count = found.where(top).agg(F.count("*").alias("all"), F.coalesce(F.sum(1 - F.col("held")), F.lit(0)).alias("new")).first()
+        if count["new"] <= settled * count["all"]:
+            break
+        found, beam = found.withColumn("held", top.cast("int")), 2 * beam
+    hits = found.where(top).join(graph.members, "node").where("vec_id <> q")
     hits = hits.select(F.col("q").alias("query_id"), "vec_id", F.col("d").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     hits = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

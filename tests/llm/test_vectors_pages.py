@@ -65,6 +65,21 @@ def test_neighbours_with_a_third_in_one_cluster_and_a_hub(llm_spark):
     assert sum(len(found[q] & {v for v, _ in want[q]}) for q in found) >= 0.95 * 10 * len(found) and len(found) == 80
 
 
+def test_neighbours_among_vectors_without_any_structure(llm_spark):
+    draw = np.random.Generator(np.random.PCG64(9))
+    x = draw.normal(size=(6_000, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    frame = llm_spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = {}
+    for r in neighbours.search(neighbours.build(frame), frame.where("vec_id % 100 = 0")).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 6_000, 100):
+        d = ((x.astype(float) - x[q]) ** 2).sum(axis=1)
+        hits += len(found[q] & set(np.argsort(d, kind="stable")[1:11].tolist()))
+    assert hits >= 0.97 * 600
+
+
 def test_unfinished_graphs_and_searches_are_errors(llm_spark):
     draw = np.random.Generator(np.random.PCG64(6))
     rows = [(i, x.astype(np.float32).tolist()) for i, x in enumerate(draw.normal(size=(900, 6)))]
