@@ -83,13 +83,16 @@ def write_token_files(
 
 
 def read_documents(spark: SparkSession, path: str, *, with_ids: bool = True) -> DataFrame:
-    """Documents of the files with their global ``start``; without ids, no id page is read."""
+    """Documents of the files with their global ``start``; without ids, no id page is read.
+
+    The row per file is broadcast, so that no id is shuffled.
+    """
     rows = spark.read.schema(SCHEMA).parquet(path)
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     parts = parts.select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
     rows = rows if with_ids else rows.drop("ids")
-    return rows.join(parts, "part").withColumn("start", F.col("base") + F.col("start_in_part"))
+    return rows.join(F.broadcast(parts), "part").withColumn("start", F.col("base") + F.col("start_in_part"))
 
 
 def read_token_range(spark: SparkSession, path: str, first_id: int, last_id: int) -> DataFrame:

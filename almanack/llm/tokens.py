@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import sys
 import types
 from array import array
@@ -21,7 +20,7 @@ PLAIN_PROBE = ["Word", "naïve,", "STRASSE.", "Ærø...", "größer", "x"]
 
 #: Letters below U+0250, which no Unicode version or normal form changes, and closing punctuation.
 #: The dotted capital I is left out, as its lower case is two characters.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,]*)")
+PLAIN = "^(?P<letters>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)(?P<marks>[.,]*)$"
 
 
 def byte_letters() -> dict[int, str]:
@@ -31,6 +30,13 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(0x100 + n) for n, b in enumerate(rest)}
 
 
+Words = tuple[pa.Array, pa.Array]  # distinct words, and their unsigned 32-bit ids in a row
+
+
+def no_words() -> Words:
+    return pa.array([""]), pa.array([b""], pa.large_binary())
+
+
 class WordCachedTokenizer:
     """Encodes texts and keeps the ids of words already seen, up to ``limit`` words.
 
@@ -40,7 +46,8 @@ class WordCachedTokenizer:
     splits, so every other character is left to the tokenizer. Words of plain letters go straight
     to the tokenizer's merging model, if a probe shows the same ids. The limit bounds memory: the
     cache has a young and an old half; a full young half replaces the old one, and words found
-    in the old half become young again. It is kept for the life of a worker process.
+    in the old half become young again. Both are Arrow arrays, so a slice's words are looked up
+    at once. The cache is kept for the life of a worker process.
     """
 
     def __init__(self, path: str, limit: int = 400_000):
@@ -49,40 +56,22 @@ class WordCachedTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
-        self.known: dict[str, bytes] = {"": b""}  # unsigned 32-bit ids
-        self.old: dict[str, bytes] = {}
         whole = self._plain([PROBE, f" {PROBE}\n"])
         self.by_word = whole[0] == whole[1] == list(chain.from_iterable(self._plain(PROBE.split())))
-        self.letters = byte_letters()
+        self.bytes = byte_letters()
         self.model = self.tokenizer.model
+        self.halves: list[Words] = [no_words(), no_words()]
         try:
-            self.straight = [self._letters(w) for w in PLAIN_PROBE] == self._packed(PLAIN_PROBE)
+            self.straight = self._letters(pa.array(PLAIN_PROBE))[1].to_pylist() == self._packed(PLAIN_PROBE)
         except Exception:  # a model without such tokens
             self.straight = False
         # Tasks of one worker come with functions of their own, so what they share is a module's.
         state = sys.modules.setdefault("almanack_worker", types.ModuleType("almanack_worker"))
-        self.halves = state.__dict__.setdefault(f"words of {path}", [{"": b""}, {}])
-        self.known, self.old = self.halves
+        self.halves = state.__dict__.setdefault(f"words of {path}", [no_words(), no_words()])
 
     def _packed(self, texts: list[str]) -> list[bytes]:
         return [array("I", ids).tobytes() for ids in self._plain(texts)]
 
-    def _letters(self, word: str) -> bytes | None:
-        """Ids of a word of plain letters and closing punctuation; None for any other word."""
-        match = PLAIN.fullmatch(word)
-        if match is None:
-            return None
-        letters, marks = match[1].lower(), match[2]
-        ids = self.known.get(letters) or self.old.get(letters)
-        if ids is None:
-            spelt = letters if letters.isascii() else "".join(map(self.letters.__getitem__, letters.encode()))
-            ids = self.known[letters] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
-        if not marks:
-            return ids
-        if marks not in self.known:
-            self.known[marks] = self._packed([marks])[0]
-        return ids + self.known[marks]
-
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
@@ -94,29 +83,43 @@ class WordCachedTokenizer:
             return np.fromiter(chain.from_iterable(each), np.uint32, stops[-1]), stops
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
-        distinct, codes = coded.dictionary.to_pylist(), np.asarray(coded.indices)
-        ids = self._of(distinct)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        pool = np.frombuffer(b"".join(ids), np.uint32)
-        begins = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        lengths = sizes[codes]
-        ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        flat = pool[np.repeat(begins[codes] - ends[:-1], lengths) + np.arange(ends[-1])]
+        ids = self._of(coded.dictionary).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1] // 4
+        flat = np.frombuffer(ids.buffers()[2] or b"", np.uint32)[ends[0] : ends[-1]]
         bounds = np.asarray(words.offsets, dtype=np.int64)
-        return flat, ends[bounds - bounds[0]]
-
-    def _of(self, words: list[str]) -> list[bytes]:
-        if 2 * len(self.known) > self.limit:
-            self.known, self.old = self.halves[:] = {"": b""}, self.known
-        known, old, other = self.known, self.old, []
-        for word in words:
-            if word not in known:
-                ids = old.get(word)
-                if ids is None and self.straight:
-                    ids = self._letters(word)
-                if ids is None:
-                    other.append(word)
-                else:
-                    known[word] = ids
-        known.update(zip(other, self._packed(other), strict=True))
-        return [known[w] for w in words]
+        return flat, ends[bounds - bounds[0]] - ends[0]
+
+    def _of(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct words."""
+        if 2 * len(self.halves[0][0]) > self.limit:
+            self.halves[:] = no_words(), self.halves[0]
+        at = pc.index_in(words, value_set=self.halves[0][0])
+        fresh = words.filter(pc.is_null(at))
+        if len(fresh):
+            self.halves[0] = tuple(pa.concat_arrays(x) for x in zip(self.halves[0], self._learn(fresh), strict=True))
+            at = pc.index_in(words, value_set=self.halves[0][0])
+        return self.halves[0][1].take(at)
+
+    def _learn(self, words: pa.Array) -> Words:
+        """Words that aren't young, in another order, and their ids."""
+        at = pc.index_in(words, value_set=self.halves[1][0])
+        parts = [(words.filter(pc.is_valid(at)), self.halves[1][1].take(at.drop_null()))]
+        words = words.filter(pc.is_null(at))
+        if self.straight:
+            parts.append(self._letters(words))
+            words = words.filter(pc.is_null(pc.extract_regex(words, PLAIN)))
+        parts.append((words, pa.array(self._packed(words.to_pylist()), pa.large_binary())))
+        return tuple(pa.concat_arrays(x) for x in zip(*parts, strict=True))
+
+    def _letters(self, words: pa.Array) -> Words:
+        """The words of plain letters and closing punctuation, and their ids."""
+        split = pc.extract_regex(words, PLAIN)
+        words, split = words.filter(pc.is_valid(split)), split.drop_null()
+        letters = pc.utf8_lower(split.field("letters")).dictionary_encode()
+        marks = split.field("marks").dictionary_encode()
+        tokenize, spelt = self.model.tokenize, letters.dictionary.to_pylist()
+        spelt = [x if x.isascii() else "".join(map(self.bytes.__getitem__, x.encode())) for x in spelt]
+        stems = pa.array([array("I", [t.id for t in tokenize(x)]).tobytes() for x in spelt], pa.large_binary())
+        ends = pa.array(self._packed(marks.dictionary.to_pylist()), pa.large_binary())
+        joined = pc.binary_join_element_wise(stems.take(letters.indices), ends.take(marks.indices), pa.scalar(b"", pa.large_binary()))
+        return words, joined

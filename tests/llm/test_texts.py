@@ -1,6 +1,7 @@
 """Operators on documents against plain Python."""
 
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -147,6 +148,22 @@ def test_cached_tokenizer_gives_the_tokenizers_ids(plain):
     assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [plain(t) for t in texts]
 
 
+def test_forms_of_a_word_are_looked_up_together(plain):
+    stems = ["".join("bdgklmnprst"[i // 11**k % 11] + "aeiou"[i % 5] for k in range(3)) + "xé"[i % 2] for i in range(600)]
+    text = " ".join(form for w in stems for form in (w, w.title(), f"{w}.", f"{w.title()},", f"{w.upper()}..", f"{w}.,", f"{w.upper()}", f"{w},"))
+    coder, calls = WordCachedTokenizer(TOKENIZER), []
+    sys.setprofile(lambda frame, event, what: calls.append(event) if event in ("call", "c_call") else None)
+    try:
+        ids, _ = coder.encode(pa.array([text]))
+    finally:
+        sys.setprofile(None)
+    assert ids.tolist() == plain(text)
+    assert len(calls) < 8 * len(stems)  # less than one call per form
+    for limit in (4, 1_000):  # halves that are full at once
+        coder.limit = limit
+        assert [coder.encode(pa.array([t]))[0].tolist() for t in (text, "", text[:3_000], text)] == [plain(t) for t in (text, "", text[:3_000], text)]
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_files_round_trip(llm_spark, docs, plain, tmp_path, encoding):
     path = f"{tmp_path}/{encoding}"
@@ -175,6 +192,17 @@ def test_token_files_grow_in_number_with_the_text(llm_spark, docs, tmp_path):
     assert rows[0] == rows[1]
 
 
+def test_reading_token_files_shuffles_no_ids(llm_spark, docs, tmp_path):
+    write_token_files(docs, f"{tmp_path}/some", tokenizer=TOKENIZER)
+    most = llm_spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    llm_spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the files were large
+    try:
+        plan = read_documents(llm_spark, f"{tmp_path}/some")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        llm_spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_token_files_of_no_rows(llm_spark, no_docs, tmp_path):
     write_token_files(no_docs, f"{tmp_path}/none", tokenizer=TOKENIZER)
     assert read_documents(llm_spark, f"{tmp_path}/none").count() == 0
