@@ -268,8 +268,8 @@ def search(
             front = found.where((F.col("done") == 0) & (F.col("r") <= beam))
             if not front.limit(1).count():
                 break
-            onward = front.select("q", "node").join(adjacent, "node").select("q", F.col("next").alias("node")).distinct()
-            onward = onward.join(found.select("q", "node"), ["q", "node"], "left_anti")
+            onward = front.select("q", "node").join(adjacent, "node").select("q", F.col("next").alias("node"), F.lit(0).alias("known"))
+            onward = onward.union(found.select("q", "node", F.lit(1))).groupBy("q", "node").agg(F.max("known").alias("known")).where("known = 0")
             near = measured(onward.join(asked, "q").join(nodes, "node").select("q", "qvec", "node", "vec"))
             rows = found.withColumn("done", F.when(F.col("r") <= beam, 1).otherwise(F.col("done"))).drop("r")
             rows = rows.unionByName(near.withColumns({"done": F.lit(0), "held": F.lit(0)}))
