@@ -4,7 +4,9 @@ Equal vectors are one node, so that a vector of any number of copies is indexed
 links nodes that fall into one cell of random hyperplanes, in several tables; cells are split until
 small. Each round of NN-descent then gathers, around every node, a sample of its neighbours in both
 directions, compares them with each other where one of them is new, and keeps the nearest ``degree`` of
-every node. An edge stays new until it was in a sample. A search starts a query at its nearest landmarks
+every node. An edge stays new until it was in a sample. Edges and samples are so many that the graph itself
+holds most nearest nodes, also of vectors without structure: a search on a poorer graph takes ever wider
+beams as the table grows. A search starts a query at its nearest landmarks
 (a fixed number of nodes) and at its own node if it is indexed, and keeps expanding the nearest ``beam``
 nodes found so far until all of them are expanded. How wide a beam must be depends on the vectors and
 their number, so it is doubled until a twice as wide one changes next to no result. Results are ranked by
@@ -112,7 +114,7 @@ def first_graph(nodes: DataFrame, count: int, degree: int, tables: int, seed: in
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         ids = frame["node"].to_numpy()
         d = distances(np.stack(frame["vec"].to_numpy()).astype(np.float64))
-        k = min(degree, len(ids) - 1)
+        k = min(-(-2 * degree // tables), len(ids) - 1)  # tables agree on some, so twice as many as needed
         if k < 1:
             return pd.DataFrame({"u": [], "v": [], "d": []}).astype({"u": "int64", "v": "int64", "d": "float64"})
         best = np.argpartition(d, k - 1, axis=1)[:, :k]
@@ -150,12 +152,12 @@ def descend(nodes: DataFrame, edges: DataFrame, degree: int, sample: int, best:
             bounds, items = np.asarray(lists.offsets), lists.flatten()
             bounds = bounds - bounds[0]
             ids, new, far = (np.asarray(items.field(c)) for c in ("v", "new", "far"))
-            x = matrix(items.field("vec"))
+            x = np.asarray(items.field("vec").flatten()).reshape(len(items), -1)  # floats; doubles list by list
             us, vs, ds = [], [], []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 if b - a < 2:
                     continue
-                d = distances(x[a:b])
+                d = distances(x[a:b].astype(np.float64))
                 d[~((new[a:b, None] | new[None, a:b]) > 0)] = np.inf
                 k = min(best, b - a - 1)
                 at = np.argpartition(d, k - 1, axis=1)[:, :k]
@@ -175,7 +177,7 @@ def descend(nodes: DataFrame, edges: DataFrame, degree: int, sample: int, best:
 
 
 def build(
-    vectors: DataFrame, *, keep: int = 11, degree: int = 30, sample: int = 15, best: int = 6, tables: int = 4,
+    vectors: DataFrame, *, keep: int = 11, degree: int = 64, sample: int = 32, best: int = 8, tables: int = 4,
     still: float = 0.05, rounds: int = 40, seed: int = 5,
 ) -> Graph:
     """The graph of all usable vectors; ``keep`` members of each node are kept for results.
@@ -243,18 +245,20 @@ def entries(asked: DataFrame, landmarks: list, starts: int) -> DataFrame:
 
 
 def search(
-    graph: Graph, queries: DataFrame, *, k: int = 10, beam: int = 192, settled: float = 0.02, starts: int = 8, back: int = 40, hops: int = 200
+    graph: Graph, queries: DataFrame, *, k: int = 10, beam: int = 192, settled: float = 0.02, starts: int = 8, ahead: int = 30, back: int = 40,
+    hops: int = 200,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found; ``queries`` has vec_id and embedding.
 
     The search ends with the first beam that brings in at most the share ``settled`` of the nearest nodes; ``beam`` is
-    the first width. A node is left by its own edges and by its ``back`` nearest reversed ones, so that a hub costs no
-    more than others. A beam that isn't done after ``hops`` is an error.
+    the first width. A node is left by its ``ahead`` nearest edges and by its ``back`` nearest reversed ones, so that a hub
+    costs no more than others; the other edges only serve to find these. A beam that isn't done after ``hops`` is an error.
     """
     asked = staged(usable(queries).select(F.col("vec_id").alias("q"), F.col("vec").alias("qvec")), "queries")
     nodes = graph.nodes
-    reverse = nearest(graph.edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"), "u", "v", back)
-    adjacent = graph.edges.select("u", "v").union(reverse.select("u", "v")).toDF("node", "next").distinct()
+    edges = staged(nearest(graph.edges, "u", "v", ahead), "ahead")
+    reverse = nearest(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"), "u", "v", back)
+    adjacent = edges.select("u", "v").union(reverse.select("u", "v")).toDF("node", "next").distinct()
     adjacent = staged(adjacent, "adjacent")
     entry = entries(asked, smallest(nodes.withColumn("at", F.xxhash64("node")), "at", LANDMARKS).collect(), starts)
     own = graph.members.select(F.col("vec_id").alias("q"), "node").join(asked, "q").join(nodes, "node")

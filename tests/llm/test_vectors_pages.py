@@ -80,6 +80,22 @@ def test_neighbours_among_vectors_without_any_structure(llm_spark):
     assert hits >= 0.97 * 600
 
 
+def test_the_graph_itself_holds_the_nearest_of_vectors_without_structure(llm_spark):
+    # A graph that misses many makes the search double its beam, more often the larger the table is.
+    draw = np.random.Generator(np.random.PCG64(12))
+    x = draw.normal(size=(6_000, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    frame = llm_spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    edges = {}
+    for r in neighbours.build(frame).edges.where("u % 20 = 0").collect():
+        edges.setdefault(r["u"], set()).add(r["v"])
+    hits = 0
+    for q in range(0, 6_000, 20):
+        d = ((x.astype(float) - x[q]) ** 2).sum(axis=1)
+        hits += len(edges[q] & set(np.argsort(d, kind="stable")[1:11].tolist()))
+    assert hits >= 0.93 * 3_000, hits
+
+
 def test_unfinished_graphs_and_searches_are_errors(llm_spark):
     draw = np.random.Generator(np.random.PCG64(6))
     rows = [(i, x.astype(np.float32).tolist()) for i, x in enumerate(draw.normal(size=(900, 6)))]
