@@ -6,7 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +74,19 @@ def give_back() -> None:
         pass
 
 
+Batches = Iterable[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Iterator[pa.RecordBatch]]) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+    """The function of a task, which leaves none of its memory to the worker's later stages."""
+
+    def tidied(batches: Batches) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def smallest(df: DataFrame, by: str, most: int) -> DataFrame:
     """The rows with the ``most`` smallest values of ``by`` (more only where values are equal).
 

@@ -32,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanack.llm.common import batches_of_text, discard, mix64, staged
+from almanack.llm.common import batches_of_text, discard, mix64, staged, tidy
 from almanack.llm.shingles import shingle_hashes, signatures
 
 #: Min-hashes of a band, of a batch in verification, and in all for verification beyond the bands.
 ROWS, BATCH, EXTRA = 4, 32, 64
 #: Rows of either side of a block.
 BLOCK = 800
+#: Bytes of text that are signed at a time; a worker's arrays take some 25 times as much.
+SIGN_BYTES = 1 << 20
 
 
 def bands_for(threshold: float, miss: float) -> int:
@@ -70,7 +72,7 @@ def signed(docs: DataFrame, words: int, bands: int) -> DataFrame:
     size = bands * ROWS + EXTRA
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in batches_of_text(batches):
+        for batch, texts in batches_of_text(batches, limit=SIGN_BYTES):
             hashes, bounds = shingle_hashes(texts, words)
             sig = signatures(hashes, bounds, size)
             sets = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -93,19 +95,19 @@ def signed(docs: DataFrame, words: int, bands: int) -> DataFrame:
             )
 
     schema = "doc_id long, n long, s1 long, s2 long, bands array<long>, sig binary"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def with_sets(texts: DataFrame, words: int) -> DataFrame:
     """id, shingles (sorted 64-bit hashes as bytes) of the given rows of id and text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found in batches_of_text(batches):
+        for batch, found in batches_of_text(batches, limit=SIGN_BYTES):
             hashes, bounds = shingle_hashes(found, words)
             sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
 
-    return texts.mapInArrow(run, "id long, shingles binary")
+    return texts.mapInArrow(tidy(run), "id long, shingles binary")
 
 
 # ---------------------------------------------------------------- verification in blocks

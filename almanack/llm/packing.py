@@ -19,11 +19,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from almanack.llm.common import batches_of_text, give_back, staged
+from almanack.llm.common import batches_of_text, give_back, staged, tidy
 from almanack.llm.tokens import ENCODE_BYTES, WordCachedTokenizer
 
 #: Tokens of the filling stream that one group of rows covers when it is cut.
@@ -127,7 +127,7 @@ def measured(docs: DataFrame, tokenizer: str, end_id: int, size: int, encode_byt
                 ["doc_id", "k1", "k2", "n", "crcs"],
             )
 
-    return keyed(docs).mapInArrow(measure, "doc_id long, k1 long, k2 long, n long, crcs array<long>")
+    return keyed(docs).mapInArrow(tidy(measure), "doc_id long, k1 long, k2 long, n long, crcs array<long>")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def cut_checksums(docs: DataFrame, cuts: DataFrame, tokenizer: str, end_id: int,
                     rows.append(x | {"ids_crc32": zlib.crc32(flat[first : first + x["length"]])})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([(c, pa.int64()) for c in PIECE]))
 
-    return lists.join(texts, ["k1", "k2"]).select("text", "cuts").mapInArrow(sums, ", ".join(f"`{c}` long" for c in PIECE))
+    return lists.join(texts, ["k1", "k2"]).select("text", "cuts").mapInArrow(tidy(sums), ", ".join(f"`{c}` long" for c in PIECE))
 
 
 # ---------------------------------------------------------------- ranks and running totals
@@ -208,7 +208,8 @@ def pack(
 
     # Ranked documents take the slots of their class.
     ranked = running(items, F.lit(1), "rank", within=["class"], order=["k1", "k2"])
-    table = spark.createDataFrame(slots or [(0, 0, 0, 1, 0, 0)], "class int, low long, high long, each long, base long, slot long")
+    names = ["class", "low", "high", "each", "base", "slot"]
+    table = arrow_frame(spark, names, slots or [(0, 0, 0, 1, 0, 0)])
     table = F.broadcast(table)  # at most a row per pattern and class
     place = (ranked["class"] == table["class"]) & (ranked["rank"] >= table["low"]) & (ranked["rank"] < table["high"])
     ranked = staged(ranked.join(table, place, "left").drop("class"), "ranked")
@@ -275,7 +276,13 @@ def new_sequences(space: DataFrame, filled: int, total: int, first: int, size: i
             ends.append((number, 0, low, low + (1 << bit)))
             low, number = low + (1 << bit), number + 1
     space = space.unionByName(extra)
-    return space.unionByName(spark.createDataFrame(ends, space.schema)) if ends else space
+    return space.unionByName(arrow_frame(spark, ["sequence_id", "inside", "low", "high"], ends)) if ends else space
+
+
+def arrow_frame(spark: SparkSession, names: list[str], rows: list[tuple[int, ...]]) -> DataFrame:
+    """A few rows of whole numbers as a frame; as Arrow, they need no Python workers besides those of the texts."""
+    columns = [pa.array(column, pa.int64()) for column in zip(*rows, strict=True)]
+    return spark.createDataFrame(pa.table(columns, names=names))
 
 
 def filling(stream: DataFrame, space: DataFrame, total: int) -> DataFrame:

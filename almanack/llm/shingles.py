@@ -7,6 +7,9 @@ import pyarrow as pa
 
 from almanack.llm.common import mix64, spans_hash, text_bytes
 
+#: Bytes of text whose words are hashed at a time, each word whole; the hashes don't depend on it.
+BLOCK = 1 << 18
+
 #: Bytes that separate words: space and \t to \r.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 LOWERED = np.arange(256, dtype=np.uint8)
@@ -29,7 +32,12 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends = offsets[1:][offsets[:-1] < offsets[1:]] - 1
     last[ends] |= inside[1:-1][ends]
     starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return spans_hash(data, starts, stops), np.searchsorted(starts, offsets)
+    hashes = np.empty(len(starts), np.uint64)
+    for run in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(starts // BLOCK)) + 1) if len(starts) else ():
+        a, b = run[0], run[-1] + 1
+        low, high = starts[a], stops[b - 1]
+        hashes[a:b] = spans_hash(data[low:high], starts[a:b] - low, stops[a:b] - low)
+    return hashes, np.searchsorted(starts, offsets)
 
 
 def shingle_hashes(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:

@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almanack.llm.common import batches_of_text
+from almanack.llm.common import batches_of_text, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters of a word's beginning that pattern voters look at.
 PREFIXES = (3, 4, 5, 6, 7, 8)
+#: Bytes of text that are scored at a time, and words whose voters are remembered; both only bound memory.
+SCORE_BYTES, REMEMBERED = 1 << 20, 100_000
 #: Multipliers of the four min-hashes that tell training rows apart.
 MULTIPLIERS = (2654435761, 2246822519, 3266489917, 668265263)
 
@@ -83,7 +85,7 @@ class ToxicityModel:
         for word in words:
             hits = self.cache.get(word)
             if hits is None:
-                if len(self.cache) > 500_000:
+                if len(self.cache) >= REMEMBERED:
                     self.cache.clear()
                 hits = tuple(word[:n] for n in PREFIXES if len(word) > n and word[:n] in self.begins)
                 self.cache[word] = hits
@@ -214,11 +216,11 @@ def train(
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "label", "at").agg(F.min("text").alias("text"))
 
     def distinct(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in batches_of_text(batches):
+        for batch, texts in batches_of_text(batches, limit=SCORE_BYTES):
             words = [" ".join(sorted(bounded(words_of(t), word_bytes))) for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("at"), pa.array(words)], ["label", "at", "words"])
 
-    sample = rows.mapInArrow(distinct, "label int, at long, words string").collect()
+    sample = rows.mapInArrow(tidy(distinct), "label int, at long, words string").collect()
     sample = sorted((r["at"], r["words"], r["label"]) for r in sample)
     return fit([(words, label) for _, words, label in sample], max_voters, support, precision)
 
@@ -245,9 +247,9 @@ def score(docs: DataFrame, model: ToxicityModel, column: str = "toxicity") -> Da
     names = [f.name for f in kept]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in batches_of_text(batches):
+        for batch, texts in batches_of_text(batches, limit=SCORE_BYTES):
             scores = pa.array([model.score(t) for t in texts.to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), scores], [*names, column])
 
     schema = docs.select(*[f"`{c}`" for c in names]).schema.add(column, "double")
-    return docs.select(*[f"`{c}`" for c in names]).mapInArrow(run, schema)
+    return docs.select(*[f"`{c}`" for c in names]).mapInArrow(tidy(run), schema)

@@ -5,6 +5,7 @@ import sys
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -346,6 +347,48 @@ def test_intermediate_tables_go(llm_spark, docs, tmp_path, monkeypatch):
     assert result.count() == docs.count()
 
 
+class Task:
+    """In place of a table: gives the function that a task would run."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_memory_of_signing_is_bounded():
+    """A worker signs 8 MB of short texts, or one of 4 MB, in little memory, and keeps hardly any of it."""
+    import tracemalloc
+
+    from almanack.llm import common, near_dedup
+
+    words = [f"w{zlib.crc32(str(i).encode()):x}" for i in range(40_000)]
+    short = [" ".join(words[i % 399 * 100 :][:200]) + f" {i}" for i in range(4_400)]
+    long = " ".join(words[(i * i + i // 7) % 40_000] for i in range(430_000))
+    for column, texts, most in (("doc_id", short, 60e6), ("id", short, 60e6), ("doc_id", [long], 130e6)):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], [column, "text"])
+        assert batch.nbytes > 4e6
+        run = near_dedup.signed(Task(), 5, 22) if column == "doc_id" else near_dedup.with_sets(Task(), 5)
+        common._POWERS.clear()
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in run([batch]))
+        kept, peak = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert rows == len(texts) and peak < most and kept < 20e6
+
+
+def test_word_hashes_dont_depend_on_blocks(docs, monkeypatch):
+    from almanack.llm import shingles
+
+    texts = pa.array([r["text"] or "" for r in docs.collect()] + ["x" * 500 + " y"])
+    whole, places = shingles.word_hashes(texts)
+    monkeypatch.setattr(shingles, "BLOCK", 7)
+    parts, same = shingles.word_hashes(texts)
+    assert (whole == parts).all() and (places == same).all() and len(whole) == sum(len(t.encode().split()) for t in texts.to_pylist())
+    assert [len(x) for x in shingles.word_hashes(pa.array(["", " "]))] == [0, 3]
+
+
 def test_unfinished_components_are_an_error(llm_spark):
     path = llm_spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "a long, b long")
     with pytest.raises(RuntimeError, match="after 2 rounds"):
@@ -440,6 +483,15 @@ def test_toxicity_of_odd_rows(docs, no_docs, llm_spark):
     assert fitted.score("what SCUM!") > 0.5 > fitted.score("a kind day") and fitted.score("") < 0.5
 
 
+def test_remembered_words_are_bounded(monkeypatch):
+    model = toxicity.ToxicityModel(["scum", "aabc++", "bcd+"], np.array([0.5, 0.25, -0.125, 0.1, 0.2, 0.3]), -1.0)
+    text = "vile scum " + " ".join("".join(chr(97 + int(c)) for c in str(n)) for n in range(150_000))
+    first = model.score(text)
+    assert len(model.cache) <= 100_000 and {0, 2} <= model.fired(toxicity.words_of(text))
+    monkeypatch.setattr(toxicity, "REMEMBERED", 3)
+    assert model.score(text) == first and len(model.cache) <= 3
+
+
 def test_training_rows_are_bounded(llm_spark):
     """A repeated id is one row, and a text of any vocabulary reaches the driver in bounded bytes."""
     ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
