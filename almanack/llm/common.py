@@ -138,23 +138,38 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+BASE = 0x9E3779B97F4A7C15 | 1
+
+
+def _prefix_sums(data: np.ndarray, seed: int) -> np.ndarray:
+    values = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03 + 2 * seed))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(values[data] * _powers(BASE, len(data)), out=sums[1:])
+    return sums
+
+
 def spans_hash(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: int = 1) -> np.ndarray:
     """A 64-bit hash of each ``data[start:stop]``; equal bytes give equal hashes in any batch.
 
     Polynomial prefix sums modulo 2**64 over mixed byte values, so the cost is one pass over the
     bytes however long or overlapping the spans are.
     """
-    base = 0x9E3779B97F4A7C15 | 1
     with np.errstate(over="ignore"):
-        values = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03 + 2 * seed))
-        powers = _powers(base, len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values[data] * powers[: len(data)], out=sums[1:])
-        inverse = _powers(pow(base, -1, 1 << 64), len(data) + 1)
+        sums = _prefix_sums(data, seed)
+        inverse = _powers(pow(BASE, -1, 1 << 64), len(data) + 1)
         raw = (sums[stops] - sums[starts]) * inverse[starts]
         return mix64(raw ^ mix64((stops - starts).astype(np.uint64) + np.uint64(seed)))
 
 
+def grams_hash(data: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
+    """``spans_hash`` of every ``width`` bytes in a row, which as slices take less time than as places."""
+    with np.errstate(over="ignore"):
+        sums = _prefix_sums(data, seed)
+        raw = sums[width:] - sums[:-width]
+        raw *= _powers(pow(BASE, -1, 1 << 64), len(raw))
+        return mix64(raw ^ mix64(np.full(1, width + seed, np.uint64)))
+
+
 _POWERS: dict[int, np.ndarray] = {}
 
 

@@ -40,10 +40,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanack.llm.common import batches_of_text, mix64, spans_hash, staged, text_bytes
+from almanack.llm.common import batches_of_text, grams_hash, spans_hash, staged, text_bytes
 
-#: Different segments of one anchor in a shard, and segments that a shard is meant to hold.
-SPLIT, SHARD = 2_000, 8_000
+#: Different segments of one anchor in a shard, and segments that a shard is meant to hold: its arrays fit a processor's cache.
+SPLIT, SHARD = 2_000, 1_000
+#: Bytes of text whose hashes are worked out at a time, so that these fit the cache as well.
+HASHED = 256 << 10
 #: A key with more rows than both ``PART`` and a ``KEYS``-th of them all is joined in parts, so such keys are fewer than ``KEYS``.
 PART, KEYS = 10_000, 100_000
 #: Most strings of a segment: their number takes 12 bits of a place.
@@ -63,19 +65,14 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def segments_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """text, start, strings, anchor hash, segment hash: the runs of strings that share an anchor.
-
-    A segment of s strings is length + s - 1 bytes long and begins at ``start`` of its text. All of its
-    strings hold the one anchor, so they overlap, and no two of them are equal.
-    """
+def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """start (in ``data``), strings, anchor hash: the runs of strings that share an anchor."""
     if len(data) < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    at = np.arange(len(data) - gram + 1)
-    grams = spans_hash(data, at, at + gram, seed=3)
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64))
+    grams = grams_hash(data, gram, seed=3)
     # The low bits tell places apart, so that the leftmost of equal parts is a window's anchor.
     low = np.uint64((1 << 24) - 1)
-    least = sliding_least((grams & ~low) | (at.astype(np.uint64) & low), length - gram + 1)
+    least = sliding_least((grams & ~low) | (np.arange(len(grams), dtype=np.uint64) & low), length - gram + 1)
     sizes = np.diff(offsets)
     strings = np.maximum(sizes - length + 1, 0)
     inside = np.zeros(len(data) + 1, np.int8)
@@ -91,16 +88,37 @@ def segments_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -
     stop[:-1] &= new[1:] | ~inside[1:]
     runs = np.flatnonzero(stop) + 1 - starts
     anchors = starts + ((least[starts].astype(np.int64) - starts) & ((1 << 24) - 1))
+    return starts, runs, grams[anchors]
+
+
+def segments_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """text, start, strings, anchor hash, segment hash: the runs of strings that share an anchor.
+
+    A segment of s strings is length + s - 1 bytes long and begins at ``start`` of its text. All of its
+    strings hold the one anchor, so they overlap, and no two of them are equal.
+    """
+    starts, runs, m = anchored_runs(data, offsets, length, gram)
     hashes = spans_hash(data, starts, starts + runs - 1 + length, seed=5)
     text = np.searchsorted(offsets, starts, side="right") - 1
-    return text, starts - offsets[text], runs, grams[anchors], hashes
+    return text, starts - offsets[text], runs, m, hashes
+
+
+def anchor_hashes(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """m of each segment, without the rest of it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in batches_of_text(batches, limit=HASHED):
+            _, _, m = anchored_runs(*text_bytes(texts), length, gram)
+            yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64))], ["m"])
+
+    return docs.select("text").mapInArrow(run, "m long")
 
 
 def segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """m (anchor hash), s (segment hash), d (row), place (tag of the text, start and strings in one number)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in batches_of_text(batches):
+        for batch, texts in batches_of_text(batches, limit=HASHED):
             text, start, runs, m, s = segments_of(*text_bytes(texts), length, gram)
             rows = batch.select(["d", "tag"]).take(pa.array(text))
             place = (np.asarray(rows.column("tag")) << 48) | (start << 12) | runs
@@ -113,6 +131,19 @@ def segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
 # ---------------------------------------------------------------- suffix arrays
 
 
+def in_order(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of ``keys`` (below ``2**bits``) in ascending order, equal ones as they come, and the sorted keys.
+
+    Key and place are sorted as one number, which is several times faster than sorting places by keys.
+    """
+    low = len(keys).bit_length()
+    if bits + low > 64:
+        order = np.argsort(keys, kind="stable")
+        return order, keys[order]
+    both = np.sort((keys << np.uint64(low)) | np.arange(len(keys), dtype=np.uint64))
+    return (both & np.uint64((1 << low) - 1)).astype(np.int64), both >> np.uint64(low)
+
+
 def suffix_ranks(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The places in order of their first ``depth`` bytes, and each place's rank (equal if these are).
 
@@ -120,39 +151,32 @@ def suffix_ranks(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     their own are done, and only larger groups are sorted again, by the ranks ``have`` bytes on.
     ``data`` has to go on for ``depth`` bytes after its last place.
     """
-    n = len(data) - depth
-    have = 8
-    words = np.lib.stride_tricks.sliding_window_view(data, 8)[: len(data) - 7]
-    first = np.ascontiguousarray(words).view(">u8").ravel().astype(np.uint64)
-    m = len(first)
-    order = np.argsort(first, kind="stable")
+    n, m = len(data) - depth, len(data) - 7
+    bits = m.bit_length()
+    have = max(1, (64 - bits) // 8)
+    first = np.zeros(m, np.uint64)
+    for k in range(have):
+        first = (first << np.uint64(8)) | data[k : k + m]
+    order, keys = in_order(first, 8 * have)
     ranks = np.empty(m, np.int64)
-    heads = np.append(np.flatnonzero(np.diff(first[order])), m - 1)  # last place of each group
-    sizes = np.diff(np.concatenate([[-1], heads]))
-    ranks[order] = np.repeat(heads, sizes)
-    while have < depth:
-        step = min(have, depth - have)
+    at, places = np.arange(m), order  # what is to be ranked: where in the order, and which place
+    while True:
+        heads = np.flatnonzero(np.append(keys[1:] != keys[:-1], True))  # last place of each group
+        sizes = np.diff(heads, prepend=-1)
+        ranks[places] = np.repeat(at[heads], sizes)
         # Places of groups with more than one member, group by group.
         many = np.repeat(sizes > 1, sizes)
-        at = np.flatnonzero(many)
-        if not len(at):
-            break
-        places = order[at]
-        group = ranks[places]
+        at, places, sizes = at[many], places[many], sizes[sizes > 1]
+        if have >= depth or not len(at):
+            return order[order < n], ranks
+        step = min(have, depth - have)
         beyond = places + step
-        following = np.where(beyond < m, ranks[np.minimum(beyond, m - 1)], -1)
-        turn = np.lexsort((following, group))
-        places, group, following = places[turn], group[turn], following[turn]
+        following = np.where(beyond < m, ranks[np.minimum(beyond, m - 1)] + 1, 0).astype(np.uint64)
+        group = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+        turn, keys = in_order((group << np.uint64(bits)) | following, bits + len(sizes).bit_length())
+        places = places[turn]
         order[at] = places
-        last = np.append((group[1:] != group[:-1]) | (following[1:] != following[:-1]), True)
-        ends = np.zeros(m, bool)
-        ends[heads] = True
-        ends[at[last]] = True
-        heads = np.flatnonzero(ends)
-        sizes = np.diff(np.concatenate([[-1], heads]))
-        ranks[order] = np.repeat(heads, sizes)
         have += step
-    return order[order < n], ranks
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
@@ -197,10 +221,11 @@ def _compared(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.
 
 def repeats_of_shard(texts: list[bytes], weights: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Per string of the shard's segments: segment, place in it, group (equal strings), weight of the group."""
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    sizes = [len(t) for t in texts]
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     data = np.frombuffer(b"".join(texts) + bytes(length + 16), np.uint8)
     order, _ = suffix_ranks(data[: offsets[-1] + length], length)
-    segment = np.searchsorted(offsets, order, side="right") - 1
+    segment = np.repeat(np.arange(len(texts)), sizes)[order]
     shared = common_prefixes(data, order, length)[order]
     whole = order + length <= offsets[segment + 1]
     # Places too near a segment's end hold no string of it; neighbours across them share the least on the way.
@@ -351,7 +376,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, gram: int = 64) -> Dat
         raise ValueError(f"gram has to be at most length and at most {STRINGS - 1} bytes shorter")
     docs = row_key(docs)
     every = segments(docs, length, gram)
-    anchors = staged(every.groupBy("m").agg(F.count("*").alias("times")).where("times > 1"), "anchors")
+    anchors = staged(anchor_hashes(docs, length, gram).groupBy("m").agg(F.count("*").alias("times")).where("times > 1"), "anchors")
     found = staged(spread_join(every, anchors.select("m"), hot_keys(anchors, ["m"], "times"), ["m"]), "segments")
 
     # Equal segments once, from one of their rows; anchors with many of them over several shards.

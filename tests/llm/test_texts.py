@@ -140,6 +140,60 @@ def test_suffix_order_and_common_prefixes():
         assert shared[b] == same
 
 
+def test_anchors_are_counted_without_segment_hashes(docs, monkeypatch):
+    from almanack.llm import suffix_dedup
+
+    keyed = suffix_dedup.row_key(docs)
+    want = Counter(r["m"] for r in suffix_dedup.segments(keyed, 40, 12).select("m").collect())
+    assert Counter(r["m"] for r in suffix_dedup.anchor_hashes(keyed, 40, 12).collect()) == want and max(want.values()) > 1
+    monkeypatch.setattr(suffix_dedup, "spans_hash", None)
+    assert len(suffix_dedup.anchored_runs(np.zeros(300, np.uint8), np.array([0, 300]), 40, 12)[2]) > 0
+
+
+@pytest.mark.parametrize("width", [1, 12, 64, 300])
+def test_hashes_of_grams_are_those_of_spans(width):
+    from almanack.llm.common import grams_hash, spans_hash
+
+    data = np.random.default_rng(2).integers(0, 256, 300).astype(np.uint8)
+    at = np.arange(len(data) - width + 1)
+    assert (grams_hash(data, width, seed=3) == spans_hash(data, at, at + width, seed=3)).all()
+
+
+@pytest.mark.parametrize("bits", [20, 50, 64])
+def test_keys_too_wide_to_hold_their_place_are_ordered_alike(bits):
+    from almanack.llm.suffix_dedup import in_order
+
+    keys = np.random.default_rng(3).integers(0, 1 << 10, 40_000).astype(np.uint64) << np.uint64(bits - 10)
+    order, held = in_order(keys, bits)
+    want = np.argsort(keys, kind="stable")
+    assert (order == want).all() and (held == keys[want]).all()
+
+
+def test_suffix_arrays_cost_a_few_sorts():
+    """CPU time in units of a sort of as many random numbers, so that it doesn't depend on the machine."""
+    from time import process_time
+
+    from fixtures import prose
+
+    from almanack.llm import suffix_dedup
+
+    raw, size = prose(70, 250_000).encode(), 263
+    texts = [raw[i * size : (i + 1) * size] for i in range(4000)]
+    texts += [t[:230] + texts[i - 1][:33] for i, t in enumerate(texts)]
+    shards = [texts[k :: max(1, len(texts) // suffix_dedup.SHARD)] for k in range(max(1, len(texts) // suffix_dedup.SHARD))]
+    keys = np.random.default_rng(4).integers(0, 1 << 62, len(texts) * size)
+
+    def seconds(work):
+        start = process_time()
+        out = work()
+        return process_time() - start, out
+
+    sort = min(seconds(lambda: np.argsort(keys, kind="stable"))[0] for _ in range(3))
+    runs = [seconds(lambda: [suffix_dedup.repeats_of_shard(s, np.ones(len(s), np.int64), 200) for s in shards]) for _ in range(3)]
+    assert all(sum((weight > 1).sum() for *_, weight in out) >= 2 * 4000 * 31 for _, out in runs)
+    assert min(s for s, _ in runs) < 4 * sort
+
+
 # ---------------------------------------------------------------- tokens
 
 
