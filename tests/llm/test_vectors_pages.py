@@ -96,6 +96,45 @@ def test_the_graph_itself_holds_the_nearest_of_vectors_without_structure(llm_spa
     assert hits >= 0.93 * 3_000, hits
 
 
+def test_rounds_and_hops_move_rows_of_blocks_not_of_edges(llm_spark, monkeypatch):
+    # A row for each edge, candidate and measured node made the time of a large table.
+    draw = np.random.Generator(np.random.PCG64(15))
+    frame = llm_spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(draw.normal(size=(4_500, 10)).astype(np.float32))], "vec_id long, embedding array<float>")
+    kept, rows = neighbours.staged, {}
+
+    def counted(df, what):
+        out = kept(df, what)
+        rows[what] = max(rows.get(what, 0), out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "staged", counted)
+    graph = neighbours.build(frame)
+    got = neighbours.search(graph, frame.where("vec_id % 100 = 0"))
+    assert got.count() == 450 and rows["graph"] < 100 and rows["beam"] < 100, rows
+    assert sorted(r["at"] for r in graph.nodes.select("at").collect()) == list(range(4_500))
+
+
+def test_packets_go_out_in_bounded_parts_and_lose_nothing(monkeypatch):
+    to = np.repeat([2, 3, 7, 8], [5, 1, 40, 2])
+    slots, x = np.arange(48).astype(neighbours.SLOT), np.arange(96, dtype=np.float32).reshape(48, 2)
+    monkeypatch.setattr(neighbours, "MOST", 100)
+    got = neighbours.addressed(neighbours.FOUND, 1, to, slots, x)
+    assert got.num_rows == 4 and got.column("a").num_chunks > 1 and neighbours.per_item(got, "block").tolist() == to.tolist()
+    assert neighbours.whole(got, "a", neighbours.SLOT).tolist() == slots.tolist()
+    assert (neighbours.whole(got.slice(1), "b", np.float32) == x[5:].ravel()).all()
+    assert neighbours.addressed(neighbours.FOUND, 1, to[:0], slots[:0]).num_rows == 0
+
+
+def test_repeated_queries_are_all_asked(llm_spark):
+    draw = np.random.Generator(np.random.PCG64(3))
+    rows = [(i, x.tolist()) for i, x in enumerate(draw.normal(size=(300, 8)).astype(np.float32))]
+    graph = neighbours.build(llm_spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    asked = llm_spark.createDataFrame([rows[5], (5, rows[80][1]), rows[6]], "vec_id long, embedding array<float>")
+    got = neighbours.search(graph, asked).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in got) == [(q, r) for q in (5, 6) for r in range(1, 11)]
+    assert [(r["vec_id"], r["score"]) for r in got if r["query_id"] == 5 and r["rank"] == 1] == [(80, 0.0)]
+
+
 def test_unfinished_graphs_and_searches_are_errors(llm_spark):
     draw = np.random.Generator(np.random.PCG64(6))
     rows = [(i, x.astype(np.float32).tolist()) for i, x in enumerate(draw.normal(size=(900, 6)))]
