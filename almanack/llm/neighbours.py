@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +51,9 @@ MOST = 32 << 20
 AT_ONCE = 32
 
 #: A row to or of a block: what it is, the block or group that it comes from, a count, and arrays as bytes.
-PACKET = "block long, kind int, src long, n long, a binary, b binary, c binary, d binary"
-SCHEMA = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("src", pa.int64()), ("n", pa.int64()), *((c, pa.binary()) for c in "abcd")])
-VECTORS, STATE, OFFER, AROUND, REQUEST, ANSWER, FOUND, ADJACENT, QUERIES, EXPAND, COUNTED = range(11)
+PACKET = "block long, kind int, src long, n long, a binary, b binary, c binary, d binary, e binary"
+SCHEMA = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("src", pa.int64()), ("n", pa.int64()), *((c, pa.binary()) for c in "abcde")])
+VECTORS, STATE, OFFER, AROUND, REQUEST, ANSWER, FOUND, ADJACENT, EXPAND, COUNTED, RESTING = range(11)
 
 #: Places in a block or group.
 SLOT = np.uint16
@@ -82,7 +83,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def packet(block: int, kind: int, src: int, n: int, *arrays: np.ndarray) -> pa.Table:
-    row = [[block], [kind], [src], [n], *([x.tobytes()] for x in arrays), *([None] for _ in range(4 - len(arrays)))]
+    row = [[block], [kind], [src], [n], *([x.tobytes()] for x in arrays), *([None] for _ in range(5 - len(arrays)))]
     return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(row, SCHEMA, strict=True)], schema=SCHEMA)
 
 
@@ -150,6 +151,22 @@ def each(rows: list[DataFrame], parts: int, step: Callable[[int, pa.Table], Iter
     return rows_of_all.repartition(parts, "block").groupBy("block").applyInArrow(run, PACKET)
 
 
+def in_small_batches(run: Callable) -> Callable:
+    """Packets are large rows, so while ``run`` works Spark sends few of them to Python at a time; large buffers would pile up beside the heap."""
+
+    @wraps(run)
+    def limited(first: DataFrame | Graph, *args: object, **named: object) -> object:
+        conf, name = (first.nodes if isinstance(first, Graph) else first).sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+        before = conf.get(name, None)
+        conf.set(name, str(MOST // 8))
+        try:
+            return run(first, *args, **named)
+        finally:
+            conf.unset(name) if before is None else conf.set(name, before)
+
+    return limited
+
+
 def kind(rows: DataFrame, *kinds: int) -> DataFrame:
     return rows.where(F.col("kind").isin(*kinds))
 
@@ -283,7 +300,7 @@ def celled(nodes: DataFrame, planes: list[tuple[np.ndarray, np.ndarray]]) -> Dat
     return cells.withColumn("part", F.pmod(F.xxhash64("at"), F.coalesce("parts", F.lit(1)))).drop("parts")
 
 
-def first_pairs(nodes: DataFrame, planes: list[tuple[np.ndarray, np.ndarray]], degree: int, ref: type) -> DataFrame:
+def first_pairs(nodes: DataFrame, planes: list[tuple[np.ndarray, np.ndarray]], parts: int, degree: int, ref: type) -> DataFrame:
     """The nearest of a node in each of its cells."""
     most = -(-2 * degree // len(planes))  # tables agree on some, so twice as many as needed
 
@@ -299,7 +316,8 @@ def first_pairs(nodes: DataFrame, planes: list[tuple[np.ndarray, np.ndarray]], d
         u = np.repeat(ids, k)
         return addressed(FOUND, 0, u // BLOCK, (u % BLOCK).astype(SLOT), ids[best].ravel().astype(ref), np.take_along_axis(d, best, 1).ravel().astype(np.float32))
 
-    return celled(nodes, planes).groupBy("tab", "cell", "part").applyInArrow(run, PACKET)
+    cells = celled(nodes, planes).repartition(parts, "tab", "cell", "part")  # or the parts of a large cell would stay in one task
+    return cells.groupBy("tab", "cell", "part").applyInArrow(run, PACKET)
 
 
 def state_of(table: pa.Table, degree: int, ref: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -461,6 +479,7 @@ def descend(state: DataFrame, blocks: DataFrame, parts: int, count: int, degree:
     return each([packets, mine], parts, lambda b, t: dealt(t, b, count, degree, sample, turn + 1, ref))
 
 
+@in_small_batches
 def build(
     vectors: DataFrame, *, keep: int = 11, degree: int = 64, sample: int = 32, best: int = 8, tables: int = 4,
     still: float = 0.05, rounds: int = 40, seed: int = 5,
@@ -483,8 +502,8 @@ def build(
     parts = spread_over(nodes, -(-count // BLOCK))
     blocks = staged(in_blocks(nodes, parts), "vectors")
     # A block of which nothing was found yet has an empty state.
-    none = blocks.select("block", F.lit(STATE).alias("kind"), "src", F.lit(0).cast("long").alias("n"), *(F.lit(None).cast("binary").alias(c) for c in "abcd"))
-    state = staged(each([none, first_pairs(nodes, planes, degree, ref)], parts, lambda b, t: dealt(t, b, count, degree, sample, 0, ref)), "graph")
+    none = blocks.select("block", F.lit(STATE).alias("kind"), "src", F.lit(0).cast("long").alias("n"), *(F.lit(None).cast("binary").alias(c) for c in "abcde"))
+    state = staged(each([none, first_pairs(nodes, planes, parts, degree, ref)], parts, lambda b, t: dealt(t, b, count, degree, sample, 0, ref)), "graph")
     for turn in range(rounds):
         older, state = state, staged(descend(state, blocks, parts, count, degree, sample, best, turn), "graph")
         discard(older)
@@ -526,29 +545,32 @@ def adjacency(graph: Graph, ahead: int, back: int) -> DataFrame:
     return staged(each([each([graph.state], graph.parts, forward)], graph.parts, both), "adjacent")
 
 
+def asked_of(table: pa.Table) -> np.ndarray:
+    """Records of the queries in packets of beams: q, how often it is asked (times), its vector x."""
+    count, data = int(table.column("src").to_numpy().sum()), whole(table, "e", np.uint8)
+    return data.view([("q", np.int64), ("times", np.int64), ("x", np.float32, (len(data) // max(1, count) - 16) // 4)])
+
+
 @dataclass
 class Beams:
     """The nearest nodes found for a group of queries, nearest first; -1 where there are fewer."""
 
-    q: np.ndarray
-    x: np.ndarray
-    times: np.ndarray
+    asked: np.ndarray
     at: np.ndarray
+    marks: np.ndarray  # 1: expanded, 2: held by the last beam, 4: a start
     node: np.ndarray
     d: np.ndarray
-    marks: np.ndarray  # 1: expanded, 2: held by the last beam, 4: a start
 
     @classmethod
-    def of(cls, table: pa.Table) -> Beams:
-        names, rows = of(table, QUERIES), of(table, STATE)
-        q = whole(names, "a", np.int64)
-        at, node, d = (whole(rows, c, t).reshape(len(q), -1) for c, t in zip("abc", (np.int64, np.int64, np.float64), strict=True))
-        return cls(q, whole(names, "b", np.float32).reshape(len(q), -1), whole(names, "c", np.int64), at, node, d, whole(rows, "d", np.uint8).reshape(len(q), -1))
+    def of(cls, table: pa.Table, kind: int, ref: type) -> Beams:
+        rows = of(table, kind)
+        asked = asked_of(rows)
+        at, *more = (whole(rows, c, t).reshape(len(asked), -1) for c, t in zip("abcd", (ref, np.uint8, np.int64, np.float64), strict=True))
+        return cls(asked, at.astype(np.int64), *more)
 
     def widened(self, wide: int) -> Beams:
         more = ((0, 0), (0, wide - self.at.shape[1]))
-        at, node, d, marks = (np.pad(x, more, constant_values=v) for x, v in ((self.at, -1), (self.node, -1), (self.d, np.inf), (self.marks, 0)))
-        return Beams(self.q, self.x, self.times, at, node, d, marks)
+        return Beams(self.asked, *(np.pad(x, more, constant_values=v) for x, v in ((self.at, -1), (self.marks, 0), (self.node, -1), (self.d, np.inf))))
 
     def with_found(self, i: np.ndarray, at: np.ndarray, node: np.ndarray, d: np.ndarray) -> Beams:
         """After nodes were measured for the ``i``-th queries, those of the same query all different."""
@@ -556,25 +578,32 @@ class Beams:
         new = unknown(i << BITS | at, keys_of(self.at)) & (d <= self.d[i, -1])
         i, at, node, d = i[new], at[new], node[new], d[new]
         slot, place = np.nonzero(self.at >= 0)
-        old = (slot, self.at[slot, place], self.node[slot, place], self.d[slot, place], self.marks[slot, place])
-        i, at, node, d, marks = (np.concatenate(c) for c in zip(old, (i, at, node, d, np.zeros(len(i), np.uint8)), strict=True))
+        old = (slot, self.at[slot, place], self.marks[slot, place], self.node[slot, place], self.d[slot, place])
+        i, at, marks, node, d = (np.concatenate(c) for c in zip(old, (i, at, np.zeros(len(i), np.uint8), node, d), strict=True))
         order = np.lexsort((node, d, i))
         place = places(i[order])
         order, place = order[place < wide], place[place < wide]
-        out = Beams(self.q, self.x, self.times, np.full_like(self.at, -1), np.full_like(self.node, -1), np.full_like(self.d, np.inf), np.zeros_like(self.marks))
-        out.at[i[order], place], out.node[i[order], place], out.d[i[order], place], out.marks[i[order], place] = at[order], node[order], d[order], marks[order]
+        out = Beams(self.asked, np.full_like(self.at, -1), np.zeros_like(self.marks), np.full_like(self.node, -1), np.full_like(self.d, np.inf))
+        out.at[i[order], place], out.marks[i[order], place], out.node[i[order], place], out.d[i[order], place] = at[order], marks[order], node[order], d[order]
         return out
 
     def sent(self, group: int, beam: int, shard: int, ref: type) -> list[pa.Table]:
-        """The beams as packets, and those nodes to be expanded, to their shards; they are marked as expanded."""
+        """The beams as packets, and those nodes to be expanded, to their shards; they are marked as expanded.
+
+        Queries whose beam is done rest in a packet of their own until the beam is doubled.
+        """
         i, place = np.nonzero((self.at[:, :beam] >= 0) & (self.marks[:, :beam] & 1 == 0))
         at = self.at[i, place]
-        order = np.argsort(at // shard, kind="stable")
         self.marks[i, place] |= 1
-        return [
-            packet(group, QUERIES, group, 0, self.q, self.x, self.times), packet(group, STATE, group, len(i), self.at, self.node, self.d, self.marks),
-            addressed(EXPAND, group, at[order] // shard, i[order].astype(SLOT), at[order].astype(ref)),
-        ]
+        going = np.zeros(len(self.asked), bool)
+        going[i] = True
+        i = (np.cumsum(going) - 1)[i]
+        order = np.argsort(at // shard, kind="stable")
+        out = [addressed(EXPAND, group, at[order] // shard, i[order].astype(SLOT), at[order].astype(ref))]
+        for some, kind, n in ((going, STATE, len(i)), (~going, RESTING, 0)):
+            if some.any():
+                out.append(packet(group, kind, int(some.sum()), n, self.at[some].astype(ref), self.marks[some], self.node[some], self.d[some], self.asked[some]))
+        return out
 
 
 def begun(graph: Graph, asked: DataFrame, groups: int, starts: int, beam: int, shard: int, ref: type) -> DataFrame:
@@ -605,7 +634,9 @@ def begun(graph: Graph, asked: DataFrame, groups: int, starts: int, beam: int, s
         i, at, node, d = (np.concatenate([np.zeros(0, t), *c]) for c, t in zip((i, at, node, d), (np.int64, np.int64, np.int64, float), strict=True))
         first = np.unique(i << BITS | at, return_index=True)[1]
         empty = [np.full((len(q), 2 * beam), v) for v in (-1, -1, np.inf)]
-        beams = Beams(q, x.astype(np.float32), times, *empty, np.zeros((len(q), 2 * beam), np.uint8))
+        asked = np.zeros(len(q), [("q", np.int64), ("times", np.int64), ("x", np.float32, x.shape[1])])
+        asked["q"], asked["times"], asked["x"] = q, times, x
+        beams = Beams(asked, empty[0], np.zeros((len(q), 2 * beam), np.uint8), *empty[1:])
         beams = beams.with_found(i[first], at[first], node[first], d[first])
         beams.marks[beams.at >= 0] = 4
         return pa.concat_tables(beams.sent(key[0].as_py(), beam, shard, ref))
@@ -635,9 +666,10 @@ def onward(table: pa.Table, at: int, shard: int, ref: type) -> list[pa.Table]:
 
 def wanted(table: pa.Table, group: int, shard: int, ref: type) -> list[pa.Table]:
     """The nodes that a group's queries haven't found yet, to their shards, with the vectors of those queries."""
-    beams, got = Beams.of(table), of(table, ANSWER)
+    mine, got = of(table, STATE), of(table, ANSWER)
+    queries = asked_of(mine)["x"]
     keys = np.unique(whole(got, "a", SLOT).astype(np.int64) << BITS | whole(got, "b", ref).astype(np.int64))
-    keys = keys[unknown(keys, keys_of(beams.at))]
+    keys = keys[unknown(keys, keys_of(whole(mine, "a", ref).reshape(len(queries), -1).astype(np.int64)))]
     i, at = keys >> BITS, keys & ((1 << BITS) - 1)
     order = np.argsort(at // shard, kind="stable")
     i, at = i[order], at[order]
@@ -646,7 +678,7 @@ def wanted(table: pa.Table, group: int, shard: int, ref: type) -> list[pa.Table]
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         who.append(i[a:b][runs(i[a:b])[:-1]])
     ends, who = np.cumsum([0, *map(len, who)]), np.concatenate([np.zeros(0, np.int64), *who])
-    return [rows.set_column(6, SCHEMA.field(6), binaries(beams.x[who], ends)).set_column(7, SCHEMA.field(7), binaries(who.astype(SLOT), ends))]
+    return [rows.set_column(6, SCHEMA.field(6), binaries(queries[who], ends)).set_column(7, SCHEMA.field(7), binaries(who.astype(SLOT), ends))]
 
 
 def measured(table: pa.Table, at: int, shard: int, ref: type) -> list[pa.Table]:
@@ -676,34 +708,36 @@ def measured(table: pa.Table, at: int, shard: int, ref: type) -> list[pa.Table]:
 
 def hop(found: DataFrame, index: tuple[DataFrame, DataFrame], parts: tuple[int, int], beam: int, shard: int, ref: type) -> DataFrame:
     """The beams after those nodes were expanded that were sent to be."""
-    state, (adjacent, vectors), (shards, groups) = kind(found, STATE, QUERIES), index, parts
+    state, (adjacent, vectors), (shards, groups) = kind(found, STATE), index, parts
+    known = state.withColumns({c: F.lit(None).cast("binary") for c in "bcd"})
 
     def absorbed(group: int, table: pa.Table) -> list[pa.Table]:
         got = of(table, FOUND)
         i, at = whole(got, "a", SLOT).astype(np.int64), whole(got, "b", ref).astype(np.int64)
-        beams = Beams.of(table).with_found(i, at, whole(got, "c", np.int64), whole(got, "d", np.float64))
+        beams = Beams.of(table, STATE, ref).with_found(i, at, whole(got, "c", np.int64), whole(got, "d", np.float64))
         return beams.sent(group, beam, shard, ref)
 
     packets = each([kind(found, EXPAND), adjacent], shards, lambda b, t: onward(t, b, shard, ref))
-    packets = each([packets, state], groups, lambda b, t: wanted(t, b, shard, ref))
+    packets = each([packets, known], groups, lambda b, t: wanted(t, b, shard, ref))
     packets = each([packets, vectors], shards, lambda b, t: measured(t, b, shard, ref))
     return each([packets, state], groups, absorbed)
 
 
-def doubled(found: DataFrame, groups: int, beam: int, top: int, shard: int, ref: type) -> DataFrame:
+def doubled(found: list[DataFrame], groups: int, beam: int, top: int, shard: int, ref: type) -> DataFrame:
     """Beams of twice the width that hold the ``top`` nearest; a packet has how many these are, and how many the last beam didn't hold."""
 
     def run(group: int, table: pa.Table) -> list[pa.Table]:
-        beams = Beams.of(table)
+        beams = Beams.of(table, RESTING, ref)
         near = beams.at[:, :top] >= 0
         new = near & (beams.marks[:, :top] & 2 == 0)
         beams.marks &= 1 | 4
         beams.marks[:, :top][near] |= 2
         return [packet(group, COUNTED, int(new.sum()), int(near.sum())), *beams.widened(4 * beam).sent(group, 2 * beam, shard, ref)]
 
-    return each([kind(found, STATE, QUERIES)], groups, run)
+    return each([kind(f, RESTING) for f in found], groups, run)
 
 
+@in_small_batches
 def search(
     graph: Graph, queries: DataFrame, *, k: int = 10, beam: int = 192, settled: float = 0.02, starts: int = 8, ahead: int = 30, back: int = 40,
     hops: int = 200,
@@ -729,29 +763,32 @@ def search(
     dealt_to = spread_over(asked, groups)
     found = staged(begun(graph, asked, groups, starts, beam, shard, ref), "beam")
     while True:
+        kept = [found]  # all of them, as each holds the queries that were done by then
         for _ in range(hops):
             if not kind(found, STATE).agg(F.sum("n")).first()[0]:
                 break
-            older, found = found, staged(hop(found, (adjacent, vectors), (shards, dealt_to), beam, shard, ref), "beam")
-            discard(older)
+            found = staged(hop(found, (adjacent, vectors), (shards, dealt_to), beam, shard, ref), "beam")
+            kept.append(found)
         else:
             raise RuntimeError(f"a search isn't done after {hops} hops")
-        older, found = found, staged(doubled(found, dealt_to, beam, k + 1, shard, ref), "beam")
-        discard(older)
+        found = staged(doubled(kept, dealt_to, beam, k + 1, shard, ref), "beam")
+        discard(*kept)
         count = kind(found, COUNTED).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.sum("src"), F.lit(0)).alias("new")).first()
         if count["new"] <= settled * count["all"]:
             break
         beam *= 2
 
     def nearest(table: pa.Table) -> pa.Table:
-        beams = Beams.of(table)
+        return pa.concat_tables([results(Beams.of(table, kind, ref)) for kind in (STATE, RESTING) if len(of(table, kind))])
+
+    def results(beams: Beams) -> pa.Table:
         # Own node included, k + 1 nodes hold the k nearest others; equal distances bring in no other node.
         i, place = np.nonzero(beams.at[:, : k + 1] >= 0)
-        times = np.where(beams.marks[i, place] & 4, 1, np.minimum(beams.times[i], k + 1))
+        times = np.where(beams.marks[i, place] & 4, 1, np.minimum(beams.asked["times"][i], k + 1))
         i, place = np.repeat(i, times), np.repeat(place, times)
-        return pa.table({"q": beams.q[i], "node": beams.node[i, place], "d": beams.d[i, place]})
+        return pa.table({"q": beams.asked["q"][i], "node": beams.node[i, place], "d": beams.d[i, place]})
 
-    hits = kind(found, STATE, QUERIES).groupBy("block").applyInArrow(nearest, "q long, node long, d double")
+    hits = kind(found, STATE, RESTING).groupBy("block").applyInArrow(nearest, "q long, node long, d double")
     hits = hits.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "node"))).where(F.col("r") <= k + 1)
     hits = hits.join(graph.members, "node").where("vec_id <> q")
     hits = hits.select(F.col("q").alias("query_id"), "vec_id", F.col("d").alias("score"))
